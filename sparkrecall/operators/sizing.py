@@ -1,0 +1,21 @@
+"""Size-checked broadcast: a side is broadcast only after a bounded count proves
+it small; beyond the bound the join stays a shuffle join (AQE may still split
+skewed partitions)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest row count broadcast by default.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def row_count_at_most(df: DataFrame, bound: int) -> int | None:
+    """Exact count if it is <= bound, else None. Reads at most bound+1 rows."""
+    n = df.limit(bound + 1).count()
+    return n if n <= bound else None
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
