@@ -109,3 +109,34 @@ pairs AS (SELECT a.vec_id AS vec_id, b.vec_id AS nn_id,
 ORACLES["knn_embeddings"] = f"""WITH {EMB_CTE},
 rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), nn_id) AS rank FROM pairs)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, nn_id, round(dist, 6) AS dist FROM rk WHERE rank <= 5"""
+
+
+ROUTING_CTE = """
+ev AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+nv AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM ev),
+un AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn,
+              CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE list_transform(v, lambda x: x * 0) END AS u
+       FROM nv),
+sims AS MATERIALIZED (SELECT a.rn AS i, b.rn AS j,
+                             list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])) AS sim
+                      FROM un a JOIN un b ON b.rn < a.rn),
+edges AS MATERIALIZED (SELECT i, list(j) AS js FROM sims WHERE sim >= {t} GROUP BY i),
+walk(rn, stored) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN len(list_intersect(coalesce(e.js, CAST([] AS BIGINT[])), w.stored)) > 0 THEN w.stored
+              ELSE list_append(w.stored, w.rn + 1) END
+  FROM walk w LEFT JOIN edges e ON e.i = w.rn + 1
+  WHERE w.rn < (SELECT count(*) FROM un)),
+fin AS (SELECT stored FROM walk ORDER BY rn DESC LIMIT 1),
+st AS (SELECT unnest(stored) AS j, unnest(range(len(stored))) AS memory_id FROM fin),
+best AS (SELECT s.i, s.j, s.sim, row_number() OVER (PARTITION BY s.i ORDER BY round(s.sim, 9) DESC, s.j) AS r
+         FROM sims s JOIN st ON st.j = s.j)"""
+
+ORACLES["routing_embeddings"] = "WITH RECURSIVE " + ROUTING_CTE.format(t=0.35) + """
+SELECT un.vec_id, CASE WHEN b.sim >= 0.35 THEN 'memory' ELSE 'retrieval' END AS source,
+       m.memory_id, round(coalesce(b.sim, 0), 6) AS confidence, own.memory_id AS stored_id
+FROM un LEFT JOIN best b ON b.i = un.rn AND b.r = 1
+        LEFT JOIN st m ON m.j = b.j
+        LEFT JOIN st own ON own.j = un.rn"""

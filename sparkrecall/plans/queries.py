@@ -92,3 +92,22 @@ REGISTRY.update({
     "hybrid_top3": hybrid_top3,
     "knn_embeddings": knn_embeddings,
 })
+
+
+# ---------------------------------------------------------------------------
+# Semantic-cache routing over `embeddings` in vec_id order
+# ---------------------------------------------------------------------------
+from ..operators.routing import route_decisions  # noqa: E402
+
+# Test threshold: at the default 0.55 the test vectors never hit.
+TEST_THRESHOLD = 0.35
+
+
+def routing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    r = route_decisions(e, TEST_THRESHOLD, seq="vec_id", vec="embedding")
+    return r.select(F.col("seq").alias("vec_id"), "source", "memory_id", _r("confidence").alias("confidence"),
+                    "stored_id")
+
+
+REGISTRY["routing_embeddings"] = routing_embeddings

@@ -32,6 +32,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -67,5 +68,25 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparkrecall`` importable in Python workers of a local session that
+    was not started from the repository (driver harnesses, notebooks). On a
+    cluster the package is shipped with ``--py-files`` / ``spark.submit.pyFiles``."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED or not sc.master.startswith("local"):
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="sparkrecall-pkg-", dir=os.environ.get("SPARKRECALL_SCRATCH", "/tmp"))
+    archive = shutil.make_archive(os.path.join(out, "sparkrecall"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="sparkrecall")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
