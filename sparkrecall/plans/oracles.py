@@ -140,3 +140,57 @@ SELECT un.vec_id, CASE WHEN b.sim >= 0.35 THEN 'memory' ELSE 'retrieval' END AS
 FROM un LEFT JOIN best b ON b.i = un.rn AND b.r = 1
         LEFT JOIN st m ON m.j = b.j
         LEFT JOIN st own ON own.j = un.rn"""
+
+
+from ..functions.text import NON_WORD  # noqa: E402
+
+
+def _ntok(x: str) -> str:
+    return (f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '{NON_WORD}', ' ', 'g'), "
+            f"'{W}'), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))")
+
+
+def _grams(tokcol: str, n: int) -> str:
+    return (f"CASE WHEN len({tokcol}) >= {n} THEN list_transform(range(1, len({tokcol}) - {n} + 2), "
+            f"lambda i: array_to_string({tokcol}[i : i + {n - 1}], ' ')) ELSE [] END")
+
+
+def _ngram_counts(name: str, tokcol: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT conv_id, turn, {n} AS n, unnest({_grams(tokcol, n)}) AS gram FROM nt" for n in range(1, 5))
+    return f"{name} AS (SELECT conv_id, turn, n, gram, count(*) AS c FROM ({parts}) GROUP BY ALL)"
+
+
+ORACLES["answer_scores"] = f"""WITH
+pairs AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold
+          FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+          WHERE a.role = 'assistant'),
+nt AS (SELECT conv_id, turn, {_ntok('pred')} AS pt, {_ntok('gold')} AS gt FROM pairs),
+nn AS (SELECT conv_id, turn, pt, gt, array_to_string(pt, ' ') AS pn, array_to_string(gt, ' ') AS gn FROM nt),
+pc AS (SELECT conv_id, turn, tok, count(*) AS cp FROM (SELECT conv_id, turn, unnest(pt) AS tok FROM nt) GROUP BY ALL),
+gc AS (SELECT conv_id, turn, tok, count(*) AS cg FROM (SELECT conv_id, turn, unnest(gt) AS tok FROM nt) GROUP BY ALL),
+same AS (SELECT conv_id, turn, sum(least(cp, cg)) AS same FROM pc JOIN gc USING (conv_id, turn, tok) GROUP BY ALL),
+{_ngram_counts('hg', 'pt')},
+{_ngram_counts('rg', 'gt')},
+clip AS (SELECT h.conv_id, h.turn, h.n, sum(least(h.c, coalesce(r.c, 0))) AS m
+         FROM hg h LEFT JOIN rg r ON r.conv_id = h.conv_id AND r.turn = h.turn AND r.n = h.n AND r.gram = h.gram
+         GROUP BY ALL),
+mm AS (SELECT conv_id, turn,
+              coalesce(sum(m) FILTER (WHERE n = 1), 0) AS m1, coalesce(sum(m) FILTER (WHERE n = 2), 0) AS m2,
+              coalesce(sum(m) FILTER (WHERE n = 3), 0) AS m3, coalesce(sum(m) FILTER (WHERE n = 4), 0) AS m4
+       FROM clip GROUP BY ALL),
+j AS (SELECT nn.*, coalesce(s.same, 0) AS same, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2,
+             coalesce(m3, 0) AS m3, coalesce(m4, 0) AS m4, len(pt) AS c, len(gt) AS r
+      FROM nn LEFT JOIN same s USING (conv_id, turn) LEFT JOIN mm USING (conv_id, turn))
+SELECT conv_id, turn,
+       CAST(CASE WHEN pn = gn THEN 1.0 ELSE 0.0 END AS DOUBLE) AS em,
+       round(CASE WHEN c = 0 OR r = 0 OR same = 0 THEN 0.0
+                  ELSE 2 * (same / c) * (same / r) / (same / c + same / r) END, 6) AS f1,
+       round(CASE WHEN c = 0 OR r = 0 OR m1 = 0 THEN 0.0
+             ELSE (CASE WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END) * exp((
+                 ln(CASE WHEN m1 > 0 THEN m1 ELSE 0.1 END / greatest(1, c))
+               + ln(CASE WHEN m2 > 0 THEN m2 ELSE 0.1 END / greatest(1, c - 1))
+               + ln(CASE WHEN m3 > 0 THEN m3 ELSE 0.1 END / greatest(1, c - 2))
+               + ln(CASE WHEN m4 > 0 THEN m4 ELSE 0.1 END / greatest(1, c - 3))) / 4) END, 6) AS bleu,
+       (gn <> '' AND contains(pn, gn)) AS answer_contains_gold
+FROM j"""

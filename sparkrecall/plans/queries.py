@@ -111,3 +111,32 @@ def routing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY["routing_embeddings"] = routing_embeddings
+
+
+# ---------------------------------------------------------------------------
+# Answer scoring: conversations (assistant turn vs the turn before it)
+# ---------------------------------------------------------------------------
+from ..operators.scoring import evaluate_predictions  # noqa: E402
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations")
+    a = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("prediction"))
+    prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold"))
+    return (a.join(prev, ["conv_id", "turn"])
+            .select(F.struct("conv_id", "turn").alias("rid"), "prediction", F.array("gold").alias("golds")))
+
+
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = evaluate_predictions(conversation_pairs(spark, sf_dir), "rid", with_rouge=False)
+    return ev.select("rid.conv_id", "rid.turn", "em", _r("f1").alias("f1"), _r("bleu").alias("bleu"),
+                     "answer_contains_gold")
+
+
+def rouge_l_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scoring import rouge_l
+    p = conversation_pairs(spark, sf_dir)
+    return p.select("rid.conv_id", "rid.turn", _r(rouge_l("prediction", "golds")).alias("rouge_l"))
+
+
+REGISTRY.update({"answer_scores": answer_scores, "rouge_l_scores": rouge_l_scores})
