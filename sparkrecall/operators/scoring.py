@@ -184,3 +184,41 @@ def evaluate_predictions(df: DataFrame, rid: str, pred: str = "prediction", gold
         inrow.append(rouge_l(pred, golds).alias("rouge_l"))
     out = base.select(rid, *inrow)
     return out.join(token_f1(base, rid, pred, golds), rid).join(bleu(base, rid, pred, golds), rid)
+
+
+# ---------------------------------------------------------------------------
+# Table-scale variants
+# ---------------------------------------------------------------------------
+def exact_match_in_group(df: DataFrame, rid: str, group: str, text: str) -> DataFrame:
+    """(rid, em): 1.0 when another row of the same ``group`` normalises to the
+    same text (EM of each row against the others as gold aliases). Counts per
+    (group, normalised text) via a partial aggregate, joined back -- no pairs."""
+    n = df.select(rid, group, normalize_answer(text).alias("_n"))
+    cnt = n.groupBy(group, "_n").agg(F.count(F.lit(1)).alias("_k"))
+    return n.join(cnt, [group, "_n"]).select(rid, F.when(F.col("_k") > 1, 1.0).otherwise(0.0).alias("em"))
+
+
+def contains_any(df: DataFrame, rid: str, text: str, golds: DataFrame, gold_text: str,
+                 broadcast_rows: int = 100_000, block_rows: int = 100_000) -> DataFrame:
+    """(rid, answer_contains_gold) against one shared gold table: true when any
+    non-empty normalised gold is a substring of the normalised text.
+
+    Golds proven small (bounded count) are broadcast into a nested-loop semi
+    join. Larger gold tables are split into hash blocks of about
+    ``block_rows`` and each text is replicated once per block, so every task
+    compares one block of golds with its texts."""
+    from .sizing import row_count_at_most
+
+    t = df.select(rid, normalize_answer(text).alias("_t"))
+    g = golds.select(normalize_answer(gold_text).alias("_g")).filter(F.col("_g") != "").distinct()
+    cond = F.col("_t").contains(F.col("_g"))
+    n = row_count_at_most(g, broadcast_rows)
+    if n is not None:
+        hits = t.join(F.broadcast(g), cond, "left_semi").select(rid)
+    else:
+        blocks = max(1, -(-g.count() // block_rows))
+        gb = g.withColumn("_b", F.abs(F.xxhash64("_g")) % blocks)
+        tb = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        hits = tb.join(gb, (tb["_b"] == gb["_b"]) & cond, "left_semi").select(rid).distinct()
+    return (t.select(rid).join(hits.withColumn("_hit", F.lit(True)), rid, "left")
+            .select(rid, F.coalesce("_hit", F.lit(False)).alias("answer_contains_gold")))

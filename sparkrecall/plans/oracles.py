@@ -194,3 +194,17 @@ SELECT conv_id, turn,
                + ln(CASE WHEN m4 > 0 THEN m4 ELSE 0.1 END / greatest(1, c - 3))) / 4) END, 6) AS bleu,
        (gn <> '' AND contains(pn, gn)) AS answer_contains_gold
 FROM j"""
+
+
+def _norm(x: str) -> str:
+    return f"array_to_string({_ntok(x)}, ' ')"
+
+
+ORACLES["doc_exact_match"] = f"""WITH n AS (SELECT doc_id, n_chars, {_norm('text')} AS t FROM documents)
+SELECT doc_id, CAST(CASE WHEN count(*) OVER (PARTITION BY n_chars, t) > 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS em
+FROM n"""
+
+ORACLES["doc_contains_benchmark"] = f"""WITH n AS (SELECT doc_id, {_norm('text')} AS t FROM documents),
+g AS (SELECT DISTINCT {_norm('text')} AS g FROM benchmark),
+h AS (SELECT DISTINCT doc_id FROM n JOIN g ON g.g <> '' AND contains(n.t, g.g))
+SELECT n.doc_id, (h.doc_id IS NOT NULL) AS answer_contains_gold FROM n LEFT JOIN h USING (doc_id)"""

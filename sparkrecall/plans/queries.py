@@ -140,3 +140,18 @@ def rouge_l_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY.update({"answer_scores": answer_scores, "rouge_l_scores": rouge_l_scores})
+
+
+def doc_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scoring import exact_match_in_group
+    d = table(spark, sf_dir, "documents")
+    return exact_match_in_group(d, "doc_id", "n_chars", "text")
+
+
+def doc_contains_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scoring import contains_any
+    d = spread(table(spark, sf_dir, "documents"))
+    return contains_any(d, "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+REGISTRY.update({"doc_exact_match": doc_exact_match, "doc_contains_benchmark": doc_contains_benchmark})
