@@ -208,3 +208,66 @@ ORACLES["doc_contains_benchmark"] = f"""WITH n AS (SELECT doc_id, {_norm('text')
 g AS (SELECT DISTINCT {_norm('text')} AS g FROM benchmark),
 h AS (SELECT DISTINCT doc_id FROM n JOIN g ON g.g <> '' AND contains(n.t, g.g))
 SELECT n.doc_id, (h.doc_id IS NOT NULL) AS answer_contains_gold FROM n LEFT JOIN h USING (doc_id)"""
+
+
+from ..operators import telemetry as _tel  # noqa: E402
+
+EVENTS_LOG_CTE = """
+lg0 AS (SELECT event_id AS seq, user_id AS run_id, ts AS timestamp, event_type AS query,
+               CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0 AS confidence, value AS latency FROM events),
+lg1 AS (SELECT *, CASE WHEN confidence >= 0.55 THEN 'memory' ELSE 'retrieval' END AS source FROM lg0),
+lg AS (SELECT *,
+         sum(CASE WHEN source = 'retrieval' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS retrieval_count,
+         sum(CASE WHEN source = 'memory' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS memory_count
+       FROM lg1)"""
+
+ORACLES["events_log_counters"] = f"""WITH {EVENTS_LOG_CTE}
+SELECT seq, run_id, source, CAST(retrieval_count AS BIGINT) AS retrieval_count,
+       CAST(memory_count AS BIGINT) AS memory_count, CAST(retrieval_count AS BIGINT) AS memory_size FROM lg"""
+
+ORACLES["events_query_metrics"] = f"""WITH {EVENTS_LOG_CTE},
+m AS (SELECT * FROM lg WHERE lower(trim(query)) <> '' AND contains(lower(trim(query)), 'click'))
+SELECT '  CLICK ' AS query, count(*) AS matches, round(avg(confidence), 6) AS avg_confidence,
+       round(max(confidence), 6) AS max_confidence, round(avg(latency), 6) AS avg_latency,
+       round(min(latency), 6) AS min_latency,
+       count(*) FILTER (WHERE source = 'memory') AS memory, count(*) FILTER (WHERE source = 'retrieval') AS retrieval,
+       count(*) FILTER (WHERE source NOT IN ('memory', 'retrieval')) AS other,
+       arg_max(timestamp, seq) AS latest_timestamp, arg_max(source, seq) AS latest_source,
+       round(arg_max(confidence, seq), 6) AS latest_confidence, round(arg_max(latency, seq), 6) AS latest_latency,
+       CAST(arg_max(retrieval_count, seq) AS BIGINT) AS latest_memory_size,
+       CAST(arg_max(retrieval_count, seq) AS BIGINT) AS latest_retrieval_count,
+       CAST(arg_max(memory_count, seq) AS BIGINT) AS latest_memory_count
+FROM m HAVING count(*) > 0"""
+
+_SUMMARY_SQL = f"""
+s AS (SELECT run_id, count(*) AS num_questions, coalesce(avg(confidence), 0) AS avg_confidence,
+             coalesce(avg(latency), 0) AS avg_latency_s,
+             count(*) FILTER (WHERE source = 'memory') AS memory_path_count,
+             count(*) FILTER (WHERE source = 'retrieval') AS retrieval_path_count,
+             coalesce(avg(confidence) FILTER (WHERE source = 'memory'), 0) AS memory_path_avg_confidence,
+             coalesce(avg(confidence) FILTER (WHERE source = 'retrieval'), 0) AS retrieval_path_avg_confidence,
+             CAST(arg_max(retrieval_count, seq) AS BIGINT) AS final_memory_size
+      FROM lg GROUP BY run_id),
+s2 AS (SELECT *, memory_path_count / num_questions AS memory_path_rate,
+              retrieval_path_count / num_questions AS retrieval_path_rate,
+              retrieval_path_count / num_questions AS retrieval_call_rate FROM s),
+s3 AS (SELECT *, list_filter([CASE WHEN memory_path_rate < 0.1 THEN '{_tel.NOTE_RARE_MEMORY}' END,
+                              '{_tel.NOTE_LOW_QUALITY}',
+                              CASE WHEN avg_latency_s > 20.0 THEN '{_tel.NOTE_HIGH_LATENCY}' END],
+                             lambda x: x IS NOT NULL) AS nl FROM s2)"""
+
+ORACLES["events_run_summary"] = f"""WITH {EVENTS_LOG_CTE}, {_SUMMARY_SQL}
+SELECT run_id, num_questions, round(avg_confidence, 6) AS avg_confidence, round(avg_latency_s, 6) AS avg_latency_s,
+       memory_path_count, retrieval_path_count, round(memory_path_avg_confidence, 6) AS memory_path_avg_confidence,
+       round(retrieval_path_avg_confidence, 6) AS retrieval_path_avg_confidence, final_memory_size,
+       round(memory_path_rate, 6) AS memory_path_rate, round(retrieval_path_rate, 6) AS retrieval_path_rate,
+       round(retrieval_call_rate, 6) AS retrieval_call_rate,
+       CASE WHEN len(nl) > 0 THEN array_to_string(nl, ' | ') ELSE '{_tel.NOTE_STABLE}' END AS notes
+FROM s3"""
+
+ORACLES["events_best_run"] = f"""WITH {EVENTS_LOG_CTE}, {_SUMMARY_SQL}
+SELECT run_id, round(avg_confidence, 6) AS avg_confidence, printf('%.1f%%', memory_path_rate * 100) AS memory_rate,
+       printf('%.3f', avg_latency_s) AS avg_latency
+FROM s2 ORDER BY avg_confidence DESC, run_id LIMIT 1"""

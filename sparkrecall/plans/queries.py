@@ -155,3 +155,61 @@ def doc_contains_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY.update({"doc_exact_match": doc_exact_match, "doc_contains_benchmark": doc_contains_benchmark})
+
+
+# ---------------------------------------------------------------------------
+# Telemetry over `events` used as the routing log:
+# query = event_type, run = user_id, latency = value, confidence = props.k / 100,
+# source = memory when confidence >= 0.55 (the default threshold).
+# ---------------------------------------------------------------------------
+from ..operators import telemetry as tel  # noqa: E402
+from ..operators.routing import THRESHOLD  # noqa: E402
+
+# Needle of the per-query-text metrics query (blank padding and case on purpose).
+METRICS_NEEDLE = "  CLICK "
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    conf = F.get_json_object("props", "$.k").cast("double") / 100.0
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"),
+                    F.col("ts").alias("timestamp"), F.col("event_type").alias("query"),
+                    conf.alias("confidence"), F.col("value").alias("latency"),
+                    F.when(conf >= THRESHOLD, F.lit(tel.MEMORY)).otherwise(F.lit(tel.RETRIEVAL)).alias("source"))
+
+
+def events_log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tel.with_counters(events_log(spark, sf_dir))
+    return log.select("seq", "run_id", "source", "retrieval_count", "memory_count", "memory_size")
+
+
+def events_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tel.query_metrics(tel.with_counters(events_log(spark, sf_dir)), METRICS_NEEDLE)
+    return m.select(*[_r(c).alias(c) if c in ("avg_confidence", "max_confidence", "avg_latency", "min_latency",
+                                                "latest_confidence", "latest_latency") else c for c in m.columns])
+
+
+def _events_summary(spark, sf_dir):
+    log = tel.with_counters(events_log(spark, sf_dir)).withColumnRenamed("latency", "latency_s")
+    return tel.interpretation_notes(tel.run_summary(log))
+
+
+def events_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _events_summary(spark, sf_dir)
+    return s.select(*[_r(c).alias(c) if dict(s.dtypes)[c] == "double" else c for c in s.columns if c != "notes"],
+                    F.array_join("notes", " | ").alias("notes"))
+
+
+def events_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _events_summary(spark, sf_dir)
+    return tel.best_run(s, "avg_confidence").select("run_id", _r("avg_confidence").alias("avg_confidence"),
+                                                    tel.fmt_pct("memory_path_rate").alias("memory_rate"),
+                                                    tel.fmt3("avg_latency_s").alias("avg_latency"))
+
+
+REGISTRY.update({
+    "events_log_counters": events_log_counters,
+    "events_query_metrics": events_query_metrics,
+    "events_run_summary": events_run_summary,
+    "events_best_run": events_best_run,
+})
