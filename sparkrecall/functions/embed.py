@@ -30,21 +30,24 @@ def _token_slot(tok: str, dim: int) -> tuple[int, float]:
 
 def hashing_provider(dim: int = HASH_DIM) -> Provider:
     def provider(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        slots: dict[str, tuple[int, float]] = {}   # per-worker token cache
+        buckets: dict[str, int] = {}   # per-worker token caches
+        signs: dict[str, float] = {}
         for s in batches:
-            out = []
-            for text in s:
-                v = np.zeros(dim)
-                for tok in (text or "").lower().split():
-                    slot = slots.get(tok)
-                    if slot is None:
-                        if len(slots) > 1_000_000:
-                            slots.clear()
-                        slot = slots[tok] = _token_slot(tok, dim)
-                    v[slot[0]] += slot[1]
-                n = np.sqrt((v * v).sum())
-                out.append(v / n if n > 0 else v)
-            yield pd.Series(out)
+            toks = s.fillna("").str.lower().str.split().explode().dropna()
+            new = [t for t in pd.unique(toks.to_numpy()) if t not in buckets]
+            if len(buckets) + len(new) > 2_000_000:
+                buckets.clear()
+                signs.clear()
+                new = list(pd.unique(toks.to_numpy()))
+            for t in new:
+                buckets[t], signs[t] = _token_slot(t, dim)
+            mat = np.zeros((len(s), dim))
+            if len(toks):
+                rows = toks.index.to_numpy()
+                np.add.at(mat, (rows, toks.map(buckets).to_numpy(np.int64)), toks.map(signs).to_numpy(np.float64))
+            n = np.sqrt((mat * mat).sum(1, keepdims=True))
+            mat = np.divide(mat, n, out=np.zeros_like(mat), where=n > 0)
+            yield pd.Series(list(mat))
     return provider
 
 

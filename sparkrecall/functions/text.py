@@ -20,9 +20,16 @@ from pyspark.sql import functions as F
 WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS_RUN = f"[{WS_CHARS}]+"
+# The same set as literal characters, split into the ASCII part and the rest.
+_ASCII_WS = "\t\n\x0b\x0c\r "
+_OTHER_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+             + "\u2028\u2029\u202f\u205f\u3000")
+WS_LITERAL = _ASCII_WS + _OTHER_WS
+ASCII_WS_RUN = r"[\t\n\x0B\f\r ]+"
 # Characters removed by answer normalisation: not a (Unicode) word character and
 # not whitespace.  Word character = letter, number or underscore.
 NON_WORD = rf"[^\p{{L}}\p{{N}}_{WS_CHARS}]"
+_NON_WORD_ASCII_WS = r"[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 # Articles dropped by answer normalisation.
 ARTICLES = ("a", "an", "the")
 # Chunking defaults: words per chunk and overlap.
@@ -39,18 +46,24 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ascii_ws(c) -> Column:
+    """Map every non-ASCII whitespace character to a space (a per-character
+    ``translate``, far cheaper than a Unicode regex class in Java)."""
+    return F.translate(_c(c), _OTHER_WS, " " * len(_OTHER_WS))
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace; null -> ''."""
-    return F.regexp_replace(F.coalesce(_c(c), F.lit("")), f"^{WS_RUN}|{WS_RUN}$", "")
+    return F.trim(F.coalesce(_c(c), F.lit("")), F.lit(WS_LITERAL))
 
 
 def py_rstrip(c) -> Column:
-    return F.regexp_replace(_c(c), f"{WS_RUN}$", "")
+    return F.rtrim(_c(c), F.lit(WS_LITERAL))
 
 
 def py_split(c) -> Column:
     """``str.split()`` with no argument: Unicode-whitespace runs, no empty items."""
-    return F.filter(F.split(_c(c), WS_RUN), lambda x: x != F.lit(""))
+    return F.filter(F.split(ascii_ws(c), ASCII_WS_RUN), lambda x: x != F.lit(""))
 
 
 def bm25_tokens(c) -> Column:
@@ -61,8 +74,8 @@ def bm25_tokens(c) -> Column:
 def normalize_answer(c) -> Column:
     """Answer normalisation: null -> ''; lower; non-word characters -> space;
     drop the articles; collapse whitespace to single spaces."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), NON_WORD, " ")
-    toks = F.filter(F.split(cleaned, WS_RUN),
+    cleaned = F.regexp_replace(ascii_ws(F.lower(F.coalesce(_c(c), F.lit("")))), _NON_WORD_ASCII_WS, " ")
+    toks = F.filter(F.split(cleaned, ASCII_WS_RUN),
                     lambda x: (x != F.lit("")) & ~x.isin(*ARTICLES))
     return F.array_join(toks, " ")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
+from ..session import bucketed_table, cut_lineage
 from .sizing import sized_broadcast
 
 # Okapi BM25 parameters and the negative-idf floor factor.
@@ -28,22 +29,39 @@ class Bm25Index:
 
 
 def build_bm25(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
-               k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Bm25Index:
-    toks = corpus.select(F.col(id_col).alias("doc_id"), bm25_tokens(text_col).alias("toks"))
-    docs = toks.select("doc_id", F.size("toks").alias("dl"))
-    # tf per (doc, term); dl rides along so no join back to docs is needed.
-    tf = (toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-          .groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    avgdl = docs.agg(F.avg("dl")).scalar()
-    raw = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .withColumn("raw_idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    mean_idf = raw.agg(F.avg("raw_idf")).scalar()
-    terms = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_idf)
+               k1: float = K1, b: float = B, epsilon: float = EPSILON,
+               buckets: int | None = None, broadcast_terms_rows: int = 5_000_000) -> Bm25Index:
+    """Build the index tables.
+
+    Texts are hash-partitioned by document once (a shuffle of the raw chunks);
+    tokenising, exploding and counting tf then stay inside each partition (the
+    aggregation's distribution is already satisfied), and tf is stored as a
+    table bucketed by document -- the layout the scorer wants. The vocabulary
+    (df, idf) is one aggregation over tf; N, avgdl and the mean idf are one-row
+    actions whose values enter the plans as literals."""
+    spark = corpus.sparkSession
+    n_b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_doc = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(n_b, "doc_id")
+    toks = by_doc.select("doc_id", bm25_tokens("text").alias("toks"))
+    # explode_outer keeps a null-term row for a document without tokens, so it
+    # still counts in N and avgdl.
+    tf = (toks.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+          .groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf")))
+    tf = bucketed_table(tf, "doc_id", n_b, prefix="bm25_tf")
+    docs = tf.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    st = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = int(st["n"]), float(st["avgdl"] or 0.0)
+    tf = tf.filter(F.col("term").isNotNull())
+    raw = cut_lineage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                      .withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
+    terms = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * mean_idf))
                        .otherwise(F.col("raw_idf")).alias("idf"))
     tfc = F.col("tf").cast("double")
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
-    postings = (tf.join(terms.select("term", "idf"), "term")
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
+    # Weights are computed on read: the bucketed tf layout is preserved because
+    # the vocabulary side of this join is broadcast (after a bounded count).
+    postings = (tf.join(sized_broadcast(terms.select("term", "idf"), broadcast_terms_rows), "term")
                 .select("term", "doc_id", (F.col("idf") * tfc * (k1 + 1) / (tfc + norm)).alias("weight")))
     return Bm25Index(postings, terms, docs)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bm25 import bm25_scores, build_bm25
 from ..operators.topk import top_k
-from ..session import spread, table
+from ..session import cut_lineage, spread, table
 from .corpus import documents_corpus
 
 # Output rounding of doubles compared with the oracle.
@@ -55,7 +55,6 @@ from ..functions.embed import embed  # noqa: E402
 from ..functions.vectors import as_double  # noqa: E402
 from ..operators.hybrid import dense_scores, hybrid_top_k  # noqa: E402
 from ..operators.knn import knn  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
 
 
 def _retrieval_inputs(spark, sf_dir):
