@@ -212,3 +212,35 @@ REGISTRY.update({
     "events_run_summary": events_run_summary,
     "events_best_run": events_best_run,
 })
+
+
+# ---------------------------------------------------------------------------
+# End-to-end run: benchmark passages as questions (gold alias = the passage),
+# chunked documents as the corpus, deterministic extractive generator.
+# ---------------------------------------------------------------------------
+def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("query_id"),
+                    F.col("text").alias("question"), F.array("text").alias("answer_aliases"))
+
+
+def _qa_run(spark, sf_dir):
+    from .pipeline import build_index, process_queries
+    chunks = documents_corpus(spread(table(spark, sf_dir, "documents"))).chunks
+    index = build_index(chunks)
+    return process_queries(benchmark_questions(spark, sf_dir), index, threshold=TEST_THRESHOLD)
+
+
+def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _qa_run(spark, sf_dir).predictions
+    return p.select("query_id", "source", "memory_id", _r("confidence").alias("confidence"), "generated_answer",
+                    "em", _r("f1").alias("f1"), _r("bleu").alias("bleu"), _r("rouge_l").alias("rouge_l"),
+                    "answer_contains_gold", "retrieval_count", "memory_count", "memory_size")
+
+
+def qa_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _qa_run(spark, sf_dir).summary
+    return s.select(*[c for c in s.columns if c != "notes"], F.array_join("notes", " | ").alias("notes"))
+
+
+REGISTRY.update({"qa_predictions": qa_predictions, "qa_run_summary": qa_run_summary})
