@@ -45,7 +45,7 @@ def write_manifest(questions: DataFrame, path: str):
 
 def select_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fixed column order; missing columns -> null, extra columns dropped."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols])
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols])
 
 
 def write_predictions(preds: DataFrame, path_jsonl: str, path_csv: str):
@@ -71,7 +71,7 @@ def flatten_summary(nested: DataFrame) -> DataFrame:
             p, m = c.split("_path_avg_")
             cols.append(F.col(f"{p}_path.avg_{m}").alias(c))
         else:
-            cols.append(F.lit(None).alias(c))
+            cols.append(F.lit(None).cast("string").alias(c))
     return nested.select(*cols)
 
 
