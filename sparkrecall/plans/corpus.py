@@ -26,7 +26,8 @@ def build_corpus(texts: DataFrame, *, pos_col: str = "pos", text_col: str = "tex
                  questions: DataFrame | None = None, min_text_len: int = MIN_TEXT_LEN,
                  max_docs: int | None = None, max_chunks: int | None = None,
                  chunk_words: int = CHUNK_WORDS, overlap_words: int = OVERLAP_WORDS,
-                 dense_positions: bool = False, chunk: bool = True) -> Corpus:
+                 dense_positions: bool = False, chunk: bool = True,
+                 question_min_len: int | None = None) -> Corpus:
     """``texts`` holds candidate documents with a long order key ``pos_col``.
 
     ``questions`` (pos, text) are added after the documents, minus those already
@@ -38,8 +39,9 @@ def build_corpus(texts: DataFrame, *, pos_col: str = "pos", text_col: str = "tex
     docs = ordered_cap(ordered_dedup(docs, "text", ["pos"]), max_docs, ["pos"])
     if questions is not None:
         n_docs = docs.agg(F.count(F.lit(1))).scalar()
+        qmin = min_text_len if question_min_len is None else question_min_len
         q = (questions.select(F.col(pos_col).cast("long").alias("qpos"), py_strip(text_col).alias("text"))
-             .filter((F.char_length("text") > 0) & (F.char_length("text") >= min_text_len)))
+             .filter((F.char_length("text") > 0) & (F.char_length("text") >= qmin)))
         q = ordered_dedup(q, "text", ["qpos"]).join(docs.select("text"), "text", "left_anti")
         q = q.filter(n_docs < FALLBACK_MIN_DOCS)
         both = (docs.select(F.lit(0).alias("phase"), "pos", "text")
@@ -70,3 +72,24 @@ def build_corpus(texts: DataFrame, *, pos_col: str = "pos", text_col: str = "tex
 def documents_corpus(documents: DataFrame, **kw) -> Corpus:
     """The driver's ``documents`` table as a corpus: order key = doc_id."""
     return build_corpus(documents.select(F.col("doc_id").alias("pos"), "text"), **kw)
+
+
+def build_corpus_from_samples(samples: DataFrame, pos: str = "pos", min_text_len: int = MIN_TEXT_LEN,
+                              max_docs: int | None = 2500, max_chunks: int | None = 3000,
+                              chunk_words: int = CHUNK_WORDS, overlap_words: int = OVERLAP_WORDS) -> Corpus:
+    """Evidence of nested QA samples -> deduplicated, capped, chunked corpus;
+    questions are added when fewer than 20 unique documents are found."""
+    from ..operators.samples import explode_evidence
+    texts = explode_evidence(samples, pos)
+    questions = samples.select(F.col(pos).alias("pos"), F.col("question").cast("string").alias("text"))
+    return build_corpus(texts, questions=questions, min_text_len=min_text_len, max_docs=max_docs,
+                        max_chunks=max_chunks, chunk_words=chunk_words, overlap_words=overlap_words)
+
+
+def build_passage_corpus(samples: DataFrame, pos: str = "pos", max_docs: int | None = 1000) -> Corpus:
+    """Phase-2 flavour: unchunked passages; the question fallback only needs a
+    non-empty question; the cap applies to the final list."""
+    from ..operators.samples import explode_evidence
+    texts = explode_evidence(samples, pos)
+    questions = samples.select(F.col(pos).alias("pos"), F.col("question").cast("string").alias("text"))
+    return build_corpus(texts, questions=questions, max_docs=max_docs, chunk=False, question_min_len=1)
