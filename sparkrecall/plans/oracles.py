@@ -271,3 +271,9 @@ ORACLES["events_best_run"] = f"""WITH {EVENTS_LOG_CTE}, {_SUMMARY_SQL}
 SELECT run_id, round(avg_confidence, 6) AS avg_confidence, printf('%.1f%%', memory_path_rate * 100) AS memory_rate,
        printf('%.3f', avg_latency_s) AS avg_latency
 FROM s2 ORDER BY avg_confidence DESC, run_id LIMIT 1"""
+
+ORACLES["stream_routing_embeddings"] = ORACLES["routing_embeddings"]
+
+ORACLES["stream_log_counters_events"] = f"""WITH {EVENTS_LOG_CTE}
+SELECT run_id, source, count(*) AS n, round(sum(confidence), 6) AS sum_confidence,
+       round(sum(latency), 6) AS sum_latency FROM lg GROUP BY run_id, source"""

@@ -244,3 +244,59 @@ def qa_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY.update({"qa_predictions": qa_predictions, "qa_run_summary": qa_run_summary})
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming over file streams derived from the tables: the table is
+# written (by Spark) as ordered micro-batch files under the checkpoint folder,
+# then consumed with availableNow triggers.
+# ---------------------------------------------------------------------------
+STREAM_BATCHES = 3
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _write_ordered_batches(df: DataFrame, order_col: str, folder: str, batches: int = STREAM_BATCHES):
+    """Split ``df`` into ``batches`` contiguous ranges of ``order_col`` and write
+    them one after another (file modification order = arrival order)."""
+    b = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo, hi = int(b["lo"]), int(b["hi"])
+    step = (hi - lo) // batches + 1
+    for i in range(batches):
+        (df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
+         .coalesce(1).write.mode("append").parquet(f"{folder}/in"))
+    return df.schema
+
+
+def stream_routing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.cache import streaming_semantic_cache
+    folder = _stream_folder(spark)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"),
+                                                   as_double("embedding").alias("vec"))
+    schema = _write_ordered_batches(e, "seq", folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = streaming_semantic_cache(stream, f"{folder}/state", f"{folder}/out", f"{folder}/ckpt", TEST_THRESHOLD)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.col("seq").alias("vec_id"), "source", "memory_id", _r("confidence").alias("confidence"),
+                      "stored_id")
+
+
+def stream_log_counters_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.telemetry import stream_log_counters
+    folder = _stream_folder(spark)
+    schema = _write_ordered_batches(events_log(spark, sf_dir), "seq", folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream_log_counters(stream, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("run_id", "source", "n", _r("sum_confidence").alias("sum_confidence"),
+                      _r("sum_latency").alias("sum_latency"))
+
+
+REGISTRY.update({"stream_routing_embeddings": stream_routing_embeddings,
+                 "stream_log_counters_events": stream_log_counters_events})
