@@ -57,3 +57,18 @@ def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataF
     pads = pads.join(cand.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return top_k(cand.unionByName(pads), k, score="score", id_col="doc_id").select(
         "query_id", "rank", "doc_id", "score")
+
+
+def hit_at_k(results: DataFrame, keywords: list[str], text_col: str = "text") -> DataFrame:
+    """(query_id, hit): any retrieved text contains any keyword (case-insensitive)."""
+    kws = F.array(*[F.lit(k.lower()) for k in keywords])
+    any_kw = F.exists(kws, lambda k: F.lower(F.col(text_col)).contains(k))
+    return results.groupBy("query_id").agg(F.bool_or(any_kw).alias("hit"))
+
+
+def retrieval_checks(results: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, returned, distinct, exact_k, no_duplicates) per query."""
+    return (results.groupBy("query_id")
+            .agg(F.count(F.lit(1)).alias("returned"), F.countDistinct(id_col).alias("distinct"))
+            .withColumn("exact_k", F.col("returned") == k)
+            .withColumn("no_duplicates", F.col("returned") == F.col("distinct")))

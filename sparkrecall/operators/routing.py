@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize
 from ..session import cut_lineage
-from .knn import knn
+from .knn import QUERY_BROADCAST_ROWS, knn
 from .ordering import global_rank
 
 # Fixed value: default similarity threshold for serving from memory.
@@ -42,7 +42,7 @@ def _units(df: DataFrame, seq: str, vec: str) -> DataFrame:
 
 def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
                preloaded: DataFrame | None = None, mem_id: str = "id", mem_vec: str = "query_embedding",
-               max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, int]:
+               max_rounds: int = MAX_ROUNDS, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """(seq, stored) for every query, and the number of rounds used."""
     state = _units(queries, seq, vec).withColumn("status", F.lit("U"))
     if preloaded is not None:
@@ -57,9 +57,11 @@ def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "
             raise RuntimeError("routing fixpoint did not converge")
         und = state.filter(F.col("status") == "U").select("seq", "u")
         stored = state.filter(F.col("status").isin("S", "P")).select("seq", "u")
-        hit = (knn(und, stored, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True)
+        hit = (knn(und, stored, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
+                   broadcast_rows=broadcast_rows)
                .filter(F.col("dist") >= threshold).select(F.col("query_id").alias("seq"), F.lit(True).alias("_hit")))
-        blocked = (knn(und, und, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True)
+        blocked = (knn(und, und, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
+                       broadcast_rows=broadcast_rows)
                    .filter(F.col("dist") >= threshold)
                    .select(F.col("query_id").alias("seq"), F.lit(True).alias("_blk")))
         state = cut_lineage(
@@ -74,12 +76,12 @@ def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "
 
 def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
                     preloaded: DataFrame | None = None, mem_id: str = "id",
-                    mem_vec: str = "query_embedding") -> DataFrame:
+                    mem_vec: str = "query_embedding", broadcast_rows: int = QUERY_BROADCAST_ROWS) -> DataFrame:
     """Per query: seq, source ('memory'|'retrieval'), memory_id (best stored
     earlier row, null if none), confidence (its cosine, 0.0 if none),
     stored_id (id given to the query when it is stored, else null)."""
     state, _ = stored_set(queries, threshold, seq=seq, vec=vec, preloaded=preloaded,
-                          mem_id=mem_id, mem_vec=mem_vec)
+                          mem_id=mem_id, mem_vec=mem_vec, broadcast_rows=broadcast_rows)
     n_pre = 0 if preloaded is None else preloaded.agg(F.count(F.lit(1))).scalar()
     new_ids = global_rank(state.filter(F.col("status") == "S").select("seq"), ["seq"], out="_r")
     new_ids = new_ids.select("seq", (F.col("_r") + n_pre).alias("stored_id"))
@@ -89,7 +91,8 @@ def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: st
                               .select("seq", (F.col("seq") - F.lit(PRELOADED_SEQ_OFFSET)).alias("mid")))
     stored_vecs = state.filter(F.col("status").isin("S", "P")).select("seq", "u")
     asked = state.filter(F.col("status") != "P").select("seq", "u")
-    best = knn(asked, stored_vecs, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True)
+    best = knn(asked, stored_vecs, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
+               broadcast_rows=broadcast_rows)
     best = best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("best_seq"),
                        F.col("dist").alias("sim"))
     out = (asked.select("seq").join(best, "seq", "left")
