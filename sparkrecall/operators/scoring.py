@@ -54,9 +54,10 @@ def _alias_tokens(df: DataFrame, rid: str, golds: str) -> DataFrame:
             .select(rid, "ai", normalized_tokens("g").alias("gt")))
 
 
-def token_f1(df: DataFrame, rid: str, pred: str, golds: str) -> DataFrame:
+def token_f1(df: DataFrame, rid: str, pred: str, golds: str, empty_without_gold_is_one: bool = False) -> DataFrame:
     """(rid, f1): best token-F1 over aliases; empty prediction -> 0; empty
-    aliases skipped; no usable alias -> 0."""
+    aliases skipped; no usable alias -> 0. ``empty_without_gold_is_one``: the
+    smoke-runner variant where an empty prediction with no aliases scores 1."""
     p = df.select(rid, normalized_tokens(pred).alias("pt"))
     plen = p.select(rid, F.size("pt").alias("np"))
     pc = (p.select(rid, F.explode("pt").alias("tok")).groupBy(rid, "tok")
@@ -72,8 +73,13 @@ def token_f1(df: DataFrame, rid: str, pred: str, golds: str) -> DataFrame:
     rec = F.col("same") / F.col("ng")
     per = per.select(rid, F.when(F.col("same") > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1"))
     best = per.groupBy(rid).agg(F.max("f1").alias("best"))
+    empty = F.lit(0.0)
+    if empty_without_gold_is_one:
+        n_gold = df.select(rid, F.coalesce(F.size(golds), F.lit(0)).alias("ngold"))
+        plen = plen.join(n_gold, rid)
+        empty = F.when(F.col("ngold") <= 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return (plen.join(best, rid, "left")
-            .select(rid, F.when(F.col("np") == 0, F.lit(0.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("f1")))
+            .select(rid, F.when(F.col("np") == 0, empty).otherwise(F.coalesce("best", F.lit(0.0))).alias("f1")))
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
@@ -175,7 +181,7 @@ def rouge_l(pred, golds) -> Column:
 # All metrics for a prediction table
 # ---------------------------------------------------------------------------
 def evaluate_predictions(df: DataFrame, rid: str, pred: str = "prediction", golds: str = "golds",
-                         with_rouge: bool = True) -> DataFrame:
+                         with_rouge: bool = True, smoke_f1: bool = False) -> DataFrame:
     """Input rows (rid, pred, golds array<string>) -> rid, em, f1, bleu,
     answer_contains_gold [, rouge_l]; ``rid`` must be unique."""
     base = df.select(rid, pred, golds)
@@ -183,7 +189,23 @@ def evaluate_predictions(df: DataFrame, rid: str, pred: str = "prediction", gold
     if with_rouge:
         inrow.append(rouge_l(pred, golds).alias("rouge_l"))
     out = base.select(rid, *inrow)
-    return out.join(token_f1(base, rid, pred, golds), rid).join(bleu(base, rid, pred, golds), rid)
+    return (out.join(token_f1(base, rid, pred, golds, smoke_f1), rid)
+            .join(bleu(base, rid, pred, golds), rid))
+
+
+def capture_errors(preds: DataFrame, answer_col: str = "generated_answer", limit: int | None = 100,
+                   metrics: tuple[str, ...] = ("em", "f1", "rouge_l", "bleu", "answer_contains_gold")) -> DataFrame:
+    """Row-level error policy: rows whose answer is a generation error keep an
+    ``error`` message (cut to ``limit`` characters) and null metrics, so they
+    drop out of valid-row summaries (``em IS NOT NULL``)."""
+    from .generate import is_error
+    err = is_error(answer_col)
+    msg = F.col(answer_col) if limit is None else F.substring(answer_col, 1, limit)
+    out = preds.withColumn("error", F.when(err, msg))
+    for m in metrics:
+        if m in out.columns:
+            out = out.withColumn(m, F.when(~err, F.col(m)))
+    return out
 
 
 # ---------------------------------------------------------------------------

@@ -76,12 +76,14 @@ def _avg0(c: Column) -> Column:
 
 
 def run_summary(preds: DataFrame, run_col: str = "run_id", order_col: str = "seq",
-                latency_col: str = "latency_s") -> DataFrame:
+                latency_col: str = "latency_s", valid_only: bool = False) -> DataFrame:
     """One row per run: means (0.0 when empty) of the quality columns present,
     confidence and latency; path counts and rates over all rows; hallucination
     rate (share not containing gold); per-path count/avg em/f1/confidence with
     0.0 for an empty path; final memory size = memory_size of the last row.
     A single aggregation with conditional aggregates (partial aggregation map-side)."""
+    if valid_only and "em" in preds.columns:
+        preds = preds.filter(F.col("em").isNotNull())
     cols = set(preds.columns)
     n = F.count(F.lit(1))
     is_mem, is_ret = F.col("source") == MEMORY, F.col("source") == RETRIEVAL
@@ -136,3 +138,19 @@ def fmt_pct(c) -> Column:
     """Percent with one decimal; null counts as 0."""
     col = F.col(c) if isinstance(c, str) else c
     return F.format_string("%.1f%%", F.coalesce(col.cast("double"), F.lit(0.0)) * 100)
+
+
+# Fixed formats of run ids and summary stamps.
+RUN_ID_TS = "yyyyMMdd_HHmmss"
+SUMMARY_TS = "yyyy-MM-dd_HH-mm-ss"
+
+
+def run_id(profile: str, ts=None) -> Column:
+    """``{profile}_{yyyyMMdd_HHmmss}`` of ``ts`` (default: now)."""
+    t = F.current_timestamp() if ts is None else (F.col(ts) if isinstance(ts, str) else ts)
+    return F.concat_ws("_", F.lit(profile), F.date_format(t, RUN_ID_TS))
+
+
+def summary_stamp(ts=None) -> Column:
+    t = F.current_timestamp() if ts is None else (F.col(ts) if isinstance(ts, str) else ts)
+    return F.date_format(t, SUMMARY_TS)

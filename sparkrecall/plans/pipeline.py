@@ -97,8 +97,9 @@ def process_queries(questions: DataFrame, index: RetrievalIndex, *, threshold: f
 
     # misses: retrieve, prompt, generate, store
     miss = rows.filter(F.col("source") == RETRIEVAL)
-    top = hybrid_retrieve(miss.select("query_id", F.col("question").alias("query"), "qvec"), index, k=k)
-    miss = (miss.join(retrieved_docs(top, index), "query_id", "left")
+    top = hybrid_retrieve(miss.select(F.col("seq").alias("query_id"), F.col("question").alias("query"), "qvec"),
+                          index, k=k)
+    miss = (miss.join(retrieved_docs(top, index).withColumnRenamed("query_id", "seq"), "seq", "left")
             .withColumn("docs", F.coalesce("docs", F.array().cast("array<string>")))
             .withColumn("prompt", build_prompt("question", "docs")))
     miss = cut_lineage(generate_answers(miss, "prompt", generate))
