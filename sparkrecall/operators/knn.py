@@ -28,7 +28,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import row_count_at_most
 from .topk import RANK_DECIMALS, top_k
 
 # Query rows broadcast to every corpus partition at most.
@@ -110,9 +109,9 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "l2sq",
     ``dist`` is the squared L2 distance (l2sq) or the inner product (ip)."""
     q = queries.select(F.col(qid).cast("long").alias("query_id"), F.col(qvec).alias("qv"))
     c = corpus.select(F.col(cid).cast("long").alias("doc_id"), F.col(cvec).alias("cv"))
-    n_q = row_count_at_most(q, broadcast_rows)
-    if n_q is not None:
-        cand = _broadcast_knn(q, c, k, metric, only_earlier, exclude_self)
+    rows = q.limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
+    if rows is not None and len(rows) <= broadcast_rows:   # proven small: at most the bound is fetched
+        cand = _broadcast_knn(q, rows, c, k, metric, only_earlier, exclude_self)
     else:
         cand = _grid_knn(q, c, k, metric, only_earlier, exclude_self)
     key = F.col("dist") if metric == "l2sq" else -F.col("dist")
@@ -121,9 +120,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "l2sq",
     return ranked.drop("_key")
 
 
-def _broadcast_knn(q, c, k, metric, only_earlier, exclude_self) -> DataFrame:
+def _broadcast_knn(q, rows, c, k, metric, only_earlier, exclude_self) -> DataFrame:
     spark = q.sparkSession
-    rows = q.collect()  # bounded by the count check above
     qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     qmat = (np.vstack([np.asarray(r["qv"], dtype=np.float64) for r in rows]) if rows
             else np.zeros((0, 0)))

@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize
 from ..session import cut_lineage
-from .knn import QUERY_BROADCAST_ROWS, knn
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+
+from .knn import CHUNK_ROWS, GRID_CORPUS_BLOCK, GRID_QUERY_BLOCK, QUERY_BROADCAST_ROWS, _stack, knn
 from .ordering import global_rank
 
 # Fixed value: default similarity threshold for serving from memory.
@@ -40,6 +46,71 @@ def _units(df: DataFrame, seq: str, vec: str) -> DataFrame:
     return df.select(F.col(seq).cast("long").alias("seq"), l2_normalize(as_double(vec)).alias("u"))
 
 
+_FLAGS_SCHEMA = "seq long, max_s double, max_u double"
+
+
+def _max_earlier(qi, qm, ci, cm, cs, acc_s, acc_u):
+    """Fold one candidate block into the per-query maxima over earlier rows,
+    separately for stored (cs) and undecided (~cs) candidates."""
+    sims = qm @ cm.T
+    sims[ci[None, :] >= qi[:, None]] = -np.inf
+    if cs.any():
+        np.maximum(acc_s, sims[:, cs].max(axis=1), out=acc_s)
+    if (~cs).any():
+        np.maximum(acc_u, sims[:, ~cs].max(axis=1), out=acc_u)
+
+
+def round_maxima(und: DataFrame, cands: DataFrame, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> DataFrame:
+    """(seq, max_s, max_u): best cosine of each undecided row to an earlier
+    stored row and to an earlier undecided row, in one pass over the
+    candidates (unit vectors ``u``, flag ``is_s``). Only per-row maxima leave a
+    task -- never pairs."""
+    spark = und.sparkSession
+    rows = und.select("seq", "u").limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
+    if rows is not None and len(rows) <= broadcast_rows:   # proven small: at most the bound is fetched
+        qi = np.array([r["seq"] for r in rows], dtype=np.int64)
+        qm = np.vstack([np.asarray(r["u"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
+        bq = spark.sparkContext.broadcast((qi, qm))
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qi_, qm_ = bq.value
+            acc_s = np.full(len(qi_), -np.inf)
+            acc_u = np.full(len(qi_), -np.inf)
+            for pdf in batches:
+                for st in range(0, len(pdf), CHUNK_ROWS):
+                    blk = pdf.iloc[st:st + CHUNK_ROWS]
+                    if len(qi_) == 0 or len(blk) == 0:
+                        continue
+                    _max_earlier(qi_, qm_, blk["seq"].to_numpy(np.int64), _stack(blk["u"]),
+                                 blk["is_s"].to_numpy(bool), acc_s, acc_u)
+            yield pd.DataFrame({"seq": qi_, "max_s": acc_s, "max_u": acc_u})
+
+        flags = cands.select("seq", "u", "is_s").mapInPandas(part, _FLAGS_SCHEMA)
+    else:
+        n_q, n_c = und.count(), cands.count()
+        qb = max(1, math.ceil(n_q / GRID_QUERY_BLOCK))
+        cb = max(1, math.ceil(n_c / GRID_CORPUS_BLOCK))
+        qrep = und.select("seq", "u", (F.abs(F.xxhash64("seq")) % qb).alias("qb"),
+                          F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
+        crep = cands.select("seq", "u", "is_s", (F.abs(F.xxhash64("seq")) % cb).alias("cb"),
+                            F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+
+        def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+            qi_ = qpdf["seq"].to_numpy(np.int64)
+            acc_s = np.full(len(qi_), -np.inf)
+            acc_u = np.full(len(qi_), -np.inf)
+            if len(qi_) and len(cpdf):
+                qm_ = _stack(qpdf["u"])
+                for st in range(0, len(cpdf), CHUNK_ROWS):
+                    blk = cpdf.iloc[st:st + CHUNK_ROWS]
+                    _max_earlier(qi_, qm_, blk["seq"].to_numpy(np.int64), _stack(blk["u"]),
+                                 blk["is_s"].to_numpy(bool), acc_s, acc_u)
+            return pd.DataFrame({"seq": qi_, "max_s": acc_s, "max_u": acc_u})
+
+        flags = qrep.groupBy("qb", "cb").cogroup(crep.groupBy("qb", "cb")).applyInPandas(cell, _FLAGS_SCHEMA)
+    return flags.groupBy("seq").agg(F.max("max_s").alias("max_s"), F.max("max_u").alias("max_u"))
+
+
 def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
                preloaded: DataFrame | None = None, mem_id: str = "id", mem_vec: str = "query_embedding",
                max_rounds: int = MAX_ROUNDS, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -56,21 +127,15 @@ def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "
         if rounds > max_rounds:
             raise RuntimeError("routing fixpoint did not converge")
         und = state.filter(F.col("status") == "U").select("seq", "u")
-        stored = state.filter(F.col("status").isin("S", "P")).select("seq", "u")
-        hit = (knn(und, stored, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
-                   broadcast_rows=broadcast_rows)
-               .filter(F.col("dist") >= threshold).select(F.col("query_id").alias("seq"), F.lit(True).alias("_hit")))
-        blocked = (knn(und, und, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
-                       broadcast_rows=broadcast_rows)
-                   .filter(F.col("dist") >= threshold)
-                   .select(F.col("query_id").alias("seq"), F.lit(True).alias("_blk")))
+        cands = state.filter(F.col("status") != "M").select("seq", "u", F.col("status").isin("S", "P").alias("is_s"))
+        mx = round_maxima(und, cands, broadcast_rows)
         state = cut_lineage(
-            state.join(hit, "seq", "left").join(blocked, "seq", "left")
+            state.join(mx, "seq", "left")
             .withColumn("status", F.when(F.col("status") != "U", F.col("status"))
-                        .when(F.col("_hit").isNotNull(), F.lit("M"))
-                        .when(F.col("_blk").isNull(), F.lit("S"))
+                        .when(F.col("max_s") >= threshold, F.lit("M"))
+                        .when(~(F.coalesce(F.col("max_u"), F.lit(float("-inf"))) >= threshold), F.lit("S"))
                         .otherwise(F.lit("U")))
-            .drop("_hit", "_blk"))
+            .drop("max_s", "max_u"))
     return state, rounds
 
 
