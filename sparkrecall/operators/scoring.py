@@ -133,9 +133,16 @@ def bleu(df: DataFrame, rid: str, pred: str, golds: str) -> DataFrame:
 _NON_ALNUM = re.compile(r"[^a-z0-9]+")
 
 
-def rouge_tokens(text: str | None) -> list[str]:
-    """Lower-case, non [a-z0-9] runs -> space, split (no stemming)."""
-    return [t for t in _NON_ALNUM.sub(" ", (text or "").lower()).split() if t]
+# Fixed value: only tokens longer than this are stemmed.
+STEM_MIN_LEN = 3
+
+
+def rouge_tokens(text: str | None, use_stemmer: bool = True) -> list[str]:
+    """Lower-case, non [a-z0-9] runs -> space, split; Porter-stem tokens longer
+    than three characters."""
+    from ..functions.porter import stem
+    toks = [t for t in _NON_ALNUM.sub(" ", (text or "").lower()).split() if t]
+    return [stem(t) if use_stemmer and len(t) > STEM_MIN_LEN else t for t in toks]
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

@@ -1,0 +1,27 @@
+import pytest
+
+from sparkrecall.functions.porter import stem
+
+# Standard Porter vocabulary examples plus the common extensions.
+CASES = dict(caresses="caress", ponies="poni", ties="tie", caress="caress", cats="cat", feed="feed", agreed="agre",
+             plastered="plaster", bled="bled", motoring="motor", sing="sing", conflated="conflat",
+             troubled="troubl", sized="size", hopping="hop", tanned="tan", falling="fall", hissing="hiss",
+             fizzed="fizz", failing="fail", filing="file", happy="happi", sky="sky", relational="relat",
+             conditional="condit", rational="ration", valenci="valenc", hesitanci="hesit", digitizer="digit",
+             conformabli="conform", radicalli="radic", differentli="differ", vileli="vile", analogousli="analog",
+             vietnamization="vietnam", predication="predic", operator="oper", feudalism="feudal",
+             decisiveness="decis", hopefulness="hope", callousness="callous", formaliti="formal",
+             sensitiviti="sensit", sensibiliti="sensibl", triplicate="triplic", formative="form",
+             formalize="formal", electriciti="electr", electrical="electr", hopeful="hope", goodness="good",
+             revival="reviv", allowance="allow", inference="infer", airliner="airlin", gyroscopic="gyroscop",
+             adjustable="adjust", defensible="defens", irritant="irrit", replacement="replac",
+             adjustment="adjust", dependent="depend", adoption="adopt", communism="commun", activate="activ",
+             angulariti="angular", homologous="homolog", effective="effect", bowdlerize="bowdler",
+             probate="probat", rate="rate", cease="ceas", controll="control", roll="roll",
+             generalizations="gener", oscillators="oscil", enjoy="enjoy", dies="die", flies="fli", spied="spi",
+             tied="tie", running="run")
+
+
+@pytest.mark.parametrize("word", sorted(CASES))
+def test_porter(word):
+    assert stem(word) == CASES[word]
