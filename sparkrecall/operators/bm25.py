@@ -73,12 +73,22 @@ def query_terms(queries: DataFrame, qid_col: str = "query_id", text_col: str = "
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id",
-                text_col: str = "query", broadcast_rows: int | None = None) -> DataFrame:
+                text_col: str = "query", broadcast_rows: int | None = None,
+                only: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, bm25) for every document sharing a term with the query.
-    The query-term table is broadcast only when a bounded count proves it small."""
+    The query-term table is broadcast only when a bounded count proves it small.
+    ``only`` (query_id, doc_id, small): score just these pairs -- postings are
+    first cut to their documents, so the full score table is never built."""
     qt = query_terms(queries, qid_col, text_col)
     if broadcast_rows is not None:
         qt = sized_broadcast(qt, broadcast_rows)
-    return (index.postings.join(qt, "term")
+    postings = index.postings
+    if only is not None:
+        postings = postings.join(F.broadcast(only.select("doc_id").distinct()), "doc_id", "left_semi")
+        return (postings.join(qt, "term").join(F.broadcast(only.select("query_id", "doc_id")),
+                                               ["query_id", "doc_id"], "left_semi")
+                .groupBy("query_id", "doc_id")
+                .agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25")))
+    return (postings.join(qt, "term")
             .groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25")))

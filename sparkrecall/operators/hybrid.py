@@ -12,17 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import row_count_at_most
 from .topk import top_k
 
+# Per-group maxima broadcast to the score rows at most (beyond: shuffle join).
+MAX_BROADCAST_GROUPS = 1_000_000
+
 # Fixed default weights of the two retrievers.
 BM25_WEIGHT = 0.5
 DENSE_WEIGHT = 0.5
 
 
-def max_normalize(df: DataFrame, score: str, group: str = "query_id") -> DataFrame:
+def max_normalize(df: DataFrame, score: str, group: str = "query_id", broadcast_max: bool = False) -> DataFrame:
     """score / max(score) per group when that max is > 0 (partial aggregate +
-    join, so a group holding a third of the rows is not sorted in one task)."""
+    join, so a group holding a third of the rows is not sorted in one task).
+    ``broadcast_max``: the caller has proven the number of groups small, so the
+    per-group maxima are broadcast and the score rows are not shuffled."""
     mx = df.groupBy(group).agg(F.max(score).alias("_mx"))
+    if broadcast_max:
+        mx = F.broadcast(mx)
     return (df.join(mx, group)
             .withColumn(score, F.when(F.col("_mx") > 0, F.col(score) / F.col("_mx")).otherwise(F.col(score)))
             .drop("_mx"))
@@ -35,26 +43,60 @@ def dense_scores(neighbours: DataFrame) -> DataFrame:
 
 def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataFrame,
                  doc_ids: DataFrame, k: int = 3, bm25_weight: float = BM25_WEIGHT,
-                 dense_weight: float = DENSE_WEIGHT) -> DataFrame:
+                 dense_weight: float = DENSE_WEIGHT, dense_candidates: int | None = None,
+                 bm25_for=None) -> DataFrame:
     """(query_id, rank, doc_id, score). ``bm25``: (query_id, doc_id, bm25);
-    ``dense``: (query_id, doc_id, dense); ``queries``: query_id; ``doc_ids``: doc_id."""
-    parts = []
-    if bm25 is not None:
-        parts.append(max_normalize(bm25, "bm25").select("query_id", "doc_id",
-                                                          (F.col("bm25") * bm25_weight).alias("s")))
-    if dense is not None:
-        parts.append(max_normalize(dense, "dense").select("query_id", "doc_id",
-                                                            (F.col("dense") * dense_weight).alias("s")))
-    if len(parts) == 2:
-        a, b = parts
-        cand = (a.withColumnRenamed("s", "s1").join(b.withColumnRenamed("s", "s2"), ["query_id", "doc_id"], "full")
-                .select("query_id", "doc_id", (F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))).alias("score")))
-    else:
-        cand = parts[0].withColumnRenamed("s", "score")
+    ``dense``: (query_id, doc_id, dense); ``queries``: query_id; ``doc_ids``: doc_id.
+    ``dense_candidates``: most dense rows per query (default 2k).
+    ``bm25_for``: optional function (query_id, doc_id) pairs -> their bm25 rows,
+    cheaper than filtering the full score table (e.g. postings cut to those
+    documents first)."""
+    dense_candidates = dense_candidates or 2 * k
+    # Per-query side tables (maxima, candidate keys) have at most
+    # (4k) rows per query: broadcast them when the query table is proven small
+    # (a cheap bounded count of the query table, not of the derived tables).
+    small = row_count_at_most(queries, MAX_BROADCAST_GROUPS // (4 * k)) is not None
     # lowest 2k ids as a scalar array (bounded), exploded per query: the pad set.
     first_ids = doc_ids.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id")).scalar()
-    pads = queries.select("query_id", F.explode(first_ids).alias("doc_id")).withColumn("score", F.lit(0.0))
-    pads = pads.join(cand.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    pad_keys = queries.select("query_id", F.explode(first_ids).alias("doc_id"))
+    dn = None
+    if dense is not None:
+        dn = max_normalize(dense, "dense", broadcast_max=small).select(
+            "query_id", "doc_id", (F.col("dense") * dense_weight).alias("s2"))
+    bn = None
+    if bm25 is not None:
+        mx = bm25.groupBy("query_id").agg(F.max("bm25").alias("_mx"))
+        mx = F.broadcast(mx) if small else mx
+
+        def weighted(df):
+            return (df.join(mx, "query_id")
+                    .select("query_id", "doc_id", (F.when(F.col("_mx") > 0, F.col("bm25") / F.col("_mx"))
+                                                   .otherwise(F.col("bm25")) * bm25_weight).alias("s1")))
+        bn = weighted(bm25)
+        # Exact pruning: outside the dense candidates the hybrid order is the
+        # weighted-BM25 order, so only the dense candidates and the BM25 top
+        # (k + dense candidates) can reach the final top-k. BM25 rows of the
+        # dense candidates and of the pad ids are kept too (their true scores
+        # are needed), via a semi join against that small key set. The full
+        # score table is never shuffled.
+        dense_k = dense_candidates if dn is not None else 0
+        keys = pad_keys if dn is None else pad_keys.unionByName(dn.select("query_id", "doc_id"))
+        if bm25_for is not None:
+            on_keys = weighted(bm25_for(keys))
+        else:
+            on_keys = bn.join(F.broadcast(keys) if small else keys, ["query_id", "doc_id"], "left_semi")
+        top_b = top_k(bn, k + dense_k, score="s1", id_col="doc_id").drop("rank")
+        bn = top_b.unionByName(on_keys).dropDuplicates(["query_id", "doc_id"])
+    if bn is not None and dn is not None:
+        cand = (bn.join(dn, ["query_id", "doc_id"], "full")
+                .select("query_id", "doc_id",
+                        (F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))).alias("score")))
+    elif bn is not None:
+        cand = bn.withColumnRenamed("s1", "score")
+    else:
+        cand = dn.withColumnRenamed("s2", "score")
+    pads = pad_keys.join(cand.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti") \
+        .withColumn("score", F.lit(0.0))
     return top_k(cand.unionByName(pads), k, score="score", id_col="doc_id").select(
         "query_id", "rank", "doc_id", "score")
 

@@ -55,10 +55,12 @@ def hybrid_retrieve(queries: DataFrame, index: RetrievalIndex, k: int = 3, bm25_
     if bm25_weight:
         parts["bm25"] = bm25_scores(index.bm25, q, broadcast_rows=1_000_000)
     if dense_weight:
-        nn = knn(q, index.vectors, 2 * k, qid="query_id", qvec="qvec", cid="chunk_id", cvec="vec")
+        # dense candidates (2k per query) are read several times: materialise once
+        nn = cut_lineage(knn(q, index.vectors, 2 * k, qid="query_id", qvec="qvec", cid="chunk_id", cvec="vec"))
         parts["dense"] = dense_scores(nn)
     top = hybrid_top_k(parts.get("bm25"), parts.get("dense"), q.select("query_id"),
-                       index.chunks.select(F.col("chunk_id").alias("doc_id")), k, bm25_weight, dense_weight)
+                       index.chunks.select(F.col("chunk_id").alias("doc_id")), k, bm25_weight, dense_weight,
+                       bm25_for=lambda keys: bm25_scores(index.bm25, q, broadcast_rows=1_000_000, only=keys))
     return top.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score")
 
 

@@ -73,9 +73,12 @@ def dense_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, vecs, qs, qvecs = _retrieval_inputs(spark, sf_dir)
-    bm = bm25_scores(build_bm25(chunks), qs, broadcast_rows=1_000_000)
-    nn = knn(qvecs, vecs, 6, qid="query_id", cid="chunk_id")
-    top = hybrid_top_k(bm, dense_scores(nn), qs, chunks.select(F.col("chunk_id").alias("doc_id")), k=3)
+    index = build_bm25(chunks)
+    bm = bm25_scores(index, qs, broadcast_rows=1_000_000)
+    # dense candidates are tiny (2k per query) and read three times: materialise once
+    nn = cut_lineage(knn(qvecs, vecs, 6, qid="query_id", cid="chunk_id"))
+    top = hybrid_top_k(bm, dense_scores(nn), qs, chunks.select(F.col("chunk_id").alias("doc_id")), k=3,
+                       bm25_for=lambda keys: bm25_scores(index, qs, broadcast_rows=1_000_000, only=keys))
     return top.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), _r("score").alias("score"))
 
 
