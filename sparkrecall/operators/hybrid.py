@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .sizing import row_count_at_most
 from .topk import top_k
 
@@ -48,9 +49,7 @@ def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataF
     """(query_id, rank, doc_id, score). ``bm25``: (query_id, doc_id, bm25);
     ``dense``: (query_id, doc_id, dense); ``queries``: query_id; ``doc_ids``: doc_id.
     ``dense_candidates``: most dense rows per query (default 2k).
-    ``bm25_for``: optional function (query_id, doc_id) pairs -> their bm25 rows,
-    cheaper than filtering the full score table (e.g. postings cut to those
-    documents first)."""
+    ``bm25_for``: unused (kept for callers); key rows come from the written score table."""
     dense_candidates = dense_candidates or 2 * k
     # Per-query side tables (maxima, candidate keys) have at most
     # (4k) rows per query: broadcast them when the query table is proven small
@@ -65,6 +64,9 @@ def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataF
             "query_id", "doc_id", (F.col("dense") * dense_weight).alias("s2"))
     bn = None
     if bm25 is not None:
+        # The score table is computed once (one scoring pass) and written; the
+        # maxima, the pruned top and the key rows are then cheap scans of it.
+        bm25 = cut_lineage(bm25)
         mx = bm25.groupBy("query_id").agg(F.max("bm25").alias("_mx"))
         mx = F.broadcast(mx) if small else mx
 
@@ -77,14 +79,11 @@ def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataF
         # weighted-BM25 order, so only the dense candidates and the BM25 top
         # (k + dense candidates) can reach the final top-k. BM25 rows of the
         # dense candidates and of the pad ids are kept too (their true scores
-        # are needed), via a semi join against that small key set. The full
-        # score table is never shuffled.
+        # are needed), via a semi join against that small key set. The score
+        # table is never shuffled.
         dense_k = dense_candidates if dn is not None else 0
         keys = pad_keys if dn is None else pad_keys.unionByName(dn.select("query_id", "doc_id"))
-        if bm25_for is not None:
-            on_keys = weighted(bm25_for(keys))
-        else:
-            on_keys = bn.join(F.broadcast(keys) if small else keys, ["query_id", "doc_id"], "left_semi")
+        on_keys = bn.join(F.broadcast(keys) if small else keys, ["query_id", "doc_id"], "left_semi")
         top_b = top_k(bn, k + dense_k, score="s1", id_col="doc_id").drop("rank")
         bn = top_b.unionByName(on_keys).dropDuplicates(["query_id", "doc_id"])
     if bn is not None and dn is not None:
