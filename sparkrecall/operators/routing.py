@@ -60,13 +60,15 @@ def _max_earlier(qi, qm, ci, cm, cs, acc_s, acc_u):
         np.maximum(acc_u, sims[:, ~cs].max(axis=1), out=acc_u)
 
 
-def round_maxima(und: DataFrame, cands: DataFrame, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> DataFrame:
+def round_maxima(und: DataFrame, cands: DataFrame, broadcast_rows: int = QUERY_BROADCAST_ROWS,
+                 rows: list | None = None) -> DataFrame:
     """(seq, max_s, max_u): best cosine of each undecided row to an earlier
     stored row and to an earlier undecided row, in one pass over the
     candidates (unit vectors ``u``, flag ``is_s``). Only per-row maxima leave a
     task -- never pairs."""
     spark = und.sparkSession
-    rows = und.select("seq", "u").limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
+    if rows is None and broadcast_rows > 0:
+        rows = und.select("seq", "u").limit(broadcast_rows + 1).collect()
     if rows is not None and len(rows) <= broadcast_rows:   # proven small: at most the bound is fetched
         qi = np.array([r["seq"] for r in rows], dtype=np.int64)
         qm = np.vstack([np.asarray(r["u"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
@@ -122,13 +124,18 @@ def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "
         state = state.unionByName(pre)
     state = cut_lineage(state)
     rounds = 0
-    while state.filter(F.col("status") == "U").limit(1).count() > 0:
+    while True:
+        und = state.filter(F.col("status") == "U").select("seq", "u")
+        # one bounded fetch is both the termination test and, when small, the
+        # broadcast side of this round
+        rows = und.limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
+        if (len(rows) == 0) if rows is not None else (und.limit(1).count() == 0):
+            break
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError("routing fixpoint did not converge")
-        und = state.filter(F.col("status") == "U").select("seq", "u")
         cands = state.filter(F.col("status") != "M").select("seq", "u", F.col("status").isin("S", "P").alias("is_s"))
-        mx = round_maxima(und, cands, broadcast_rows)
+        mx = round_maxima(und, cands, broadcast_rows, rows=rows)
         state = cut_lineage(
             state.join(mx, "seq", "left")
             .withColumn("status", F.when(F.col("status") != "U", F.col("status"))
