@@ -227,22 +227,56 @@ def exact_match_in_group(df: DataFrame, rid: str, group: str, text: str) -> Data
     return n.join(cnt, [group, "_n"]).select(rid, F.when(F.col("_k") > 1, 1.0).otherwise(0.0).alias("em"))
 
 
+def _has_automaton() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+        return True
+    except ImportError:
+        return False
+
+
+def _automaton_hits(t: DataFrame, g: DataFrame, rid: str) -> DataFrame:
+    """Rows of ``t`` whose normalised text contains any gold: an Aho-Corasick
+    automaton over the (size-checked) golds is built once per task and scans
+    each text in time linear in its length, whatever the number of golds."""
+    spark = t.sparkSession
+    golds = [r[0] for r in g.collect()]   # bounded by the caller's count check
+    bg = spark.sparkContext.broadcast(golds)
+    schema = t.select(rid).schema
+
+    def scan(batches):
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        for i, w in enumerate(bg.value):
+            auto.add_word(w, i)
+        auto.make_automaton()
+        for pdf in batches:
+            keep = [next(auto.iter(x), None) is not None if x else False for x in pdf["_t"]]
+            yield pdf.loc[keep, [rid]]
+
+    return t.mapInPandas(scan, schema)
+
+
 def contains_any(df: DataFrame, rid: str, text: str, golds: DataFrame, gold_text: str,
-                 broadcast_rows: int = 100_000, block_rows: int = 100_000) -> DataFrame:
+                 broadcast_rows: int = 100_000, block_rows: int = 100_000,
+                 automaton_min_golds: int = 1_000) -> DataFrame:
     """(rid, answer_contains_gold) against one shared gold table: true when any
     non-empty normalised gold is a substring of the normalised text.
 
-    Golds proven small (bounded count) are broadcast into a nested-loop semi
-    join. Larger gold tables are split into hash blocks of about
-    ``block_rows`` and each text is replicated once per block, so every task
-    compares one block of golds with its texts."""
+    Golds proven small (bounded count): up to ``automaton_min_golds`` they are
+    broadcast into a nested-loop semi join (JVM ``contains``); above that an
+    Aho-Corasick automaton scans each text once. Larger gold tables are split
+    into hash blocks of about ``block_rows`` and each text is replicated once
+    per block, so every task compares one block of golds with its texts."""
     from .sizing import row_count_at_most
 
     t = df.select(rid, normalize_answer(text).alias("_t"))
     g = golds.select(normalize_answer(gold_text).alias("_g")).filter(F.col("_g") != "").distinct()
     cond = F.col("_t").contains(F.col("_g"))
     n = row_count_at_most(g, broadcast_rows)
-    if n is not None:
+    if n is not None and n > automaton_min_golds and _has_automaton():
+        hits = _automaton_hits(t, g, rid)
+    elif n is not None:
         hits = t.join(F.broadcast(g), cond, "left_semi").select(rid)
     else:
         blocks = max(1, -(-g.count() // block_rows))

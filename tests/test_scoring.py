@@ -70,3 +70,21 @@ def test_conversation_scores_against_bruteforce(spark):
         assert got[k]["em"] == brute.em(p, g)
         assert got[k]["answer_contains_gold"] == brute.contains(p, g)
         assert rl[k] == pytest.approx(brute.rouge_l(p, g), abs=1e-6)
+
+
+def test_contains_any_paths_agree(spark):
+    from sparkrecall.operators.scoring import contains_any
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([
+        "The quick brown fox jumps", "nothing here", "Über café, naïve!", "", None, "an apple a day"])],
+        "id long, text string")
+    golds = spark.createDataFrame([(g,) for g in ["brown fox", "CAFE", "café naïve", "The", "apple day", "zzz"]],
+                                  "g string")
+    base = {r["id"]: r["answer_contains_gold"] for r in contains_any(docs, "id", "text", golds, "g").collect()}
+    auto = {r["id"]: r["answer_contains_gold"]
+            for r in contains_any(docs, "id", "text", golds, "g", automaton_min_golds=0).collect()}
+    block = {r["id"]: r["answer_contains_gold"]
+             for r in contains_any(docs, "id", "text", golds, "g", broadcast_rows=1, block_rows=2).collect()}
+    want = {i: brute.contains(t, ["brown fox", "CAFE", "café naïve", "The", "apple day", "zzz"])
+            for i, t in enumerate(["The quick brown fox jumps", "nothing here", "Über café, naïve!", "", None,
+                                   "an apple a day"])}
+    assert base == auto == block == want
