@@ -126,3 +126,13 @@ def result_inventory(spark: SparkSession, base_dir: str, exts: tuple[str, ...] =
     return (files.withColumn("extension", ext).filter(F.col("extension").isin(*exts))
             .groupBy("extension").agg(F.count(F.lit(1)).alias("files"),
                                       F.round(F.sum("length") / 1024.0, 1).alias("size_kb")))
+
+
+def synthetic_qa(spark: SparkSession, rows: list[tuple[str, str]], n: int | None = None) -> DataFrame:
+    """A small inline QA table from (question, answer) pairs supplied by the
+    caller, in order: pos, query_id ``synthetic_%03d`` of the position,
+    question, answer; ``n`` keeps the first n."""
+    from ..operators.samples import SYNTHETIC_ID_FORMAT, positional_id
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(rows)], "pos long, question string, answer string")
+    df = df.withColumn("query_id", positional_id("pos", SYNTHETIC_ID_FORMAT))
+    return ordered_cap(df, n, ["pos"]).select("pos", "query_id", "question", "answer")

@@ -39,6 +39,17 @@ def manifest(questions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                             F.size("answer_aliases").alias("num_aliases"), *extra)
 
 
+def smoke_manifest(queries: DataFrame) -> DataFrame:
+    """query_id, question, answer_value, num_aliases, num_evidence (smoke runner)."""
+    return queries.select("query_id", "question", "answer_value", F.size("answer_aliases").alias("num_aliases"),
+                          F.coalesce(F.size("evidence.wikipedia"), F.lit(0)).alias("num_evidence"))
+
+
+def answer_manifest(queries: DataFrame) -> DataFrame:
+    """query_id, question, correct_answer (fast synthetic runner)."""
+    return queries.select("query_id", "question", F.col("answer").alias("correct_answer"))
+
+
 def write_manifest(questions: DataFrame, path: str):
     _csv(manifest(questions), path)
 

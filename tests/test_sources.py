@@ -95,3 +95,26 @@ def test_inventory_and_positions(spark, tmp):
     open(f"{tmp}/s.jsonl", "w").write("\n".join(lines))
     s = R.read_samples(spark, f"{tmp}/s.jsonl", n=3).orderBy("pos").collect()
     assert [r["question"] for r in s] == ["q0", "q1", "q2"] and [r["pos"] for r in s] == [0, 1, 2]
+
+
+def test_synthetic_qa_and_manifests(spark):
+    q = R.synthetic_qa(spark, [("Q one?", "a"), ("Q two?", "b"), ("Q three?", "c")], n=2).collect()
+    assert [r["query_id"] for r in q] == ["synthetic_000", "synthetic_001"]
+    m = W.answer_manifest(R.synthetic_qa(spark, [("Q?", "x")])).collect()[0]
+    assert m["correct_answer"] == "x"
+    df = spark.createDataFrame([("q1", "Q?", "v", ["v", "w"], ([("t",), ("u",)],))],
+                               "query_id string, question string, answer_value string, answer_aliases array<string>,"
+                               " evidence struct<wikipedia:array<struct<text:string>>>")
+    r = W.smoke_manifest(df).collect()[0]
+    assert (r["num_aliases"], r["num_evidence"]) == (2, 2)
+
+
+def test_stream_log_sink_appends_nonblank(spark, tmp):
+    from sparkrecall.streaming.telemetry import stream_log_sink
+    rows = [(1, "run", " q1 ", 0.5), (2, "run", "  ", 0.1), (3, "run2", "q3", 0.9)]
+    src = f"{tmp}/src"
+    spark.createDataFrame(rows, "seq long, run_id string, query string, confidence double").write.parquet(src)
+    stream = spark.readStream.schema("seq long, run_id string, query string, confidence double").parquet(src)
+    stream_log_sink(stream, f"{tmp}/out", f"{tmp}/ckpt").awaitTermination()
+    got = sorted(r["seq"] for r in spark.read.parquet(f"{tmp}/out").collect())
+    assert got == [1, 3]
