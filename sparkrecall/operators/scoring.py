@@ -49,81 +49,106 @@ def contains_gold(pred, golds) -> Column:
 # ---------------------------------------------------------------------------
 # Multiset metrics (explode / aggregate / join)
 # ---------------------------------------------------------------------------
-def _alias_tokens(df: DataFrame, rid: str, golds: str) -> DataFrame:
-    return (df.select(rid, F.posexplode(golds).alias("ai", "g"))
-            .select(rid, "ai", normalized_tokens("g").alias("gt")))
+def _tokenised(df: DataFrame, rid: str, pred: str, golds: str) -> DataFrame:
+    """(rid, pt, gts): normalised prediction tokens and per-alias token arrays."""
+    return df.select(rid, normalized_tokens(pred).alias("pt"),
+                     F.transform(F.coalesce(F.col(golds), F.array().cast("array<string>")),
+                                 lambda g: normalized_tokens(g)).alias("gts"))
 
 
-def token_f1(df: DataFrame, rid: str, pred: str, golds: str, empty_without_gold_is_one: bool = False) -> DataFrame:
+def _by_row(df: DataFrame, rid: str, partitioned: bool) -> DataFrame:
+    """Hash-partition by ``rid`` once: every later aggregation keyed by
+    (rid, ...) and every join on rid alone is then partition-local."""
+    if partitioned:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rid)
+
+
+def _tag(tokens: Column, ai) -> Column:
+    return F.transform(tokens, lambda t: F.struct(F.lit(ai).cast("int").alias("ai"), t.alias("tok")))
+
+
+def token_f1(df: DataFrame, rid: str, pred: str, golds: str, empty_without_gold_is_one: bool = False,
+             partitioned: bool = False, tokenised: DataFrame | None = None) -> DataFrame:
     """(rid, f1): best token-F1 over aliases; empty prediction -> 0; empty
     aliases skipped; no usable alias -> 0. ``empty_without_gold_is_one``: the
-    smoke-runner variant where an empty prediction with no aliases scores 1."""
-    p = df.select(rid, normalized_tokens(pred).alias("pt"))
-    plen = p.select(rid, F.size("pt").alias("np"))
-    pc = (p.select(rid, F.explode("pt").alias("tok")).groupBy(rid, "tok")
-          .agg(F.count(F.lit(1)).alias("cp")))
-    g = _alias_tokens(df, rid, golds)
-    glen = g.select(rid, "ai", F.size("gt").alias("ng")).filter(F.col("ng") > 0)
-    gc = (g.select(rid, "ai", F.explode("gt").alias("tok")).groupBy(rid, "ai", "tok")
-          .agg(F.count(F.lit(1)).alias("cg")))
-    same = (gc.join(pc, [rid, "tok"]).groupBy(rid, "ai")
-            .agg(F.sum(F.least("cp", "cg")).alias("same")))
-    per = glen.join(same, [rid, "ai"], "left").join(plen, rid)
-    prec = F.col("same") / F.col("np")
-    rec = F.col("same") / F.col("ng")
-    per = per.select(rid, F.when(F.col("same") > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1"))
-    best = per.groupBy(rid).agg(F.max("f1").alias("best"))
+    smoke-runner variant where an empty prediction with no aliases scores 1.
+
+    Multiset overlap per alias = sum over tokens of min(pred count, alias
+    count): one explode of tagged tokens and aggregations keyed by rid, all
+    partition-local after a single repartition by rid."""
+    t = tokenised if tokenised is not None else _tokenised(_by_row(df, rid, partitioned), rid, pred, golds)
+    tagged = F.concat(_tag(F.col("pt"), -1),
+                      F.flatten(F.transform("gts", lambda g, i: F.transform(
+                          g, lambda x: F.struct(i.cast("int").alias("ai"), x.alias("tok"))))))
+    c = (t.select(rid, F.explode(tagged).alias("x"))
+         .groupBy(rid, F.col("x.tok").alias("tok"), F.col("x.ai").alias("ai")).agg(F.count(F.lit(1)).alias("c")))
+    per_tok = c.groupBy(rid, "tok").agg(
+        F.sum(F.when(F.col("ai") < 0, F.col("c"))).alias("cp"),
+        F.collect_list(F.when(F.col("ai") >= 0, F.struct("ai", "c"))).alias("gl"))
+    same = (per_tok.filter(F.col("cp").isNotNull()).select(rid, "cp", F.explode("gl").alias("g"))
+            .groupBy(rid, F.col("g.ai").alias("ai")).agg(F.sum(F.least("cp", F.col("g.c"))).alias("same"))
+            .groupBy(rid).agg(F.collect_list(F.struct("ai", "same")).alias("sl")))
+    j = t.join(same, rid, "left")
+    np_ = F.size("pt")
+
+    def alias_f1(g, i):
+        ng = F.size(g)
+        sm = F.aggregate(F.coalesce(F.col("sl"), F.array().cast("array<struct<ai:int,same:bigint>>")),
+                         F.lit(0).cast("bigint"), lambda acc, x: F.when(x["ai"] == i, x["same"]).otherwise(acc))
+        prec, rec = sm / np_, sm / ng
+        return F.when(ng == 0, F.lit(None).cast("double")).when(sm > 0, 2 * prec * rec / (prec + rec)) \
+            .otherwise(F.lit(0.0))
+
+    best = F.array_max(F.filter(F.transform("gts", alias_f1), lambda x: x.isNotNull()))
     empty = F.lit(0.0)
     if empty_without_gold_is_one:
-        n_gold = df.select(rid, F.coalesce(F.size(golds), F.lit(0)).alias("ngold"))
-        plen = plen.join(n_gold, rid)
-        empty = F.when(F.col("ngold") <= 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return (plen.join(best, rid, "left")
-            .select(rid, F.when(F.col("np") == 0, empty).otherwise(F.coalesce("best", F.lit(0.0))).alias("f1")))
+        empty = F.when(F.size("gts") <= 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return j.select(rid, F.when(np_ == 0, empty).otherwise(F.coalesce(best, F.lit(0.0))).alias("f1"))
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
+def _ngrams(tokens: Column, n: int, ai) -> Column:
     size = F.size(tokens)
     grams = F.transform(F.sequence(F.lit(1), size - n + 1),
-                        lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+                        lambda i: F.struct(ai.cast("int").alias("ai"), F.lit(n).alias("n"),
+                                           F.array_join(F.slice(tokens, i, n), " ").alias("gram")))
+    return F.when(size >= n, grams).otherwise(F.array().cast("array<struct<ai:int,n:int,gram:string>>"))
 
 
-def _all_ngrams(tokens: Column) -> Column:
-    return F.concat(*[_ngrams(tokens, n) for n in range(1, BLEU_MAX_N + 1)])
+def _all_ngrams(tokens: Column, ai) -> Column:
+    return F.concat(*[_ngrams(tokens, n, ai) for n in range(1, BLEU_MAX_N + 1)])
 
 
-def bleu(df: DataFrame, rid: str, pred: str, golds: str) -> DataFrame:
+def bleu(df: DataFrame, rid: str, pred: str, golds: str, partitioned: bool = False,
+         tokenised: DataFrame | None = None) -> DataFrame:
     """(rid, bleu): multi-reference sentence BLEU, clipped n-gram precision,
     brevity penalty against the closest reference length (shorter on ties).
-    Empty prediction or no non-empty reference -> 0; no unigram match -> 0."""
-    h = df.select(rid, normalized_tokens(pred).alias("ht"))
-    hlen = h.select(rid, F.size("ht").alias("c"))
-    hc = (h.select(rid, F.explode(_all_ngrams(F.col("ht"))).alias("x"))
-          .groupBy(rid, F.col("x.n").alias("n"), F.col("x.gram").alias("gram")).agg(F.count(F.lit(1)).alias("ch")))
-    r = _alias_tokens(df, rid, golds).filter(F.size("gt") > 0)
-    rlen = r.select(rid, "ai", F.size("gt").alias("rl"))
-    rc = (r.select(rid, "ai", F.explode(_all_ngrams(F.col("gt"))).alias("x"))
-          .groupBy(rid, "ai", F.col("x.n").alias("n"), F.col("x.gram").alias("gram"))
-          .agg(F.count(F.lit(1)).alias("cr"))
-          .groupBy(rid, "n", "gram").agg(F.max("cr").alias("mr")))
-    clipped = (hc.join(rc, [rid, "n", "gram"], "left")
+    Empty prediction or no non-empty reference -> 0; no unigram match -> 0.
+    Same layout as ``token_f1``: aggregations keyed by rid after one repartition."""
+    t = tokenised if tokenised is not None else _tokenised(_by_row(df, rid, partitioned), rid, pred, golds)
+    grams = F.concat(_all_ngrams(F.col("pt"), F.lit(-1)),
+                     F.flatten(F.transform("gts", lambda g, i: _all_ngrams(g, i))))
+    c = (t.select(rid, F.explode(grams).alias("x"))
+         .groupBy(rid, F.col("x.n").alias("n"), F.col("x.gram").alias("gram"), F.col("x.ai").alias("ai"))
+         .agg(F.count(F.lit(1)).alias("c")))
+    g2 = c.groupBy(rid, "n", "gram").agg(F.sum(F.when(F.col("ai") < 0, F.col("c"))).alias("ch"),
+                                         F.max(F.when(F.col("ai") >= 0, F.col("c"))).alias("mr"))
+    clipped = (g2.filter(F.col("ch").isNotNull())
                .groupBy(rid).agg(*[F.sum(F.when(F.col("n") == n, F.least("ch", F.coalesce("mr", F.lit(0))))
                                          .otherwise(0)).alias(f"m{n}") for n in range(1, BLEU_MAX_N + 1)]))
-    closest = (rlen.join(hlen, rid)
-               .groupBy(rid).agg(F.min(F.struct(F.abs(F.col("rl") - F.col("c")).alias("d"), F.col("rl").alias("rl")))
-                                 .alias("best"))
-               .select(rid, F.col("best.rl").alias("r")))
-    j = hlen.join(closest, rid, "left").join(clipped, rid, "left")
-    c = F.col("c").cast("double")
+    j = t.join(clipped, rid, "left")
+    c_len = F.size("pt").cast("double")
+    ref_lens = F.filter(F.transform("gts", lambda g: F.size(g)), lambda x: x > 0)
+    closest = F.array_min(F.transform(ref_lens, lambda x: F.struct(F.abs(x - F.size("pt")).alias("d"),
+                                                                    x.alias("rl"))))["rl"]
     logs = []
     for n in range(1, BLEU_MAX_N + 1):
-        den = F.greatest(F.lit(1.0), c - (n - 1))
+        den = F.greatest(F.lit(1.0), c_len - (n - 1))
         m = F.coalesce(F.col(f"m{n}"), F.lit(0)).cast("double")
         logs.append(F.log(F.when(m > 0, m / den).otherwise(F.lit(BLEU_EPSILON) / den)))
-    bp = F.when(c > F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / c))
+    bp = F.when(c_len > closest, F.lit(1.0)).otherwise(F.exp(1 - closest / c_len))
     score = bp * F.exp(sum(logs) / BLEU_MAX_N)
-    valid = (F.col("c") > 0) & F.col("r").isNotNull() & (F.coalesce(F.col("m1"), F.lit(0)) > 0)
+    valid = (F.size("pt") > 0) & (F.size(ref_lens) > 0) & (F.coalesce(F.col("m1"), F.lit(0)) > 0)
     return j.select(rid, F.when(valid, score).otherwise(F.lit(0.0)).alias("bleu"))
 
 
@@ -191,13 +216,15 @@ def evaluate_predictions(df: DataFrame, rid: str, pred: str = "prediction", gold
                          with_rouge: bool = True, smoke_f1: bool = False) -> DataFrame:
     """Input rows (rid, pred, golds array<string>) -> rid, em, f1, bleu,
     answer_contains_gold [, rouge_l]; ``rid`` must be unique."""
-    base = df.select(rid, pred, golds)
+    # one shuffle: by row id; everything after it is partition-local
+    base = _by_row(df.select(rid, pred, golds), rid, False)
+    tok = _tokenised(base, rid, pred, golds)
     inrow = [exact_match(pred, golds).alias("em"), contains_gold(pred, golds).alias("answer_contains_gold")]
     if with_rouge:
         inrow.append(rouge_l(pred, golds).alias("rouge_l"))
     out = base.select(rid, *inrow)
-    return (out.join(token_f1(base, rid, pred, golds, smoke_f1), rid)
-            .join(bleu(base, rid, pred, golds), rid))
+    return (out.join(token_f1(base, rid, pred, golds, smoke_f1, partitioned=True, tokenised=tok), rid)
+            .join(bleu(base, rid, pred, golds, partitioned=True, tokenised=tok), rid))
 
 
 def capture_errors(preds: DataFrame, answer_col: str = "generated_answer", limit: int | None = 100,
