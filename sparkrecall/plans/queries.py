@@ -173,7 +173,7 @@ METRICS_NEEDLE = "  CLICK "
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    conf = F.get_json_object("props", "$.k").cast("double") / 100.0
+    conf = F.get_json_object("props", "$.k").try_cast("double") / 100.0
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"),
                     F.col("ts").alias("timestamp"), F.col("event_type").alias("query"),
                     conf.alias("confidence"), F.col("value").alias("latency"),
