@@ -277,3 +277,11 @@ ORACLES["stream_routing_embeddings"] = ORACLES["routing_embeddings"]
 ORACLES["stream_log_counters_events"] = f"""WITH {EVENTS_LOG_CTE}
 SELECT run_id, source, count(*) AS n, round(sum(confidence), 6) AS sum_confidence,
        round(sum(latency), 6) AS sum_latency FROM lg GROUP BY run_id, source"""
+
+ORACLES["retrieval_quality"] = f"""
+SELECT h.query_id, count(*) AS returned, count(DISTINCT h.chunk_id) AS "distinct",
+       count(*) = 3 AS exact_k, count(*) = count(DISTINCT h.chunk_id) AS no_duplicates,
+       coalesce(bool_or(l.quality = 1), false) AS hit_quality
+FROM ({ORACLES["hybrid_top3"]}) h
+LEFT JOIN labels l ON l.doc_id = h.chunk_id // {STRIDE}
+GROUP BY h.query_id"""

@@ -303,3 +303,23 @@ def stream_log_counters_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY.update({"stream_routing_embeddings": stream_routing_embeddings,
                  "stream_log_counters_events": stream_log_counters_events})
+
+
+# ---------------------------------------------------------------------------
+# Retrieval quality checks over the hybrid top-3: exact k, no duplicates, and
+# hit@k against the `labels` table (a retrieved chunk of a quality document).
+# ---------------------------------------------------------------------------
+def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.chunking import CHUNK_ID_STRIDE
+    from ..operators.hybrid import retrieval_checks
+    top = hybrid_top3(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc_pos"), "quality")
+    lab = (top.withColumn("doc_pos", (F.col("chunk_id") / F.lit(CHUNK_ID_STRIDE)).cast("long"))
+           .join(labels, "doc_pos", "left"))
+    hits = lab.groupBy("query_id").agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("hit_quality"))
+    checks = retrieval_checks(top, 3)
+    return checks.join(hits, "query_id").select("query_id", "returned", "distinct", "exact_k", "no_duplicates",
+                                                "hit_quality")
+
+
+REGISTRY["retrieval_quality"] = retrieval_quality
