@@ -29,11 +29,23 @@ SUMMARY_DDL = (
 
 
 def with_file_positions(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """0-based position in file order (files by path, rows in read order),
-    numbered with ``zipWithIndex`` over the scan (one counting job, no shuffle)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(pos, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """0-based position in file order (files by path, rows in file order), all
+    JVM-side. ``df`` must be a file scan. Parquet exposes the row index within
+    a file; for text formats a split is read in order inside one task, so the
+    key (file, split start, monotonically increasing id) orders rows exactly.
+    Dense positions come from the distributed ``global_rank`` (whose
+    checkpoint also freezes the id)."""
+    from ..operators.ordering import global_rank
+    cols = df.columns
+    try:
+        keyed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.lit(0).cast("long").alias("_b"),
+                          F.col("_metadata.row_index").alias("_i"))
+        keyed.schema  # noqa: B018 -- forces analysis: row_index exists for Parquet only
+    except Exception:  # noqa: BLE001
+        keyed = df.select("*", F.col("_metadata.file_path").alias("_f"),
+                          F.col("_metadata.file_block_start").alias("_b"),
+                          F.monotonically_increasing_id().alias("_i"))
+    return global_rank(keyed, ["_f", "_b", "_i"], out=pos).select(*[F.col(f"`{c}`") for c in cols], pos)
 
 
 def read_samples(spark: SparkSession, path: str, n: int | None = None, fmt: str = "json",
@@ -62,11 +74,14 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, seq: str | None = None) -> DataFrame:
     """Telemetry CSV (header, quoted multi-line fields) -> typed log; both the
-    older 10-column and the 12-column layouts (missing columns -> null)."""
+    older 10-column and the 12-column layouts (missing columns -> null).
+    ``seq``: also number rows in file order."""
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .option("inferSchema", False).csv(path))
+    if seq is not None:
+        raw = with_file_positions(raw, seq)
     for c in LOG_V2_COLUMNS:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
@@ -78,12 +93,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         dbl("latency").alias("latency"), F.col("memory_size").try_cast("long").alias("memory_size"),
         F.col("retrieval_count").try_cast("long").alias("retrieval_count"),
         F.col("memory_count").try_cast("long").alias("memory_count"),
-        F.col("_metadata.file_path").alias("file_path"))
+        *([F.col(seq)] if seq is not None else []),
+        *([] if seq is not None else [F.col("_metadata.file_path").alias("file_path")]))
 
 
 def read_log_with_order(spark: SparkSession, path: str) -> DataFrame:
     """``read_log`` plus ``seq`` = row position in file order (latest = last)."""
-    return with_file_positions(read_log(spark, path), "seq")
+    return read_log(spark, path, seq="seq")
 
 
 def read_summaries(spark: SparkSession, base_dir: str) -> DataFrame:

@@ -118,3 +118,21 @@ def test_stream_log_sink_appends_nonblank(spark, tmp):
     stream_log_sink(stream, f"{tmp}/out", f"{tmp}/ckpt").awaitTermination()
     got = sorted(r["seq"] for r in spark.read.parquet(f"{tmp}/out").collect())
     assert got == [1, 3]
+
+
+def test_file_positions_jvm_side(spark, tmp):
+    lines = [json.dumps({"q": f"q{i}"}) for i in range(50)]
+    open(f"{tmp}/b.jsonl", "w").write("\n".join(lines[25:]))
+    open(f"{tmp}/a.jsonl", "w").write("\n".join(lines[:25]))
+    got = [r["q"] for r in R.with_file_positions(spark.read.json(tmp)).orderBy("pos").collect()]
+    assert got == [f"q{i}" for i in range(50)]
+    spark.read.json(tmp).write.parquet(f"{tmp}/pq")
+    pq = R.with_file_positions(spark.read.parquet(f"{tmp}/pq")).collect()
+    assert sorted(r["pos"] for r in pq) == list(range(50))
+    log = ("timestamp,query,confidence,memory_id,sim_query,sim_answer,sim_docs,source,latency,memory_size,"
+           "retrieval_count,memory_count\n" + "".join(f"2026-04-15 10:00:0{i},q{i},0.1,,,,,retrieval,1,1,1,0\n"
+                                                      for i in range(5)))
+    os.makedirs(f"{tmp}/lg")
+    open(f"{tmp}/lg/log.csv", "w").write(log)
+    seqs = [(r["seq"], r["query"]) for r in R.read_log_with_order(spark, f"{tmp}/lg/log.csv").orderBy("seq").collect()]
+    assert seqs == [(i, f"q{i}") for i in range(5)]
