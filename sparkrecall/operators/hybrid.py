@@ -44,12 +44,10 @@ def dense_scores(neighbours: DataFrame) -> DataFrame:
 
 def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataFrame,
                  doc_ids: DataFrame, k: int = 3, bm25_weight: float = BM25_WEIGHT,
-                 dense_weight: float = DENSE_WEIGHT, dense_candidates: int | None = None,
-                 bm25_for=None) -> DataFrame:
+                 dense_weight: float = DENSE_WEIGHT, dense_candidates: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score). ``bm25``: (query_id, doc_id, bm25);
     ``dense``: (query_id, doc_id, dense); ``queries``: query_id; ``doc_ids``: doc_id.
-    ``dense_candidates``: most dense rows per query (default 2k).
-    ``bm25_for``: unused (kept for callers); key rows come from the written score table."""
+    ``dense_candidates``: most dense rows per query (default 2k)."""
     dense_candidates = dense_candidates or 2 * k
     # Per-query side tables (maxima, candidate keys) have at most
     # (4k) rows per query: broadcast them when the query table is proven small
