@@ -131,7 +131,8 @@ def best_run(summaries: DataFrame, metric: str = "avg_f1", order_col: str = "run
 def fmt3(c) -> Column:
     """3 decimals, or 'NA' for null."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.format_string("%.3f", col.cast("double")), F.lit("NA"))
+    # format_string renders a null argument as text, so test for null first
+    return F.when(col.isNull(), F.lit("NA")).otherwise(F.format_string("%.3f", col.cast("double")))
 
 
 def fmt_pct(c) -> Column:
