@@ -80,3 +80,22 @@ def test_prompt_budget(spark):
     df2 = spark.createDataFrame([(["a" * 700, "b" * 701], "Q")], "docs array<string>, q string")
     ctx2 = df2.select(build_prompt("q", "docs").alias("p")).collect()[0]["p"].split("Context:\n")[1]
     assert ctx2.startswith("a" * 700 + "\n\nQuestion") or ctx2.split("\n\nQuestion")[0] == "a" * 700
+
+
+def test_memory_persists_across_runs(spark):
+    chunks = spark.createDataFrame([(i, f) for i, f in enumerate(FACTS)], "chunk_id long, text string")
+    index = build_index(chunks)
+    first = spark.createDataFrame([(0, "a", "capital of France"), (1, "b", "longest river in Africa")],
+                                  "seq long, query_id string, question string")
+    r1 = process_queries(first, index, threshold=0.9, golds=None, run_id="run1")
+    mem = r1.memory
+    assert mem.count() == 2
+    second = spark.createDataFrame([(0, "c", "Capital of france"), (1, "d", "tallest mountain")],
+                                   "seq long, query_id string, question string")
+    r2 = process_queries(second, index, threshold=0.9, memory=mem, golds=None, run_id="run2")
+    p = {r["query_id"]: r for r in r2.predictions.collect()}
+    first_answers = {r["id"]: r["answer"] for r in mem.collect()}
+    assert p["c"]["source"] == "memory" and p["c"]["memory_id"] == 0
+    assert p["c"]["generated_answer"] == first_answers[0]
+    assert p["d"]["source"] == "retrieval" and p["d"]["memory_size"] == 3   # 2 preloaded + 1 stored
+    assert sorted(r["id"] for r in r2.memory.collect()) == [0, 1, 2]
