@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -116,3 +117,11 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         cond = cond & left[k].eqNullSafe(right[f"{k}_r"])
     return cond
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64) of unsigned numbers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import prefix_sums, text_slices
+from sparkrecall.llm.common import mix64, prefix_sums, text_slices
 from sparkrecall.llm.token_ids import encoder, id_type
 from sparkrecall.session import cut_lineage
 
@@ -34,19 +34,11 @@ DIMENSIONS = 4
 GRID_BITS = 12
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser (splitmix64)."""
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def projection(ids: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 1) -> np.ndarray:
     """A row of ``dimensions`` numbers of variance 1 for each id: the product of its
     hashed unit vector with a fixed random matrix."""
     cells = ids.astype(np.uint64)[:, None] * np.uint64(dimensions) + np.arange(dimensions, dtype=np.uint64)
-    u = mixed(cells + np.uint64(seed << 40)) >> np.uint64(11)
+    u = mix64(cells + np.uint64(seed << 40)) >> np.uint64(11)
     return (u.astype(np.float64) / (1 << 53) - 0.5) * np.sqrt(12.0)
 
 

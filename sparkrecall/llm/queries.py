@@ -7,10 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm import exact_dedup, packing, quality, token_files
+from sparkrecall.llm import (exact_dedup, html_text, licenses, line_dedup, packing, quality, sampled_pieces, simhash,
+                             substring_dedup, token_files)
 from sparkrecall.session import spread, table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    return sampled_pieces.sample_pieces(docs, public_tokenizers.path(PIECE_BPE), seed=7, with_ids=False)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +30,27 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_verdicts(spread(table(spark, sf_dir, "documents")))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spread(table(spark, sf_dir, "pages")))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs, count="n_cut_words")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(spread(table(spark, sf_dir, "documents")))
 
@@ -32,4 +59,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(WORD_BPE), end_id=1)
 
 
-REGISTRY = {f.__name__: f for f in (op2_token_files, op3_exact_dedup, op9_quality_rules, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_sampled_pieces, op2_token_files, op3_exact_dedup, op4_simhash_near_dedup, op5_line_dedup, op6_html_text,
+    op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_packing, pipeline)}
