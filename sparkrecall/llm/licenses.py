@@ -10,7 +10,7 @@ their order, longest first; the first that matches names a licence's evidence.
 
 The rules are a fixed table of bounded size that is part of the expressions, so a scan
 is one pass without a shuffle. Only texts that hold one of the ``ANCHORS``, one of which
-is in every known sentence, are cut at all; this leaves out no match.
+is in a sentence of every rule, are cut at all; this leaves out no match.
 
 A null or empty text and a text without licence gives no row; a document with several
 licences gives one row for each. Repeated rows are scanned each; null ids stay null. Other
@@ -80,8 +80,8 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC0-1.0", "cc0_statement", ("This work is licensed under CC0 1.0.",)),
     ("Proprietary", "all_rights_reserved", ("All rights reserved.",)),
 )
-#: One of these is in every known sentence (lower case).
-ANCHORS = ("licen", "permission", "warrant", "copyright", "rights reserved", "redistribut", "mozilla")
+#: One of these words is in a sentence of every rule (lower case); single words, as lines may be wrapped.
+ANCHORS = ("licen", "permission", "warrant", "copyright", "reserved", "redistribut", "mozilla")
 #: Sentence ends: a mark followed by white space.
 _END = r"([.!?])[\x20\x09-\x0D]+"
 

@@ -6,4 +6,57 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
         FROM d""",
+    # single-sentence statements alone: the tables hold no licence text of several sentences
+    "op8_license_scan": r"""
+        WITH known(sentence, licence, rule) AS (VALUES
+               ('released under the mit license', 'MIT', 'mit_statement'),
+               ('licensed under the mit license', 'MIT', 'mit_statement'),
+               ('this project is licensed under the mit license', 'MIT', 'mit_statement'),
+               ('licensed under the apache license version 2 0', 'Apache-2.0', 'apache_statement'),
+               ('released under the apache license version 2 0', 'Apache-2.0', 'apache_statement'),
+               ('this work is licensed under the gnu general public license version 3', 'GPL-3.0-only', 'gpl3_statement'),
+               ('licensed under the gnu general public license version 3', 'GPL-3.0-only', 'gpl3_statement'),
+               ('this work is licensed under the gnu general public license version 2', 'GPL-2.0-only', 'gpl2_statement'),
+               ('licensed under cc by nc 4 0', 'CC-BY-NC-4.0', 'cc_statement'),
+               ('licensed under cc by 4 0', 'CC-BY-4.0', 'cc_statement'),
+               ('licensed under cc by sa 4 0', 'CC-BY-SA-4.0', 'cc_statement'),
+               ('all rights reserved', 'Proprietary', 'all_rights_reserved')),
+        sentences AS (
+          SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'),
+                                             chr(10))) AS s FROM documents)
+        SELECT DISTINCT doc_id, licence, rule, CAST(1 AS BIGINT) AS n_sentences
+        FROM sentences JOIN known ON sentence = trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g'))""",
+    "op9_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        base AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+        windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+        repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+                     FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+        lines AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS k
+                  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+        judged AS (
+          SELECT doc_id, l, k,
+                 10 * len(regexp_extract_all(l, '[|»›•·]')) >= greatest(20, 3 * k)
+                 OR 10 * len(regexp_extract_all(l, '[#*$%&|<>]')) >= greatest(30, 3 * k)
+                 OR 10 * len(regexp_extract_all(l, '!!')) >= greatest(20, 3 * k)
+                 OR (k >= 5 AND 10 * len(regexp_extract_all(l, '[A-ZÀ-ÖØ-Þ]'))
+                                > 7 * greatest(10, len(regexp_extract_all(l, '[A-Za-zÀ-ÖØ-öø-ÿ]'))))
+                 OR (k < 8 AND NOT regexp_matches(l, '[.!?…:;"'')\]»”’。！？।؟][ \t\r\x0B\x0C]*$'))
+                 OR (k < 30 AND regexp_matches(lower(l), 'javascript|cookie|lorem ipsum|privacy policy|terms of use|terms of service|'
+                     || 'sign in|log in|subscribe|click here|read more|share this')) AS bad
+          FROM lines WHERE k > 0),
+        per_line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines,
+                            CAST(coalesce(sum(k) FILTER (bad), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
+        all_of AS (
+          SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                 coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bad_lines, 0) AS n_bad_lines,
+                 coalesce(n_lost_words, 0) AS n_lost_words
+          FROM base LEFT JOIN repeated USING (doc_id) LEFT JOIN per_line USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 30 * n_words AS kept
+        FROM all_of""",
 }

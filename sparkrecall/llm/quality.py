@@ -48,15 +48,15 @@ VERDICT = "base_failed boolean, kept boolean, n_bad_lines long, n_lost_words lon
 
 def line_fails(line: bytes, n_words: int) -> bool:
     """The rules for one line with at least one word."""
-    if len(_NAV.findall(line)) >= max(2, 0.3 * n_words):
+    if 10 * len(_NAV.findall(line)) >= max(20, 3 * n_words):
         return True
-    if len(_SYMBOLS.findall(line)) >= max(3, 0.3 * n_words):
+    if 10 * len(_SYMBOLS.findall(line)) >= max(30, 3 * n_words):
         return True
-    if line.count(b"!!") >= max(2, 0.3 * n_words):
+    if 10 * line.count(b"!!") >= max(20, 3 * n_words):
         return True
     if n_words >= 5:
         text = line.decode("utf-8", "replace")
-        if len(_UPPER.findall(text)) > 0.7 * max(10, len(_LETTER.findall(text))):
+        if 10 * len(_UPPER.findall(text)) > 7 * max(10, len(_LETTER.findall(text))):
             return True
     if n_words < SHORT_LINE_WORDS and not line.rstrip(b" \t\r\x0b\x0c").endswith(_ENDS):
         return True
