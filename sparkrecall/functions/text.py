@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 # U+2028, U+2029, U+202F, U+205F, U+3000.
 WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-WS_RUN = f"[{WS_CHARS}]+"
 # The same set as literal characters, split into the ASCII part and the rest.
 _ASCII_WS = "\t\n\x0b\x0c\r "
 _OTHER_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
@@ -28,7 +27,6 @@ WS_LITERAL = _ASCII_WS + _OTHER_WS
 ASCII_WS_RUN = r"[\t\n\x0B\f\r ]+"
 # Characters removed by answer normalisation: not a (Unicode) word character and
 # not whitespace.  Word character = letter, number or underscore.
-NON_WORD = rf"[^\p{{L}}\p{{N}}_{WS_CHARS}]"
 _NON_WORD_ASCII_WS = r"[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 # Articles dropped by answer normalisation.
 ARTICLES = ("a", "an", "the")

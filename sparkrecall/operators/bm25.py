@@ -1,8 +1,8 @@
-"""Okapi BM25 as tables: postings(term, doc, weight) and an equi-join scorer.
+"""Okapi BM25 as tables: term counts per document and an equi-join scorer.
 
-Scoring a query = join its token bag (with multiplicity) to the postings on
-``term`` and sum the weights per (query, doc): only documents sharing a term are
-touched (inverted-index evaluation), unlike a dense per-document loop."""
+Scoring starts from the queries: their terms meet the vocabulary first (a small
+join), and only then the term counts, so only postings of asked terms are weighted
+and only documents sharing a term are touched (inverted-index evaluation)."""
 
 from __future__ import annotations
 
@@ -13,36 +13,41 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
 from ..session import bucketed_table, cut_lineage
-from .sizing import sized_broadcast
 
 # Okapi BM25 parameters and the negative-idf floor factor.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
+# Characters of text per bucket of the term-count table.
+BUCKET_CHARS = 256 << 20
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # term, doc_id, weight
+    tf: DataFrame        # doc_id, dl, term, tf; bucketed by doc_id
     terms: DataFrame     # term, df, idf
     docs: DataFrame      # doc_id, dl
+    avgdl: float
+    k1: float = K1
+    b: float = B
 
 
 def build_bm25(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
-               k1: float = K1, b: float = B, epsilon: float = EPSILON,
-               buckets: int | None = None, broadcast_terms_rows: int = 5_000_000) -> Bm25Index:
+               k1: float = K1, b: float = B, epsilon: float = EPSILON, buckets: int | None = None) -> Bm25Index:
     """Build the index tables.
 
     Texts are hash-partitioned by document once (a shuffle of the raw chunks);
     tokenising, exploding and counting tf then stay inside each partition (the
     aggregation's distribution is already satisfied), and tf is stored as a
-    table bucketed by document -- the layout the scorer wants. The vocabulary
-    (df, idf) is one aggregation over tf; N, avgdl and the mean idf are one-row
-    actions whose values enter the plans as literals."""
+    table bucketed by document -- the layout the scorer wants. The number of
+    buckets grows with the text. The vocabulary (df, idf) is one aggregation
+    over tf; N, avgdl and the mean idf are one-row actions whose values enter
+    the plans as literals."""
     spark = corpus.sparkSession
-    n_b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(n_b, "doc_id")
-    toks = by_doc.select("doc_id", bm25_tokens("text").alias("toks"))
+    rows = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    n_b = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    toks = rows.repartition(n_b, "doc_id").select("doc_id", bm25_tokens("text").alias("toks"))
     # explode_outer keeps a null-term row for a document without tokens, so it
     # still counts in N and avgdl.
     tf = (toks.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
@@ -57,13 +62,7 @@ def build_bm25(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "tex
     mean_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
     terms = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * mean_idf))
                        .otherwise(F.col("raw_idf")).alias("idf"))
-    tfc = F.col("tf").cast("double")
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    # Weights are computed on read: the bucketed tf layout is preserved because
-    # the vocabulary side of this join is broadcast (after a bounded count).
-    postings = (tf.join(sized_broadcast(terms.select("term", "idf"), broadcast_terms_rows), "term")
-                .select("term", "doc_id", (F.col("idf") * tfc * (k1 + 1) / (tfc + norm)).alias("weight")))
-    return Bm25Index(postings, terms, docs)
+    return Bm25Index(tf, terms, docs, avgdl, k1, b)
 
 
 def query_terms(queries: DataFrame, qid_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -72,23 +71,31 @@ def query_terms(queries: DataFrame, qid_col: str = "query_id", text_col: str = "
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id",
-                text_col: str = "query", broadcast_rows: int | None = None,
-                only: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, bm25) for every document sharing a term with the query.
-    The query-term table is broadcast only when a bounded count proves it small.
-    ``only`` (query_id, doc_id, small): score just these pairs -- postings are
-    first cut to their documents, so the full score table is never built."""
-    qt = query_terms(queries, qid_col, text_col)
-    if broadcast_rows is not None:
-        qt = sized_broadcast(qt, broadcast_rows)
-    postings = index.postings
+def weighted_terms(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id", text_col: str = "query") -> DataFrame:
+    """Written table (query_id, term, qw): query terms of the vocabulary with
+    qtf * idf. Its size on disk decides whether Spark broadcasts it to the term
+    counts or shuffles both."""
+    q = query_terms(queries, qid_col, text_col).join(index.terms.select("term", "idf"), "term")
+    return cut_lineage(q.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw")))
+
+
+def score_terms(index: Bm25Index, terms: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, bm25) from ``weighted_terms``. ``only`` (query_id, doc_id):
+    score just these pairs -- the term counts are first cut to their documents."""
+    tf = index.tf
     if only is not None:
-        postings = postings.join(F.broadcast(only.select("doc_id").distinct()), "doc_id", "left_semi")
-        return (postings.join(qt, "term").join(F.broadcast(only.select("query_id", "doc_id")),
-                                               ["query_id", "doc_id"], "left_semi")
-                .groupBy("query_id", "doc_id")
-                .agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25")))
-    return (postings.join(qt, "term")
-            .groupBy("query_id", "doc_id")
-            .agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25")))
+        tf = tf.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    tfc = F.col("tf").cast("double")
+    norm = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("dl")
+                              / F.lit(index.avgdl if index.avgdl > 0 else 1.0))
+    hits = tf.join(terms, "term")
+    if only is not None:
+        hits = hits.join(only.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    return hits.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("qw") * tfc * (index.k1 + 1) / (tfc + norm)).alias("bm25"))
+
+
+def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id", text_col: str = "query",
+                only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, bm25) for every document sharing a term with the query."""
+    return score_terms(index, weighted_terms(index, queries, qid_col, text_col), only)

@@ -54,6 +54,13 @@ def fail_on_errors(df: DataFrame, answer_col: str = "answer", id_col: str = "que
                  F.lit(": "), F.col(answer_col)))).otherwise(F.col(answer_col)))
 
 
+def raise_first_error(df: DataFrame, answer_col: str = "answer", id_col: str = "query_id") -> None:
+    """Fail-fast policy for a written table: stops with the first error answer."""
+    bad = df.where(is_error(answer_col)).select(id_col, answer_col).first()
+    if bad is not None:
+        raise RuntimeError(f"LLM backend error while answering query_id={bad[0]}: {bad[1]}")
+
+
 _CTX = re.compile(r"Context:\n(.*?)\n\n(?:Previous Answer:|Question:)", re.S)
 _SENT = re.compile(r"(?<=[.!?])\s+")
 

@@ -4,34 +4,28 @@ Per query: BM25 scores divided by their maximum when it is positive; dense
 candidates scored 1/(1+squared L2), divided by their maximum; weighted sum over
 the full outer join of both candidate sets (missing side = 0); top-k by score,
 ties to the lowest id. Every document outside both candidate sets scores
-exactly 0, so when fewer than k candidates score above 0 the result is padded
-with the lowest-id documents scoring 0 -- exact, without scoring the corpus."""
+exactly 0, also where scored documents are negative, so a query with fewer than
+k candidates above 0 is padded with the lowest ids that neither side scored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .sizing import row_count_at_most
-from .topk import top_k
-
-# Per-group maxima broadcast to the score rows at most (beyond: shuffle join).
-MAX_BROADCAST_GROUPS = 1_000_000
+from .topk import RANK_DECIMALS, top_k
 
 # Fixed default weights of the two retrievers.
 BM25_WEIGHT = 0.5
 DENSE_WEIGHT = 0.5
 
 
-def max_normalize(df: DataFrame, score: str, group: str = "query_id", broadcast_max: bool = False) -> DataFrame:
+def max_normalize(df: DataFrame, score: str, group: str = "query_id") -> DataFrame:
     """score / max(score) per group when that max is > 0 (partial aggregate +
-    join, so a group holding a third of the rows is not sorted in one task).
-    ``broadcast_max``: the caller has proven the number of groups small, so the
-    per-group maxima are broadcast and the score rows are not shuffled."""
+    join, so a group holding a third of the rows is not sorted in one task)."""
     mx = df.groupBy(group).agg(F.max(score).alias("_mx"))
-    if broadcast_max:
-        mx = F.broadcast(mx)
     return (df.join(mx, group)
             .withColumn(score, F.when(F.col("_mx") > 0, F.col(score) / F.col("_mx")).otherwise(F.col(score)))
             .drop("_mx"))
@@ -42,48 +36,59 @@ def dense_scores(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("query_id", "doc_id", (1.0 / (1.0 + F.col("dist"))).alias("dense"))
 
 
+def _pads(weak: DataFrame, taken: DataFrame, doc_ids: DataFrame, k: int,
+          rescore: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(query_id, doc_id, score 0): for each weak query its k lowest ids (or all
+    there are) that are neither in ``taken`` nor scored by BM25. The lowest ids
+    are tried in growing batches, for the queries that still lack some."""
+    n = doc_ids.count()
+    tried, out = 4 * k, None
+    while True:
+        ids = doc_ids.select("doc_id").orderBy("doc_id").limit(tried).agg(F.collect_list("doc_id")).scalar()
+        asked = cut_lineage(weak.select("query_id", F.explode(ids).alias("doc_id")))
+        free = asked.join(taken.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        if rescore is not None:
+            free = free.join(rescore(asked).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        found = cut_lineage(top_k(free.withColumn("score", F.lit(0.0)), k).drop("rank"))
+        short = weak.join(found.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
+        done = found if tried >= n else found.join(short, "query_id", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        if tried >= n or short.isEmpty():
+            return out
+        weak, tried = cut_lineage(short), 4 * tried
+
+
 def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataFrame,
                  doc_ids: DataFrame, k: int = 3, bm25_weight: float = BM25_WEIGHT,
-                 dense_weight: float = DENSE_WEIGHT, dense_candidates: int | None = None) -> DataFrame:
+                 dense_weight: float = DENSE_WEIGHT, dense_candidates: int | None = None,
+                 rescore: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score). ``bm25``: (query_id, doc_id, bm25);
     ``dense``: (query_id, doc_id, dense); ``queries``: query_id; ``doc_ids``: doc_id.
-    ``dense_candidates``: most dense rows per query (default 2k)."""
+    ``dense_candidates``: most dense rows per query (default 2k). ``rescore``: BM25
+    rows of given (query_id, doc_id) pairs (default: a semi join against ``bm25``).
+
+    Outside the dense candidates the hybrid order is the BM25 order, so only the
+    dense candidates and the BM25 top (k + dense candidates) can reach the final
+    top-k. The scores are scanned once for that top, whose first row is the
+    query's maximum; the dense candidates are scored apart. The full score
+    table is neither written nor shuffled."""
     dense_candidates = dense_candidates or 2 * k
-    # Per-query side tables (maxima, candidate keys) have at most
-    # (4k) rows per query: broadcast them when the query table is proven small
-    # (a cheap bounded count of the query table, not of the derived tables).
-    small = row_count_at_most(queries, MAX_BROADCAST_GROUPS // (4 * k)) is not None
-    # lowest 2k ids as a scalar array (bounded), exploded per query: the pad set.
-    first_ids = doc_ids.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id")).scalar()
-    pad_keys = queries.select("query_id", F.explode(first_ids).alias("doc_id"))
+    if rescore is None and bm25 is not None:
+        def rescore(pairs):
+            return bm25.join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     dn = None
     if dense is not None:
-        dn = max_normalize(dense, "dense", broadcast_max=small).select(
-            "query_id", "doc_id", (F.col("dense") * dense_weight).alias("s2"))
+        dn = max_normalize(dense, "dense").select("query_id", "doc_id", (F.col("dense") * dense_weight).alias("s2"))
     bn = None
     if bm25 is not None:
-        # The score table is computed once (one scoring pass) and written; the
-        # maxima, the pruned top and the key rows are then cheap scans of it.
-        bm25 = cut_lineage(bm25)
-        mx = bm25.groupBy("query_id").agg(F.max("bm25").alias("_mx"))
-        mx = F.broadcast(mx) if small else mx
-
-        def weighted(df):
-            return (df.join(mx, "query_id")
-                    .select("query_id", "doc_id", (F.when(F.col("_mx") > 0, F.col("bm25") / F.col("_mx"))
-                                                   .otherwise(F.col("bm25")) * bm25_weight).alias("s1")))
-        bn = weighted(bm25)
-        # Exact pruning: outside the dense candidates the hybrid order is the
-        # weighted-BM25 order, so only the dense candidates and the BM25 top
-        # (k + dense candidates) can reach the final top-k. BM25 rows of the
-        # dense candidates and of the pad ids are kept too (their true scores
-        # are needed), via a semi join against that small key set. The score
-        # table is never shuffled.
-        dense_k = dense_candidates if dn is not None else 0
-        keys = pad_keys if dn is None else pad_keys.unionByName(dn.select("query_id", "doc_id"))
-        on_keys = bn.join(F.broadcast(keys) if small else keys, ["query_id", "doc_id"], "left_semi")
-        top_b = top_k(bn, k + dense_k, score="s1", id_col="doc_id").drop("rank")
-        bn = top_b.unionByName(on_keys).dropDuplicates(["query_id", "doc_id"])
+        top = cut_lineage(top_k(bm25, k + (dense_candidates if dn is not None else 0), score="bm25"))
+        mx = top.groupBy("query_id").agg(F.max("bm25").alias("_mx"))
+        rows = top.select("query_id", "doc_id", "bm25")
+        if dn is not None:
+            rows = rows.unionByName(rescore(dn).select("query_id", "doc_id", "bm25")).dropDuplicates(["query_id", "doc_id"])
+        bn = rows.join(mx, "query_id").select(
+            "query_id", "doc_id", (F.when(F.col("_mx") > 0, F.col("bm25") / F.col("_mx"))
+                                   .otherwise(F.col("bm25")) * bm25_weight).alias("s1"))
     if bn is not None and dn is not None:
         cand = (bn.join(dn, ["query_id", "doc_id"], "full")
                 .select("query_id", "doc_id",
@@ -92,10 +97,13 @@ def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataF
         cand = bn.withColumnRenamed("s1", "score")
     else:
         cand = dn.withColumnRenamed("s2", "score")
-    pads = pad_keys.join(cand.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti") \
-        .withColumn("score", F.lit(0.0))
-    return top_k(cand.unionByName(pads), k, score="score", id_col="doc_id").select(
-        "query_id", "rank", "doc_id", "score")
+    cand = cut_lineage(cand)
+    strong = (cand.where(F.round("score", RANK_DECIMALS) > 0).groupBy("query_id").count()
+              .where(F.col("count") >= k).select("query_id"))
+    weak = cut_lineage(queries.select("query_id").distinct().join(strong, "query_id", "left_anti"))
+    if not weak.isEmpty():
+        cand = cand.unionByName(_pads(weak, cand, doc_ids, k, rescore if bm25 is not None else None))
+    return top_k(cand, k, score="score", id_col="doc_id").select("query_id", "rank", "doc_id", "score")
 
 
 def hit_at_k(results: DataFrame, keywords: list[str], text_col: str = "text") -> DataFrame:

@@ -51,6 +51,20 @@ def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(qn + cn - 2.0 * ip, 0.0)
 
 
+def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest columns of each row; columns are in id order, so of equal
+    distances (as ranked) those with the lowest ids are taken."""
+    if d.shape[1] <= k:
+        return d, ids
+    key = np.round(d, RANK_DECIMALS)
+    kth = np.partition(key, k - 1, axis=1)[:, k - 1:k]
+    below, tied = key < kth, key == kth
+    room = k - below.sum(1, keepdims=True)
+    rows, cols = np.nonzero(below | (tied & (np.cumsum(tied, axis=1) <= room)))
+    cols = cols.reshape(len(d), k)
+    return np.take_along_axis(d, cols, 1), np.take_along_axis(ids, cols, 1)
+
+
 class _TopK:
     """Running per-query top-k over streamed corpus blocks."""
 
@@ -60,23 +74,15 @@ class _TopK:
         self.best_i = np.zeros((len(qids), 0), dtype=np.int64)
 
     def update(self, d: np.ndarray, ids: np.ndarray):
+        """Fold in a block of distances (queries x rows), all queries at once: the
+        block is cut to its own k nearest, then merged with the k held so far."""
         if d.shape[1] == 0:
             return
-        alld = np.concatenate([self.best_d, d], axis=1)
-        alli = np.concatenate([self.best_i, np.broadcast_to(ids, d.shape)], axis=1)
-        key = np.round(alld, RANK_DECIMALS)
-        keep = min(self.k, alld.shape[1])
-        nd = np.empty((len(self.qids), keep))
-        ni = np.empty((len(self.qids), keep), dtype=np.int64)
-        for r in range(len(self.qids)):
-            if alld.shape[1] > keep:
-                kth = np.partition(key[r], keep - 1)[keep - 1]
-                cand = np.nonzero(key[r] <= kth)[0]
-            else:
-                cand = np.arange(alld.shape[1])
-            order = cand[np.lexsort((alli[r, cand], key[r, cand]))][:keep]
-            nd[r], ni[r] = alld[r, order], alli[r, order]
-        self.best_d, self.best_i = nd, ni
+        by_id = np.argsort(ids, kind="stable")
+        d, i = _nearest(d[:, by_id], np.broadcast_to(ids[by_id], d.shape), self.k)
+        d, i = np.concatenate([self.best_d, d], axis=1), np.concatenate([self.best_i, i], axis=1)
+        order = np.lexsort((i, np.round(d, RANK_DECIMALS)), axis=1)[:, :self.k]
+        self.best_d, self.best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
 
     def frame(self, metric: str) -> pd.DataFrame:
         mask = np.isfinite(self.best_d)

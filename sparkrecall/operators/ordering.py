@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def text_digest(key: str) -> tuple:
+    """128 bits of hash of a column, as two long columns."""
+    return F.xxhash64(key), F.xxhash64(F.lit(1), F.col(key))
+
+
 def ordered_dedup(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
-    """Keep the first row (smallest ``order_cols``) of every distinct ``key``.
+    """Keep the first row (smallest ``order_cols``: one or two integer columns,
+    together unique) of every distinct ``key``.
 
-    One hash aggregation on ``key``; map-side partial aggregation collapses
-    copies inside each input partition first, so a key holding a third of all
-    rows reaches the reducer as at most one row per map partition."""
-    others = [c for c in df.columns if c != key]
-    first = F.min(F.struct(*[F.col(c) for c in order_cols],
-                           *[F.col(c) for c in others if c not in order_cols])).alias("_first")
-    out = df.groupBy(key).agg(first)
-    return out.select(*[F.col(f"_first.{c}").alias(c) if c != key else F.col(key) for c in df.columns])
+    A hash aggregation on the key's digest, so texts are neither sorted nor
+    used as shuffle keys; map-side partial aggregation collapses copies inside
+    each input partition first, so a key holding a third of all rows reaches
+    the reducer as at most one row per map partition. The rows are then cut to
+    the firsts by a semi join."""
+    order = F.col(order_cols[0]).cast("decimal(20,0)")
+    if len(order_cols) == 2:
+        order = order * F.lit(1 << 32).cast("decimal(11,0)") + F.col(order_cols[1]).cast("int")
+    h1, h2 = text_digest(key)
+    keyed = df.select("*", h1.alias("_h1"), h2.alias("_h2"), order.cast("decimal(38,0)").alias("_ord"))
+    firsts = keyed.groupBy("_h1", "_h2").agg(F.min("_ord").alias("_ord"))
+    return keyed.join(firsts, ["_h1", "_h2", "_ord"], "left_semi").select(*df.columns)
 
 
 def ordered_cap(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
@@ -76,8 +86,12 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], va
     w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *group_cols,
                             *[F.coalesce(F.sum(f"_t_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}") for n in values])
-    out = local.join(offsets, ["_pid", *group_cols])
+    offsets = offsets.withColumnsRenamed({c: f"_g_{c}" for c in ["_pid", *group_cols]})
+    same = F.lit(True)
+    for c in ["_pid", *group_cols]:  # null-safe: rows of a null group are a group
+        same = same & local[c].eqNullSafe(offsets[f"_g_{c}"])
+    out = local.join(offsets, same)
     for n in values:
         out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
-    drop = ["_pid"] + [f"_l_{n}" for n in values] + [f"_o_{n}" for n in values] + list(tmp.values())
+    drop = ["_pid"] + [f"_g_{c}" for c in ["_pid", *group_cols]] + [f"_l_{n}" for n in values] + [f"_o_{n}" for n in values] + list(tmp.values())
     return out.drop(*drop)

@@ -39,7 +39,6 @@ from .ordering import global_rank
 THRESHOLD = 0.55
 # Preloaded memory rows get seq = memory id + this offset (before any query).
 PRELOADED_SEQ_OFFSET = -(1 << 62)
-MAX_ROUNDS = 10_000
 
 
 def _units(df: DataFrame, seq: str, vec: str) -> DataFrame:
@@ -115,7 +114,7 @@ def round_maxima(und: DataFrame, cands: DataFrame, broadcast_rows: int = QUERY_B
 
 def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
                preloaded: DataFrame | None = None, mem_id: str = "id", mem_vec: str = "query_embedding",
-               max_rounds: int = MAX_ROUNDS, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, int]:
+               broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """(seq, stored) for every query, and the number of rounds used."""
     state = _units(queries, seq, vec).withColumn("status", F.lit("U"))
     if preloaded is not None:
@@ -129,11 +128,9 @@ def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "
         # one bounded fetch is both the termination test and, when small, the
         # broadcast side of this round
         rows = und.limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
-        if (len(rows) == 0) if rows is not None else (und.limit(1).count() == 0):
+        if (len(rows) == 0) if rows is not None else und.isEmpty():
             break
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("routing fixpoint did not converge")
+        rounds += 1  # each round decides the earliest undecided row at least, so this ends
         cands = state.filter(F.col("status") != "M").select("seq", "u", F.col("status").isin("S", "P").alias("is_s"))
         mx = round_maxima(und, cands, broadcast_rows, rows=rows)
         state = cut_lineage(
@@ -154,7 +151,8 @@ def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: st
     stored_id (id given to the query when it is stored, else null)."""
     state, _ = stored_set(queries, threshold, seq=seq, vec=vec, preloaded=preloaded,
                           mem_id=mem_id, mem_vec=mem_vec, broadcast_rows=broadcast_rows)
-    n_pre = 0 if preloaded is None else preloaded.agg(F.count(F.lit(1))).scalar()
+    # new ids follow the largest preloaded id, which may be beyond the row count
+    n_pre = 0 if preloaded is None else preloaded.agg(F.coalesce(F.max(mem_id).cast("long") + 1, F.lit(0))).scalar()
     new_ids = global_rank(state.filter(F.col("status") == "S").select("seq"), ["seq"], out="_r")
     new_ids = new_ids.select("seq", (F.col("_r") + n_pre).alias("stored_id"))
     ids = new_ids.withColumnRenamed("stored_id", "mid")

@@ -58,11 +58,20 @@ def flatten_text(col: Column, dtype: T.DataType) -> Column:
     return _empty()
 
 
+def _item_no(j: Column) -> Column:
+    return F.when(j < 1 << 28, j).otherwise(F.raise_error(F.lit("too many texts in one field for the order key")).cast("int"))
+
+
+def _sample_no(p: Column) -> Column:
+    return F.when(p.between(0, (1 << 31) - 1), p).otherwise(
+        F.raise_error(F.lit("sample position beyond the order key")).cast("long"))
+
+
 def explode_evidence(samples: DataFrame, pos: str = "pos", fields=EVIDENCE_FIELDS) -> DataFrame:
     """(pos, text) for every evidence text of every sample, with a packed long
     order key: sample position, field number, item number."""
     def keyed(field_no):
-        return lambda t, j: F.struct((F.lit(field_no) * (1 << 28) + j).alias("k"), t.alias("text"))
+        return lambda t, j: F.struct((F.lit(field_no) * (1 << 28) + _item_no(j)).alias("k"), t.alias("text"))
 
     parts = []
     for i, name in enumerate(fields):
@@ -73,7 +82,7 @@ def explode_evidence(samples: DataFrame, pos: str = "pos", fields=EVIDENCE_FIELD
     if not parts:
         return samples.sparkSession.createDataFrame([], "pos long, text string")
     x = samples.select(F.col(pos).cast("long").alias("_p"), F.explode(F.concat(*parts)).alias("x"))
-    return x.select((F.col("_p") * (1 << 32) + F.col("x.k")).alias("pos"), F.col("x.text").alias("text"))
+    return x.select((_sample_no(F.col("_p")) * (1 << 32) + F.col("x.k")).alias("pos"), F.col("x.text").alias("text"))
 
 
 def smoke_evidence(samples: DataFrame, pos: str = "pos") -> DataFrame:
@@ -84,7 +93,7 @@ def smoke_evidence(samples: DataFrame, pos: str = "pos") -> DataFrame:
     x = samples.select(F.col(pos).cast("long").alias("_p"), F.posexplode("evidence.wikipedia").alias("j", "it"))
     t = item(F.col("it"))
     return (x.filter(t.isNotNull() & (t != ""))
-            .select((F.col("_p") * (1 << 32) + F.col("j")).alias("pos"), t.alias("text")))
+            .select((_sample_no(F.col("_p")) * (1 << 32) + F.col("j")).alias("pos"), t.alias("text")))
 
 
 def smoke_corpus(samples: DataFrame, pos: str = "pos") -> DataFrame:

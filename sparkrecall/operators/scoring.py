@@ -11,7 +11,7 @@ bit-parallel LCS (one Python big-integer operation per token).
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_answer, normalized_tokens
+from ..session import cut_lineage
+from .ordering import text_digest
 
 # BLEU maximum n-gram order (uniform weights 1/4) and the
 # smoothing-method-1 epsilon added to zero n-gram matches.
@@ -153,21 +155,12 @@ def bleu(df: DataFrame, rid: str, pred: str, golds: str, partitioned: bool = Fal
 
 
 # ---------------------------------------------------------------------------
-# ROUGE-L (pandas UDF helper)
+# ROUGE-L: tokens by column functions, the LCS in an Arrow batch
 # ---------------------------------------------------------------------------
-_NON_ALNUM = re.compile(r"[^a-z0-9]+")
-
-
-# Fixed value: only tokens longer than this are stemmed.
-STEM_MIN_LEN = 3
-
-
-def rouge_tokens(text: str | None, use_stemmer: bool = True) -> list[str]:
-    """Lower-case, non [a-z0-9] runs -> space, split; Porter-stem tokens longer
-    than three characters."""
-    from ..functions.porter import stem
-    toks = [t for t in _NON_ALNUM.sub(" ", (text or "").lower()).split() if t]
-    return [stem(t) if use_stemmer and len(t) > STEM_MIN_LEN else t for t in toks]
+def rouge_tokens(text) -> Column:
+    """Lower-case, non [a-z0-9] runs -> space, split."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9]+", " "), " "),
+                    lambda t: t != F.lit(""))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -185,28 +178,26 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - bin(v).count("1")
 
 
-def rouge_l_f(pred: str | None, gold: str | None) -> float:
-    p, g = rouge_tokens(pred), rouge_tokens(gold)
-    if not p or not g:
-        return 0.0
-    lcs = lcs_length(g, p)
-    if lcs == 0:
-        return 0.0
-    prec, rec = lcs / len(p), lcs / len(g)
-    return 2 * prec * rec / (prec + rec)
-
-
 @F.pandas_udf(T.DoubleType())
-def rouge_l_udf(preds: pd.Series, golds: pd.Series) -> pd.Series:
+def _rouge_l(preds: pd.Series, golds: pd.Series) -> pd.Series:
     out = []
     for p, gs in zip(preds, golds):
-        out.append(max([rouge_l_f(p, g) for g in (gs if gs is not None else [])], default=0.0))
+        best = 0.0
+        for g in gs if gs is not None else []:
+            lcs = lcs_length(list(g), list(p)) if len(p) and len(g) else 0
+            if lcs:
+                prec, rec = lcs / len(p), lcs / len(g)
+                best = max(best, 2 * prec * rec / (prec + rec))
+        out.append(best)
     return pd.Series(out, dtype="float64")
 
 
-def rouge_l(pred, golds) -> Column:
-    """Best ROUGE-L F-measure over aliases (0.0 without aliases)."""
-    return rouge_l_udf(_c(pred), _c(golds))
+def rouge_l(pred, golds, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Best ROUGE-L F-measure over aliases (0.0 without aliases). ``stem``: an
+    optional column function of a token, the user's stemmer (default: none)."""
+    def tokens(x):
+        return rouge_tokens(x) if stem is None else F.transform(rouge_tokens(x), stem)
+    return _rouge_l(tokens(pred), F.transform(_c(golds), tokens))
 
 
 # ---------------------------------------------------------------------------
@@ -227,7 +218,7 @@ def evaluate_predictions(df: DataFrame, rid: str, pred: str = "prediction", gold
             .join(bleu(base, rid, pred, golds, partitioned=True, tokenised=tok), rid))
 
 
-def capture_errors(preds: DataFrame, answer_col: str = "generated_answer", limit: int | None = 100,
+def capture_errors(preds: DataFrame, answer_col: str = "generated_answer", limit: int | None = None,
                    metrics: tuple[str, ...] = ("em", "f1", "rouge_l", "bleu", "answer_contains_gold")) -> DataFrame:
     """Row-level error policy: rows whose answer is a generation error keep an
     ``error`` message (cut to ``limit`` characters) and null metrics, so they
@@ -246,69 +237,64 @@ def capture_errors(preds: DataFrame, answer_col: str = "generated_answer", limit
 # Table-scale variants
 # ---------------------------------------------------------------------------
 def exact_match_in_group(df: DataFrame, rid: str, group: str, text: str) -> DataFrame:
-    """(rid, em): 1.0 when another row of the same ``group`` normalises to the
-    same text (EM of each row against the others as gold aliases). Counts per
-    (group, normalised text) via a partial aggregate, joined back -- no pairs."""
-    n = df.select(rid, group, normalize_answer(text).alias("_n"))
-    cnt = n.groupBy(group, "_n").agg(F.count(F.lit(1)).alias("_k"))
-    return n.join(cnt, [group, "_n"]).select(rid, F.when(F.col("_k") > 1, 1.0).otherwise(0.0).alias("em"))
-
-
-def _has_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:
-        return False
-
-
-def _automaton_hits(t: DataFrame, g: DataFrame, rid: str) -> DataFrame:
-    """Rows of ``t`` whose normalised text contains any gold: an Aho-Corasick
-    automaton over the (size-checked) golds is built once per task and scans
-    each text in time linear in its length, whatever the number of golds."""
-    spark = t.sparkSession
-    golds = [r[0] for r in g.collect()]   # bounded by the caller's count check
-    bg = spark.sparkContext.broadcast(golds)
-    schema = t.select(rid).schema
-
-    def scan(batches):
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(bg.value):
-            auto.add_word(w, i)
-        auto.make_automaton()
-        for pdf in batches:
-            keep = [next(auto.iter(x), None) is not None if x else False for x in pdf["_t"]]
-            yield pdf.loc[keep, [rid]]
-
-    return t.mapInPandas(scan, schema)
-
-
-def contains_any(df: DataFrame, rid: str, text: str, golds: DataFrame, gold_text: str,
-                 broadcast_rows: int = 100_000, block_rows: int = 100_000,
-                 automaton_min_golds: int = 1_000) -> DataFrame:
+    """(rid, em): 1.0 when another row of the same ``group`` (null is a group)
+    normalises to the same text (EM of each row against the others as gold
+    aliases). Counts per (group, digest of the normalised text) via a partial
+    aggregate, joined back -- no pairs, and no texts in the shuffle."""
+    norm = df.select(F.col(rid), F.col(group).alias("_g"), normalize_answer(text).alias("_n"))
+    h1, h2 = text_digest("_n")
+    n = norm.select(rid, "_g", h1.alias("_h1"), h2.alias("_h2"))
+    cnt = n.groupBy("_g", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).toDF("_cg", "_c1", "_c2", "_k")
+    same = n["_g"].eqNullSafe(cnt["_cg"]) & (n["_h1"] == cnt["_c1"]) & (n["_h2"] == cnt["_c2"])
+    return n.join(cnt, same).select(rid, F.when(F.col("_k") > 1, 1.0).otherwise(0.0).alias("em"))
+
+
+def _anchors(text: Column, kinds: set[str]) -> Column:
+    """The anchors a normalised text offers: its tokens (t), the pairs of characters
+    on both sides of its spaces (b), and its character runs of length 1 to 3 (1, 2, 3)."""
+    toks = F.split(text, " ")
+    none = F.array().cast("array<string>")
+    parts = []
+    if "t" in kinds:
+        parts.append(F.transform(toks, lambda t: F.concat(F.lit("t"), t)))
+    if "b" in kinds:
+        around = F.transform(F.sequence(F.lit(1), F.size(toks) - 1), lambda i: F.concat(
+            F.lit("b"), F.right(F.get(toks, i - 1), F.lit(1)), F.substring(F.get(toks, i), F.lit(1), F.lit(1))))
+        parts.append(F.when(F.size(toks) > 1, around).otherwise(none))
+    for k in sorted(kinds - {"t", "b"}):
+        runs = F.transform(F.sequence(F.lit(1), F.char_length(text)),
+                           lambda i: F.concat(F.lit(k), F.substring(text, i, F.lit(int(k)))))  # noqa: B023
+        parts.append(F.when(F.char_length(text) > 0, runs).otherwise(none))
+    return F.array_distinct(F.concat(*parts))
+
+
+def _gold_anchor(gold: Column) -> Column:
+    """One anchor that every text containing the gold offers: the longest token
+    strictly inside it, else the characters around its space, else its first characters."""
+    toks = F.split(gold, " ")
+    inner = F.slice(toks, 2, F.greatest(F.lit(0), F.size(toks) - 2))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t"))))["t"]
+    around = F.concat(F.lit("b"), F.right(F.get(toks, F.lit(0)), F.lit(1)), F.substring(F.get(toks, F.lit(1)), F.lit(1), F.lit(1)))
+    n = F.least(F.lit(3), F.char_length(gold))
+    return (F.when(F.size(toks) > 2, F.concat(F.lit("t"), longest)).when(F.size(toks) == 2, around)
+            .otherwise(F.concat(n.cast("string"), F.substring(gold, F.lit(1), n))))
+
+
+def contains_any(df: DataFrame, rid: str, text: str, golds: DataFrame, gold_text: str) -> DataFrame:
     """(rid, answer_contains_gold) against one shared gold table: true when any
     non-empty normalised gold is a substring of the normalised text.
 
-    Golds proven small (bounded count): up to ``automaton_min_golds`` they are
-    broadcast into a nested-loop semi join (JVM ``contains``); above that an
-    Aho-Corasick automaton scans each text once. Larger gold tables are split
-    into hash blocks of about ``block_rows`` and each text is replicated once
-    per block, so every task compares one block of golds with its texts."""
-    from .sizing import row_count_at_most
-
-    t = df.select(rid, normalize_answer(text).alias("_t"))
+    Filter and verify: each gold has one anchor that any containing text must
+    offer; an equi-join on anchors gives candidates (row, gold), whose texts are
+    then compared. Anchor rows are ids and short strings; texts meet their
+    candidates only. Spark broadcasts or shuffles by the sizes it sees."""
+    t = cut_lineage(df.select(F.col(rid), normalize_answer(text).alias("_t")).withColumn("_row", F.monotonically_increasing_id()))
     g = golds.select(normalize_answer(gold_text).alias("_g")).filter(F.col("_g") != "").distinct()
-    cond = F.col("_t").contains(F.col("_g"))
-    n = row_count_at_most(g, broadcast_rows)
-    if n is not None and n > automaton_min_golds and _has_automaton():
-        hits = _automaton_hits(t, g, rid)
-    elif n is not None:
-        hits = t.join(F.broadcast(g), cond, "left_semi").select(rid)
-    else:
-        blocks = max(1, -(-g.count() // block_rows))
-        gb = g.withColumn("_b", F.abs(F.xxhash64("_g")) % blocks)
-        tb = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        hits = tb.join(gb, (tb["_b"] == gb["_b"]) & cond, "left_semi").select(rid).distinct()
-    return (t.select(rid).join(hits.withColumn("_hit", F.lit(True)), rid, "left")
+    g = cut_lineage(g.select("_g", _gold_anchor(F.col("_g")).alias("_a")))
+    kinds = {r[0] for r in g.select(F.substring("_a", 1, 1)).distinct().collect()}  # at most five
+    if not kinds:
+        return t.select(rid, F.lit(False).alias("answer_contains_gold"))
+    cand = t.select("_row", F.explode(_anchors(F.col("_t"), kinds)).alias("_a")).join(g, "_a").select("_row", "_g")
+    hits = t.join(cand, "_row").where(F.col("_t").contains(F.col("_g"))).select("_row").distinct()
+    return (t.select(rid, "_row").join(hits.withColumn("_hit", F.lit(True)), "_row", "left")
             .select(rid, F.coalesce("_hit", F.lit(False)).alias("answer_contains_gold")))

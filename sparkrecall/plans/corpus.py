@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_WORDS, MIN_TEXT_LEN, OVERLAP_WORDS, py_strip
-from ..operators.chunking import CHUNK_ID_STRIDE, chunk_text
+from ..operators.chunking import chunk_id, chunk_text
 from ..operators.ordering import global_rank, ordered_cap, ordered_dedup
 
 # Documents below this count trigger the question fallback.
@@ -62,7 +62,7 @@ def build_corpus(texts: DataFrame, *, pos_col: str = "pos", text_col: str = "tex
         chunks = docs.withColumn("chunk_no", F.lit(0))
     chunks = ordered_dedup(chunks.select("doc_pos", "chunk_no", "text"), "text", ["doc_pos", "chunk_no"])
     chunks = ordered_cap(chunks, max_chunks, ["doc_pos", "chunk_no"])
-    chunks = chunks.select((F.col("doc_pos") * CHUNK_ID_STRIDE + F.col("chunk_no")).alias("chunk_id"),
+    chunks = chunks.select(chunk_id("doc_pos", "chunk_no").alias("chunk_id"),
                            "doc_pos", F.col("chunk_no").cast("int").alias("chunk_no"), "text")
     stats = before.select("documents_before_chunking",
                           chunks.agg(F.count(F.lit(1))).scalar().alias("chunk_count"))
@@ -75,9 +75,9 @@ def documents_corpus(documents: DataFrame, **kw) -> Corpus:
 
 
 def build_corpus_from_samples(samples: DataFrame, pos: str = "pos", min_text_len: int = MIN_TEXT_LEN,
-                              max_docs: int | None = 2500, max_chunks: int | None = 3000,
+                              max_docs: int | None = None, max_chunks: int | None = None,
                               chunk_words: int = CHUNK_WORDS, overlap_words: int = OVERLAP_WORDS) -> Corpus:
-    """Evidence of nested QA samples -> deduplicated, capped, chunked corpus;
+    """Evidence of nested QA samples -> deduplicated, chunked corpus (caps only where given);
     questions are added when fewer than 20 unique documents are found."""
     from ..operators.samples import explode_evidence
     texts = explode_evidence(samples, pos)
@@ -86,7 +86,7 @@ def build_corpus_from_samples(samples: DataFrame, pos: str = "pos", min_text_len
                         max_chunks=max_chunks, chunk_words=chunk_words, overlap_words=overlap_words)
 
 
-def build_passage_corpus(samples: DataFrame, pos: str = "pos", max_docs: int | None = 1000) -> Corpus:
+def build_passage_corpus(samples: DataFrame, pos: str = "pos", max_docs: int | None = None) -> Corpus:
     """Phase-2 flavour: unchunked passages; the question fallback only needs a
     non-empty question; the cap applies to the final list."""
     from ..operators.samples import explode_evidence

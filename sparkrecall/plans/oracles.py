@@ -3,9 +3,10 @@ independently of the Spark plans, over the same parquet tables."""
 
 from __future__ import annotations
 
-from ..functions.text import WS_CHARS
-
-W = f"[{WS_CHARS}]+"
+# White space of Unicode, and what is neither a letter, number or underscore nor white space.
+_WS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+W = f"[{_WS}]+"
+NON_WORD = rf"[^\p{{L}}\p{{N}}_{_WS}]"
 STRIDE = 1 << 20
 
 
@@ -142,9 +143,6 @@ FROM un LEFT JOIN best b ON b.i = un.rn AND b.r = 1
         LEFT JOIN st own ON own.j = un.rn"""
 
 
-from ..functions.text import NON_WORD  # noqa: E402
-
-
 def _ntok(x: str) -> str:
     return (f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '{NON_WORD}', ' ', 'g'), "
             f"'{W}'), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))")
@@ -196,6 +194,27 @@ SELECT conv_id, turn,
 FROM j"""
 
 
+def _rtok(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+# Longest common subsequence by its table, one row of it per step: the best so far up to
+# each gold token is the running maximum of "diagonal + 1 on a match, else the value above".
+ORACLES["rouge_l_scores"] = f"""WITH RECURSIVE
+pairs AS (SELECT a.conv_id, a.turn, {_rtok('a.text')} AS p, {_rtok('b.text')} AS g
+          FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+          WHERE a.role = 'assistant'),
+walk(conv_id, turn, p, g, i, best) AS (
+  SELECT conv_id, turn, p, g, 0, list_transform(range(0, len(g) + 1), lambda j: CAST(0 AS BIGINT)) FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, p, g, i + 1, list_transform(range(1, len(g) + 2), lambda j: list_max(
+      list_transform(range(1, j + 1), lambda l: CASE WHEN l > 1 AND g[l - 1] = p[i + 1] THEN best[l - 1] + 1 ELSE best[l] END)))
+  FROM walk WHERE i < len(p)),
+lcs AS (SELECT conv_id, turn, len(p) AS np, len(g) AS ng, best[len(g) + 1] AS n FROM walk WHERE i = len(p))
+SELECT conv_id, turn, round(CASE WHEN np = 0 OR ng = 0 OR n = 0 THEN 0.0
+                                 ELSE 2 * (n / np) * (n / ng) / (n / np + n / ng) END, 6) AS rouge_l FROM lcs"""
+
+
 def _norm(x: str) -> str:
     return f"array_to_string({_ntok(x)}, ' ')"
 
@@ -210,8 +229,6 @@ h AS (SELECT DISTINCT doc_id FROM n JOIN g ON g.g <> '' AND contains(n.t, g.g))
 SELECT n.doc_id, (h.doc_id IS NOT NULL) AS answer_contains_gold FROM n LEFT JOIN h USING (doc_id)"""
 
 
-from ..operators import telemetry as _tel  # noqa: E402
-
 EVENTS_LOG_CTE = """
 lg0 AS (SELECT event_id AS seq, user_id AS run_id, ts AS timestamp, event_type AS query,
                CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0 AS confidence, value AS latency FROM events),
@@ -253,9 +270,9 @@ s AS (SELECT run_id, count(*) AS num_questions, coalesce(avg(confidence), 0) AS
 s2 AS (SELECT *, memory_path_count / num_questions AS memory_path_rate,
               retrieval_path_count / num_questions AS retrieval_path_rate,
               retrieval_path_count / num_questions AS retrieval_call_rate FROM s),
-s3 AS (SELECT *, list_filter([CASE WHEN memory_path_rate < 0.1 THEN '{_tel.NOTE_RARE_MEMORY}' END,
-                              '{_tel.NOTE_LOW_QUALITY}',
-                              CASE WHEN avg_latency_s > 20.0 THEN '{_tel.NOTE_HIGH_LATENCY}' END],
+s3 AS (SELECT *, list_filter([CASE WHEN memory_path_rate < 0.1 THEN 'Memory path triggered rarely; corpus diversity or threshold may be limiting early memory reuse.' END,
+                              'Answer quality is currently low; retrieval context quality and prompting need improvement.',
+                              CASE WHEN avg_latency_s > 20.0 THEN 'Latency is high; consider smaller prompt context or generation limits.' END],
                              lambda x: x IS NOT NULL) AS nl FROM s2)"""
 
 ORACLES["events_run_summary"] = f"""WITH {EVENTS_LOG_CTE}, {_SUMMARY_SQL}
@@ -264,7 +281,7 @@ SELECT run_id, num_questions, round(avg_confidence, 6) AS avg_confidence, round(
        round(retrieval_path_avg_confidence, 6) AS retrieval_path_avg_confidence, final_memory_size,
        round(memory_path_rate, 6) AS memory_path_rate, round(retrieval_path_rate, 6) AS retrieval_path_rate,
        round(retrieval_call_rate, 6) AS retrieval_call_rate,
-       CASE WHEN len(nl) > 0 THEN array_to_string(nl, ' | ') ELSE '{_tel.NOTE_STABLE}' END AS notes
+       CASE WHEN len(nl) > 0 THEN array_to_string(nl, ' | ') ELSE 'Run is stable with balanced routing and measurable answer quality.' END AS notes
 FROM s3"""
 
 ORACLES["events_best_run"] = f"""WITH {EVENTS_LOG_CTE}, {_SUMMARY_SQL}

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bm25 import bm25_scores, build_bm25
+from ..operators.bm25 import bm25_scores, build_bm25, score_terms, weighted_terms
 from ..operators.topk import top_k
 from ..session import cut_lineage, spread, table
 from .corpus import documents_corpus
@@ -36,7 +36,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = documents_corpus(spread(table(spark, sf_dir, "documents"))).chunks
     index = build_bm25(chunks)
-    scores = bm25_scores(index, benchmark_queries(spark, sf_dir), broadcast_rows=1_000_000)
+    scores = bm25_scores(index, benchmark_queries(spark, sf_dir))
     top = top_k(scores, 3, score="bm25")
     return top.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), _r("bm25").alias("score"))
 
@@ -74,10 +74,11 @@ def dense_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, vecs, qs, qvecs = _retrieval_inputs(spark, sf_dir)
     index = build_bm25(chunks)
-    bm = bm25_scores(index, qs, broadcast_rows=1_000_000)
+    terms = weighted_terms(index, qs)
     # dense candidates are tiny (2k per query) and read three times: materialise once
     nn = cut_lineage(knn(qvecs, vecs, 6, qid="query_id", cid="chunk_id"))
-    top = hybrid_top_k(bm, dense_scores(nn), qs, chunks.select(F.col("chunk_id").alias("doc_id")), k=3)
+    top = hybrid_top_k(score_terms(index, terms), dense_scores(nn), qs, chunks.select(F.col("chunk_id").alias("doc_id")), k=3,
+                       rescore=lambda pairs: score_terms(index, terms, only=pairs))
     return top.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), _r("score").alias("score"))
 
 

@@ -102,22 +102,62 @@ def read_log_with_order(spark: SparkSession, path: str) -> DataFrame:
     return read_log(spark, path, seq="seq")
 
 
+def files_named(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """(path, run_name) of the files called ``name`` below ``base_dir``, as plain
+    files or as the part files of a Spark folder of that name; ``run_name`` is the
+    folder they are in. Only file metadata is read."""
+    pattern = "/" + name.replace(".", r"\.") + r"(/part-[^/]*)?$"
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base_dir).select("path")
+             .where(F.col("path").rlike(pattern)))
+    return found.withColumn("run_name", F.regexp_extract("path", "([^/]*)" + pattern, 1))
+
+
 def read_summaries(spark: SparkSession, base_dir: str) -> DataFrame:
     """Every ``summary_metrics.json`` below ``base_dir`` (recursive, sorted by
     path); unparseable files are skipped; missing keys are null."""
-    df = (spark.read.schema(SUMMARY_DDL).option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "summary_metrics.json")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(base_dir))
-    df = df.withColumn("path", F.col("_metadata.file_path"))
-    return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    text = (spark.read.text(base_dir, wholetext=True, recursiveFileLookup=True)
+            .withColumn("path", F.col("_metadata.file_path")).where(F.col("path").rlike(r"/summary_metrics\.json(/part-[^/]*)?$")))
+    one = text.withColumn("s", F.from_json("value", SUMMARY_DDL))
+    fields = [f.split(" ")[0] for f in T._parse_datatype_string(SUMMARY_DDL).fieldNames() if f != "_corrupt_record"]
+    return (one.where("trim(value) != '' and s is not null and s._corrupt_record is null")
+            .select(*[F.col(f"s.{f}") for f in fields], "path").orderBy("path"))
+
+
+#: Prediction columns that are numbers or flags; all others are strings.
+PREDICTION_TYPES = {"confidence": "double", "em": "double", "f1": "double", "rouge_l": "double", "bleu": "double", "latency_s": "double",
+                    "answer_contains_gold": "boolean", "memory_size": "long", "retrieval_count": "long", "memory_count": "long"}
+
+
+def _csv_by_header(spark: SparkSession, files: DataFrame) -> DataFrame | None:
+    """CSV files (path, ...) of one or more layouts as one table with ``_path``: a
+    multi-path read per distinct header, united by name."""
+    paths = [r["path"] for r in files.select("path").collect()]  # file names of runs, no rows
+    if not paths:
+        return None
+    first = (spark.read.text(paths, wholetext=True)
+             .select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split("value", "\r?\n"), 1).alias("header")))
+    layouts: dict[str, list[str]] = {}
+    for r in first.where("trim(header) != ''").collect():
+        layouts.setdefault(r["header"], []).append(r["path"])
+    out = None
+    for header, own in sorted(layouts.items()):
+        df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(sorted(own))
+              .withColumn("_path", F.col("_metadata.file_path")))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def read_predictions_csv(spark: SparkSession, base_dir: str, name: str = "predictions.csv") -> DataFrame:
     """All predictions CSVs below ``base_dir``, each row tagged with the name of
-    its parent directory as ``run_name`` (answers may span lines)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(base_dir))
-    return df.withColumn("run_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    the folder that holds its file as ``run_name`` (answers may span lines);
+    metrics and counters are typed, columns missing in a layout are null."""
+    files = files_named(spark, base_dir, name)
+    df = _csv_by_header(spark, files)
+    if df is None:
+        return spark.createDataFrame([], "query_id string, run_name string")
+    typed = [F.col(c).try_cast(PREDICTION_TYPES[c]).alias(c) if c in PREDICTION_TYPES else F.col(c) for c in df.columns if c != "_path"]
+    pattern = "([^/]*)/" + name.replace(".", r"\.") + r"(/part-[^/]*)?$"
+    return df.select(*typed, F.regexp_extract("_path", pattern, 1).alias("run_name"))
 
 
 def read_predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -125,12 +165,10 @@ def read_predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_flat_summaries(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Flat one-row summary CSVs; differing columns are unioned by name."""
-    out = None
-    for p in paths:
-        df = spark.read.option("header", True).csv(p)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    """Flat one-row summary CSVs (files or Spark folders), in one read per distinct
+    layout; differing columns are united by name."""
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    return _csv_by_header(spark, files).drop("_path")
 
 
 def result_inventory(spark: SparkSession, base_dir: str, exts: tuple[str, ...] = ("csv", "json", "txt")) -> DataFrame:

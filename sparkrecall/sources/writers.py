@@ -39,6 +39,11 @@ def manifest(questions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                             F.size("answer_aliases").alias("num_aliases"), *extra)
 
 
+def joined_aliases(preds: DataFrame, aliases: str = "answer_aliases", out: str = "aliases") -> DataFrame:
+    """The alias list as one string (the phase-2 predictions layout)."""
+    return preds.withColumn(out, F.array_join(aliases, " | "))
+
+
 def smoke_manifest(queries: DataFrame) -> DataFrame:
     """query_id, question, answer_value, num_aliases, num_evidence (smoke runner)."""
     return queries.select("query_id", "question", "answer_value", F.size("answer_aliases").alias("num_aliases"),
@@ -93,9 +98,8 @@ def write_summary(summary: DataFrame, path_json: str, path_csv: str):
 
 
 def write_run_config(spark, config: dict, path: str):
-    spark.createDataFrame([(json.dumps(config),)], "c string").select(
-        F.from_json("c", "map<string,string>").alias("config")).select(
-        F.explode("config").alias("key", "value")).write.mode("overwrite").json(path)
+    """One JSON object with the run's parameters."""
+    spark.createDataFrame([(json.dumps(config),)], "value string").write.mode("overwrite").text(path)
 
 
 def corpus_info(chunks: DataFrame, stats: DataFrame, chars: int = CORPUS_INFO_CHARS,
@@ -105,37 +109,75 @@ def corpus_info(chunks: DataFrame, stats: DataFrame, chars: int = CORPUS_INFO_CH
     return first.select("chunk_id", "text", *[stats.select(c).scalar().alias(c) for c in stats.columns])
 
 
+def _write_run(df: DataFrame, path: str, run_col: str):
+    """Adds a run's rows to a table partitioned by run; a run written again replaces
+    its own rows, so a repeated write leaves no duplicates."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run_col).parquet(path)
+
+
 def append_log(log: DataFrame, path: str, run_col: str = "run_id"):
-    """Append log rows (blank queries dropped), partitioned by run."""
-    log.filter(F.trim(F.coalesce(F.col("query"), F.lit(""))) != "").write.mode("append").partitionBy(run_col) \
-        .parquet(path)
+    """Append a run's log rows (blank queries dropped), partitioned by run."""
+    _write_run(log.filter(F.trim(F.coalesce(F.col("query"), F.lit(""))) != ""), path, run_col)
 
 
-def append_memory(entries: DataFrame, path: str):
-    """Append-only memory store: only the new entries are written."""
-    entries.write.mode("append").parquet(path)
+def append_memory(entries: DataFrame, path: str, run_id: str = "run"):
+    """Memory store, partitioned by run: only the new entries are written."""
+    _write_run(entries.withColumn("run_id", F.lit(run_id)), path, "run_id")
 
 
 def cross_run_table(summaries: DataFrame) -> DataFrame:
     """One row per run, the fixed 14 columns (missing -> null), path order."""
     s = summaries if "path" in summaries.columns else summaries.withColumn("path", F.col("run_id"))
-    return select_columns(s, CROSS_RUN_COLUMNS + ["path"])
+    return select_columns(s.orderBy("path"), CROSS_RUN_COLUMNS)
+
+
+def write_cross_run(summaries: DataFrame, path_csv: str, path_json: str):
+    """The cross-run table as CSV and all summaries as JSON lines, in path order."""
+    _csv(cross_run_table(summaries), path_csv)
+    summaries.orderBy("path").drop("path").write.mode("overwrite").json(path_json)
+
+
+def write_combined_predictions(preds: DataFrame, path: str):
+    """All runs' predictions with their run_name as one CSV table."""
+    _csv(preds, path)
+
+
+# The labels of the reports.
+REPORT_LABELS = ("Dataset", "Questions", "Corpus", "EM/F1", "ROUGE-L/BLEU", "Memory/Retrieval", "Avg latency")
+TOTAL_RUNS, BEST_RUN, INTERPRETATION = "Total runs", "Best run by F1", "Interpretation"
+
+
+def master_report(summaries: DataFrame, best: DataFrame) -> DataFrame:
+    """``report_lines`` of all runs, with the total and the best run ahead (run_id null)."""
+    total = summaries.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+        F.lit(None).cast("string").alias("run_id"), F.lit(0).alias("line_no"), F.lit(TOTAL_RUNS).alias("label"), "value")
+    top = best.select(F.lit(None).cast("string").alias("run_id"), F.lit(1).alias("line_no"), F.lit(BEST_RUN).alias("label"),
+                      F.col("run_id").alias("value"))
+    return total.unionByName(top).unionByName(report_lines(summaries))
+
+
+def run_report(summary: DataFrame) -> DataFrame:
+    """One run's report: its metric lines, then its interpretation notes."""
+    lines = report_lines(summary)
+    notes = summary.select("run_id", F.posexplode("notes").alias("i", "value")).select(
+        "run_id", (F.col("i") + len(REPORT_LABELS)).alias("line_no"), F.lit(INTERPRETATION).alias("label"), "value")
+    return lines.unionByName(notes)
 
 
 def report_lines(summaries: DataFrame) -> DataFrame:
-    """The master report as a tall table (run_id, line_no, label, value)."""
+    """The lines of every run as a tall table (run_id, line_no, label, value)."""
     def f4(c):
         return F.format_string("%.4f", F.coalesce(F.col(c), F.lit(0.0)))
-    items = [
-        ("Dataset", F.coalesce(F.col("dataset").cast("string"), F.lit("None"))),
-        ("Questions", F.coalesce(F.col("num_questions").cast("string"), F.lit("None"))),
-        ("Corpus", F.coalesce(F.col("corpus_size").cast("string"), F.lit("None"))),
-        ("EM/F1", F.concat(f4("avg_em"), F.lit(" / "), f4("avg_f1"))),
-        ("ROUGE-L/BLEU", F.concat(f4("avg_rouge_l"), F.lit(" / "), f4("avg_bleu"))),
-        ("Memory/Retrieval", F.concat(fmt_pct("memory_path_rate"), F.lit(" / "), fmt_pct("retrieval_path_rate"))),
-        ("Avg latency", F.concat(F.format_string("%.3f", F.coalesce(F.col("avg_latency_s"), F.lit(0.0))),
-                                 F.lit("s"))),
+    values = [
+        F.coalesce(F.col("dataset").cast("string"), F.lit("None")),
+        F.coalesce(F.col("num_questions").cast("string"), F.lit("None")),
+        F.coalesce(F.col("corpus_size").cast("string"), F.lit("None")),
+        F.concat(f4("avg_em"), F.lit(" / "), f4("avg_f1")),
+        F.concat(f4("avg_rouge_l"), F.lit(" / "), f4("avg_bleu")),
+        F.concat(fmt_pct("memory_path_rate"), F.lit(" / "), fmt_pct("retrieval_path_rate")),
+        F.concat(F.format_string("%.3f", F.coalesce(F.col("avg_latency_s"), F.lit(0.0))), F.lit("s")),
     ]
+    items = list(zip(REPORT_LABELS, values, strict=True))
     arr = F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(lbl).alias("label"), v.cast("string").alias("value"))
                     for i, (lbl, v) in enumerate(items)])
     return summaries.select("run_id", F.explode(arr).alias("x")).select("run_id", "x.*")

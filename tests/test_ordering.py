@@ -53,3 +53,16 @@ def test_ordered_dedup_hot_key(spark):
     for p, t in sorted(rows):
         want.setdefault(t, p)
     assert got == want
+
+
+def test_running_sums_keep_null_groups(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, None, 2), (3, "a", 4), (4, "a", 8)], "seq long, grp string, x int")
+    got = {r["seq"]: r["sx"] for r in running_sums(df, ["grp"], ["seq"], {"sx": F.col("x")}).collect()}
+    assert got == {1: 1, 2: 3, 3: 4, 4: 12}
+
+
+def test_ordered_dedup_plan_has_no_sort_aggregate(spark):
+    df = spark.createDataFrame([(2, 0, "b"), (1, 1, "b"), (1, 0, "a"), (1, 2, None), (3, 0, None)], "p long, c int, t string")
+    out = ordered_dedup(df, "t", ["p", "c"])
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1, "b"), (1, 0, "a"), (1, 2, None)], key=str)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()

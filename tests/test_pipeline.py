@@ -1,5 +1,6 @@
 """End-to-end runs on a small nested fixture."""
 
+import json
 import os
 
 import pytest
@@ -42,8 +43,10 @@ def test_run_evaluation_end_to_end(spark, samples, tmp_path):
     # '?!' has no letter or digit: rejected by the guard, not routed
     assert s["memory_path_count"] == 1 and s["final_memory_size"] == 3 and s["num_questions"] == 4
     assert res.memory.count() == 3 and res.rejected.count() == 1
-    for name in ("planned_queries", "predictions_csv", "summary_json", "corpus_info", "log", "memory"):
-        assert os.path.isdir(f"{tmp_path}/tiny/{name}")
+    [run] = [d for d in os.listdir(tmp_path) if d.startswith("tiny_")]
+    for name in ("planned_queries", "predictions.csv", "predictions.jsonl", "summary_metrics.json", "run_config.json",
+                 "corpus_info.json", "report.json", "log", "memory"):
+        assert os.path.isdir(f"{tmp_path}/{run}/{name}")
 
 
 def test_generation_errors_are_values(spark):
@@ -60,15 +63,14 @@ def test_hit_on_empty_answer_regenerates_without_storing(spark):
     index = build_index(chunks)
     q = spark.createDataFrame([(0, "a", "capital of France"), (1, "b", "capital of France")],
                               "seq long, query_id string, question string")
-    calls = []
-
-    def gen(prompt):
-        return "" if "Previous Answer" not in prompt and prompt.count("capital") and not calls.append(1) \
-            and len(calls) == 1 else "second"
     res = process_queries(q, index, threshold=0.9, generate=lambda p: "", golds=None)
     p = {r["query_id"]: r for r in res.predictions.collect()}
     assert p["b"]["source"] == "memory" and p["b"]["generated_answer"] == ""
     assert res.memory.count() == 1
+    # a later run meets the empty answer, generates one for its row, and stores nothing
+    later = process_queries(q, index, threshold=0.9, memory=res.memory, generate=lambda p: "made anew", golds=None)
+    assert {r["generated_answer"] for r in later.predictions.collect()} == {"made anew"}
+    assert later.new_memory.count() == 0 and later.memory.collect()[0]["answer"] == ""
 
 
 def test_prompt_budget(spark):
@@ -99,3 +101,71 @@ def test_memory_persists_across_runs(spark):
     assert p["c"]["generated_answer"] == first_answers[0]
     assert p["d"]["source"] == "retrieval" and p["d"]["memory_size"] == 3   # 2 preloaded + 1 stored
     assert sorted(r["id"] for r in r2.memory.collect()) == [0, 1, 2]
+
+
+def test_preloaded_ids_with_a_gap(spark):
+    chunks = spark.createDataFrame([(i, f) for i, f in enumerate(FACTS)], "chunk_id long, text string")
+    index = build_index(chunks)
+    first = spark.createDataFrame([(0, "a", "capital of France"), (1, "b", "longest river in Africa"), (2, "c", "highest mountain above sea")],
+                                  "seq long, query_id string, question string")
+    memory = process_queries(first, index, threshold=0.9, golds=None).memory.filter("id != 1")
+    new = process_queries(spark.createDataFrame([(0, "d", "deepest ocean basin")], "seq long, query_id string, question string"),
+                          index, threshold=0.9, memory=memory, golds=None)
+    assert sorted(r["id"] for r in new.memory.collect()) == [0, 2, 3]
+    assert [r["id"] for r in new.new_memory.collect()] == [3]
+
+
+def test_correct_answer_is_the_value(spark):
+    index = build_index(spark.createDataFrame([(i, f) for i, f in enumerate(FACTS)], "chunk_id long, text string"))
+    q = spark.createDataFrame([(0, "a", "capital of France", "Paris", ["City of Light", "Paris"]), (1, "b", "longest river", "Nile", [])],
+                              "seq long, query_id string, question string, answer_value string, answer_aliases array<string>")
+    p = {r["query_id"]: r for r in process_queries(q, index, threshold=0.9).predictions.collect()}
+    assert p["a"]["correct_answer"] == "Paris" and p["b"]["correct_answer"] == "Nile" and p["b"]["em"] == 0.0
+
+
+def test_error_policies(spark, samples, tmp_path):
+    def _failing(prompt):
+        raise RuntimeError("backend is down")
+    with pytest.raises(Exception, match="LLM backend error"):
+        run_evaluation(spark, samples, Profile("tiny", 5, 10, 100), str(tmp_path), generate=_failing)
+    res = run_evaluation(spark, samples, Profile("tiny", 5, 10, 100), str(tmp_path), generate=_failing, on_error="capture", threshold=0.9)
+    rows = res.predictions.collect()
+    assert rows and all(r["em"] is None and "backend is down" in r["error"] for r in rows)
+    assert res.summary.count() == 0  # no valid row
+    assert {r["answer"] for r in res.new_memory.collect()} == {""}
+
+
+def test_suite_ends_with_a_roll_up(spark, samples, tmp_path):
+    from sparkrecall.plans.evaluation import run_suite
+    from sparkrecall.plans.reports import aggregate_runs
+    from sparkrecall.sources import readers as R
+    out = str(tmp_path)
+    profiles = (Profile("one", 3, 10, 100), Profile("two", 5, 10, 100))
+    first = run_suite(spark, samples, out, profiles, threshold=0.9, labels={"dataset": "tiny", "model": "first sentence"})
+    summaries = R.read_summaries(spark, out)
+    assert summaries.count() == 2 and aggregate_runs(spark, out).runs.count() == 2
+    got = {r["run_id"].split("_")[0]: r for r in summaries.collect()}
+    assert got["one"]["dataset"] == "tiny" and got["one"]["model"] == "first sentence" and got["two"]["num_questions"] == 4
+    assert got["two"]["memory_path"]["count"] == 1 and got["two"]["log_file"].endswith("/log")
+    preds = R.read_predictions_csv(spark, out)
+    assert preds.count() == first["one"].predictions.count() + first["two"].predictions.count()
+    assert {r["run_name"] for r in preds.select("run_name").collect()} == {r["run_id"] for r in got.values()}
+    assert dict(preds.dtypes)["f1"] == "double"
+    config = json.loads(spark.read.text(f"{out}/{got['one']['run_id']}/run_config.json").first()[0])
+    assert config["num_questions"] == 3 and config["dataset"] == "tiny" and config["log_file"] == got["one"]["log_file"]
+    for name in ("all_runs.csv", "all_runs.json", "combined.csv", "report.json"):
+        assert os.path.isdir(f"{out}/roll_up/{name}")
+    table = spark.read.option("header", True).csv(f"{out}/roll_up/all_runs.csv")
+    assert table.count() == 2 and len(table.columns) == 14
+    report = spark.read.json(f"{out}/roll_up/report.json").collect()
+    assert [r["value"] for r in report if r["label"] == "Total runs"] == ["2"]
+    run_suite(spark, samples, out, profiles, threshold=0.9)
+    assert R.read_summaries(spark, out).count() == 4 and R.read_predictions_csv(spark, out).count() == 2 * preds.count()
+
+
+def test_a_run_written_again_leaves_no_duplicates(spark, samples, tmp_path):
+    out = str(tmp_path)
+    for _ in range(2):
+        run_evaluation(spark, samples, Profile("tiny", 5, 10, 100), out, threshold=0.9, run_id="fixed")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/fixed/memory").collect()) == [0, 1, 2]
+    assert spark.read.parquet(f"{out}/fixed/log").count() == 4

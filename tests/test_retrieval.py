@@ -95,3 +95,45 @@ def test_keyword_relevance(spark, index):
     res = hybrid_retrieve(_queries(spark), index, k=2).join(index.chunks, "chunk_id")
     hits = {r["query_id"]: r["hit"] for r in hit_at_k(res, ["pivot", "queue", "memoization", "tries"]).collect()}
     assert hits[0] and hits[1] and hits[3] and hits[4]
+
+
+def test_unscored_chunks_beat_negative_scores(spark):
+    """A term in most chunks scores below zero; the lowest ids without it must win."""
+    texts = ["apple one", "apple two", "apple three", "apple four", "apple five", "apple six", "pear", "plum", "fig"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    idx = build_index(chunks)
+    from sparkrecall.functions.embed import embed
+    q = embed(spark.createDataFrame([(0, "apple"), (1, "apple apple fig"), (2, "nothing known")], "query_id long, query string"), "query",
+              out_col="qvec")
+    got = {}
+    for r in hybrid_retrieve(q, idx, k=3, bm25_weight=1.0, dense_weight=0.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"], 6)))
+    df = {"apple": 6, "fig": 1}
+    n, avgdl = 9, 15 / 9
+    idf = {t: math.log(n - c + .5) - math.log(c + .5) for t, c in {**df, "one": 1, "two": 1, "three": 1, "four": 1, "five": 1, "six": 1, "pear": 1,
+                                                                     "plum": 1}.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    assert idf["apple"] < 0 < floor  # floored, so positive here: apples win
+    assert [c for c, _ in got[0]] == [0, 1, 2]
+    assert got[2] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert got[1][0][0] == 8
+
+
+def test_padding_with_a_negative_floor(spark):
+    """When most terms are in most chunks the mean idf, and with it the floor, is negative."""
+    texts = ["a b c", "a b c", "a b c", "a b c", "a b", "a", "x", "y", "z a b c"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    from sparkrecall.operators.bm25 import build_bm25, bm25_scores
+    from sparkrecall.operators.hybrid import hybrid_top_k
+    idx = build_bm25(chunks, epsilon=-0.25)  # any negative factor gives negative scores for common terms
+    q = spark.createDataFrame([(0, "a"), (1, "a x")], "query_id long, query string")
+    s = bm25_scores(idx, q)
+    top = hybrid_top_k(s, None, q.select("query_id"), chunks.selectExpr("chunk_id as doc_id"), k=3, bm25_weight=1.0)
+    got = {}
+    for r in top.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"] >= 0))
+    scores = {(r["query_id"], r["doc_id"]): r["bm25"] for r in s.collect()}
+    for query in (0, 1):
+        want = sorted(range(9), key=lambda d: (-round(scores.get((query, d), 0.0) / max(1e-12, max(
+            [v for (k, _), v in scores.items() if k == query] + [0]) or 1), 9), d))[:3]
+        assert [d for d, _ in got[query]] == want
