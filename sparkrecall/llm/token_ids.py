@@ -16,13 +16,12 @@ from itertools import chain
 
 import numpy as np
 
-from sparkrecall.llm.common import mix64, slices
+from sparkrecall.llm.common import slices
+from sparkrecall.llm.span_table import SpanTable, grown
 
 #: Words remembered by one worker process; beyond it the table starts anew.
 TABLE_WORDS = 1_000_000
 _ENCODERS: dict = {}
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = mix64(np.arange(512, dtype=np.uint64)).reshape(2, 256)
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Letters (ASCII and Latin-1) and then marks other than the apostrophe: a pre-token each.
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
@@ -50,22 +49,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
+class Encoder(SpanTable):
     def __init__(self, path: str, by_word: bool = True, table_words: int = TABLE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.library, self.by_word, self.most = Tokenizer.from_file(path), by_word, table_words
+        self.library, self.by_word = Tokenizer.from_file(path), by_word
         self.letters, self.marks = _byte_letters(), {}
         probes = [b"a", b"the", b"walked", b"stra\xc3\x9fe", b"caf\xc3\xa9", b"end.", b"so,", b"x***", b"na\xc3\xafve!?", b"zxqv"]
         self.direct = by_word and [self._by_model(*_PLAIN.fullmatch(p).groups()) for p in probes] == self._plain(probes)
-        self.power = self.inverse = np.ones(1, np.uint64)
-        self._clear()
+        super().__init__(table_words)
 
-    def _clear(self) -> None:
-        self.bits = max(10, int(2 * self.most).bit_length())
-        self.keys, self.check = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
-        self.word = np.full(1 << self.bits, -1, np.int32)
-        self.n, self.ids, self.begin = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+    def clear(self) -> None:
+        super().clear()
+        self.ids, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
     def _plain(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
@@ -89,65 +85,15 @@ class Encoder:
         rest = iter(self._plain([w for w, m in zip(words, plain, strict=True) if not m]))
         return [self._by_model(*m.groups()) if m else next(rest) for m in plain]
 
-    def _find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The words' numbers, -1 where unknown (linear probing, all at once)."""
-        out = np.full(len(h), -1, np.int32)
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        todo = np.arange(len(h))
-        while len(todo):
-            w = self.word[at]
-            hit = (self.keys[at] == h[todo]) & (self.check[at] == c[todo])
-            hit &= w >= 0
-            out[todo[hit]] = w[hit]
-            go = np.flatnonzero(~hit & (w >= 0))
-            todo, at = todo[go], (at[go] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def _insert(self, h: np.ndarray, c: np.ndarray, number: np.ndarray) -> None:
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(h):
-            free = np.flatnonzero(self.word[at] < 0)
-            first = free[np.unique(at[free], return_index=True)[1]]
-            self.keys[at[first]], self.check[at[first]], self.word[at[first]] = h[first], c[first], number[first]
-            left = np.ones(len(h), bool)
-            left[first] = False
-            h, c, number, at = h[left], c[left], number[left], (at[left] + 1) & ((1 << self.bits) - 1)
-
     def _learn(self, words: list[bytes], h: np.ndarray, c: np.ndarray) -> None:
         n = self.n
         found = self._encode_words(words)
         ends = self.begin[n] + np.cumsum([len(x) for x in found], dtype=np.int64)
-        if n + len(words) >= len(self.begin):
-            self.begin = np.concatenate([self.begin[:n + 1], np.zeros(n + 2 * len(words) + 1, np.int64)])
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids[:self.begin[n]], np.zeros(2 * int(ends[-1]), np.uint32)])
+        self.begin = grown(self.begin, n + 1, n + len(words) + 1)
+        self.ids = grown(self.ids, int(self.begin[n]), int(ends[-1]))
         self.ids[self.begin[n]:ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32)
         self.begin[n + 1:n + 1 + len(words)] = ends
-        self._insert(h, c, np.arange(n, n + len(words), dtype=np.int32))
-        self.n += len(words)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            ones = np.full(n + (n >> 2), _BASE, np.uint64)
-            ones[0] = 1
-            self.power = np.cumprod(ones, dtype=np.uint64)
-            ones[1:] = pow(_BASE, -1, 1 << 64)
-            self.inverse = np.cumprod(ones, dtype=np.uint64)
-
-    def _words(self, text: bytes) -> tuple[np.ndarray, ...]:
-        """Begins, ends and the two hashes of the words of a text that ends in white space."""
-        raw = np.frombuffer(text, np.uint8)
-        self._powers(len(raw))
-        edge = np.diff(_BLANK[raw].view(np.int8), prepend=np.int8(1))
-        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        hashes = []
-        for table in _BYTES:
-            sums = table[raw]
-            sums *= self.power[:len(raw)]
-            np.cumsum(sums, out=sums)
-            before = np.where(begin > 0, sums[begin - 1], np.uint64(0))
-            hashes.append(mix64((sums[end - 1] - before) * self.inverse[begin]))
-        return begin, end, *hashes
+        self.insert(h, c)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, their ends) for UTF-8 texts of a bounded slice."""
@@ -157,19 +103,15 @@ class Encoder:
         text = b"\n".join([*texts, b""])
         if self.direct and b"<|" not in text:  # the names of special tokens must stay as they are
             text = text.lower()  # A-Z alone; such a tokenizer lower-cases anyway
-        begin, end, h, c = self._words(text)
-        at = self._find(h, c)
-        if len(missing := np.flatnonzero(at < 0)):
-            new = missing[np.unique(h[missing], return_index=True)[1]]
-            if self.n + len(new) > self.most and self.n:
-                self._clear()
-                new = np.unique(h, return_index=True)[1]
-                missing = np.arange(len(h))
-            if len(new) > self.most:
-                self.most = 2 * len(new)
-                self._clear()
+        raw = np.frombuffer(text, np.uint8)
+        edge = np.diff(_BLANK[raw].view(np.int8), prepend=np.int8(1))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        h, c = self.hashes(raw, begin, end)
+        at = self.find(h, c)
+        if (new := self.unknown(h, at)) is not None:
             self._learn([text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)], h[new], c[new])
-            at[missing] = self._find(h[missing], c[missing])
+            missing = np.flatnonzero(at < 0)
+            at[missing] = self.find(h[missing], c[missing])
         first = self.begin[at]
         n = self.begin[at + 1] - first
         ends = np.cumsum(n)
