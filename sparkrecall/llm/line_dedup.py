@@ -189,8 +189,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     rows = line_rows(docs, text, doc_id)
     near = cut_lineage(near_lines(candidate_lines(docs, rows, text, doc_id)))
     many = rows.where("not again").groupBy("d1", "d2").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = (many.select("d1", "d2", "least").unionByName(near.withColumn("least", F.lit(-(2**63))))
-             .groupBy("d1", "d2").agg(F.min("least").alias("least")))
+    # written, so that the join's sides are plain shuffles and Spark can split a hot line
+    known = cut_lineage(many.select("d1", "d2", "least").unionByName(near.withColumn("least", F.lit(-(2**63))))
+                        .groupBy("d1", "d2").agg(F.min("least").alias("least")))
     later = rows.where("not again").join(known, ["d1", "d2"]).where("rank > least").select("rank", "text_hash", "line_no")
     return (later.unionByName(rows.where("again").select("rank", "text_hash", "line_no"))
             .groupBy("rank", "text_hash").agg(F.collect_set("line_no").alias("lines")))

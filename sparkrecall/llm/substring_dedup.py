@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the text's bytes (white space runs as one space); a chunk ends
-after a word where the hash of the last 32 bytes falls below a threshold, so chunk
+after a word where the hash of the last 16 bytes falls below a threshold, so chunk
 ends depend on the words just before them alone, and an insertion moves only the ends
 near it. From each chunk's start a unit runs over whole chunks until it has
 ``LEAST_WORDS`` words; units are deduplicated by digest. A unit stays in the document
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ from sparkrecall.llm.common import fresh, mix64, text_of, text_slices
 from sparkrecall.session import cut_lineage
 
 #: Mean words of a chunk, and least words of a unit.
-CHUNK_WORDS, LEAST_WORDS = 5, 20
+CHUNK_WORDS, LEAST_WORDS = 5, 16
 _LAST = 2**63 - 1
 
 
@@ -46,10 +46,10 @@ _GEAR = mix64(np.arange(256, dtype=np.uint64))
 
 
 def gear_hashes(line: np.ndarray) -> np.ndarray:
-    """High 32 bits of the gear hash of the last 32 bytes (h = 2h + gear[byte]) at
-    each byte: sums over 1, 2, 4, 8, 16 bytes are doubled instead of rolled."""
+    """High 32 bits of the gear hash of the last 16 bytes (h = 2h + gear[byte]) at
+    each byte: sums over 1, 2, 4, 8 bytes are doubled instead of rolled."""
     h = _GEAR[line]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         more = h.copy()
         more[k:] += h[:-k] << np.uint64(k)
         h = more
@@ -99,8 +99,13 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+def text_key(docs: DataFrame, text: str) -> Column:
+    """32 bits of hash of a text; tells apart the texts of rows that share a doc_id."""
+    return F.hash(text_of(docs, text))
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(text_of(docs, text)).alias("text_hash"),
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_key(docs, text).alias("text_hash"),
                        docs[text].alias("text"))
 
 
@@ -137,7 +142,7 @@ def _places(docs: DataFrame, text: str, doc_id: str, chunk_words: int, least_wor
                     "text_hash": pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)),
                     "place": pa.array(np.concatenate(place).astype(np.int32))})
 
-    return _keyed(docs, text, doc_id).mapInArrow(run, "digest long, rest int, rank long, text_hash long, place int")
+    return _keyed(docs, text, doc_id).mapInArrow(run, "digest long, rest int, rank long, text_hash int, place int")
 
 
 def repeated_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = CHUNK_WORDS,
@@ -145,7 +150,8 @@ def repeated_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(rank, text_hash, places): for each document with units to cut, their numbers."""
     twice = _digests(docs, text, chunk_words, least_words).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     found = cut_lineage(_places(docs, text, doc_id, chunk_words, least_words).join(twice, "digest"))
-    first = found.groupBy("digest", "rest").agg(F.min("rank").alias("least"))
+    # written, so that the join's sides are plain shuffles and Spark can split a hot digest
+    first = cut_lineage(found.groupBy("digest", "rest").agg(F.min("rank").alias("least")))
     cut = found.join(first, ["digest", "rest"]).where("rank > least or place < 0")
     number = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
     return cut.groupBy("rank", "text_hash").agg(F.collect_set(number).alias("places"))
@@ -157,7 +163,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     tells how many words were cut."""
     rank, hashed, places, r_rank, r_hash = fresh(docs, "rank", "text_hash", "places", "r_rank", "r_hash")
     cuts = repeated_units(docs, text, doc_id, chunk_words, least_words).toDF(r_rank, r_hash, places)
-    keyed = docs.withColumns({rank: F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST)), hashed: F.xxhash64(text_of(docs, text))})
+    keyed = docs.withColumns({rank: F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST)), hashed: text_key(docs, text)})
     joined = keyed.join(cuts, (keyed[rank] == cuts[r_rank]) & (keyed[hashed] == cuts[r_hash]), "left").select(*docs.columns, places)
     names = docs.columns
 
