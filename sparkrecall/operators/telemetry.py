@@ -76,11 +76,12 @@ def _avg0(c: Column) -> Column:
 
 
 def run_summary(preds: DataFrame, run_col: str = "run_id", order_col: str = "seq",
-                latency_col: str = "latency_s", valid_only: bool = False) -> DataFrame:
+                latency_col: str = "latency_s", valid_only: bool = False, final_memory_size: bool = False) -> DataFrame:
     """One row per run: means (0.0 when empty) of the quality columns present,
     confidence and latency; path counts and rates over all rows; hallucination
     rate (share not containing gold); per-path count/avg em/f1/confidence with
-    0.0 for an empty path; final memory size = memory_size of the last row.
+    0.0 for an empty path; final memory size = memory_size of the last row (with
+    ``final_memory_size``, for logs without counters: the number of misses).
     A single aggregation with conditional aggregates (partial aggregation map-side)."""
     if valid_only and "em" in preds.columns:
         preds = preds.filter(F.col("em").isNotNull())
@@ -102,6 +103,8 @@ def run_summary(preds: DataFrame, run_col: str = "run_id", order_col: str = "seq
                 aggs.append(_avg0(F.when(cond, F.col(m))).alias(f"{path}_path_avg_{m}"))
     if "memory_size" in cols:
         aggs.append(F.max_by("memory_size", order_col).alias("final_memory_size"))
+    elif final_memory_size:
+        aggs.append(F.count_if(is_ret).alias("final_memory_size"))
     s = preds.groupBy(run_col).agg(*aggs)
     tot = F.col("num_questions")
     s = (s.withColumn("memory_path_rate", F.col("memory_path_count") / tot)
@@ -129,16 +132,16 @@ def best_run(summaries: DataFrame, metric: str = "avg_f1", order_col: str = "run
 
 
 def fmt3(c) -> Column:
-    """3 decimals, or 'NA' for null."""
+    """3 decimals, or 'NA' for null; a tie goes to the even digit."""
     col = F.col(c) if isinstance(c, str) else c
     # format_string renders a null argument as text, so test for null first
-    return F.when(col.isNull(), F.lit("NA")).otherwise(F.format_string("%.3f", col.cast("double")))
+    return F.when(col.isNull(), F.lit("NA")).otherwise(F.format_string("%.3f", F.bround(col.cast("double"), 3)))
 
 
 def fmt_pct(c) -> Column:
-    """Percent with one decimal; null counts as 0."""
+    """Percent with one decimal (a tie goes to the even digit); null counts as 0."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.format_string("%.1f%%", F.coalesce(col.cast("double"), F.lit(0.0)) * 100)
+    return F.format_string("%.1f%%", F.bround(F.coalesce(col.cast("double"), F.lit(0.0)) * 100, 1))
 
 
 # Fixed formats of run ids and summary stamps.

@@ -192,8 +192,8 @@ def events_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_summary(spark, sf_dir):
-    log = tel.with_counters(events_log(spark, sf_dir)).withColumnRenamed("latency", "latency_s")
-    return tel.interpretation_notes(tel.run_summary(log))
+    log = events_log(spark, sf_dir).withColumnRenamed("latency", "latency_s")
+    return tel.interpretation_notes(tel.run_summary(log, final_memory_size=True))
 
 
 def events_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,16 +264,18 @@ def _stream_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
-def _write_ordered_batches(df: DataFrame, order_col: str, folder: str, batches: int = STREAM_BATCHES):
-    """Split ``df`` into ``batches`` contiguous ranges of ``order_col`` and write
-    them one after another (file modification order = arrival order)."""
+def _stream_ordered_batches(df: DataFrame, order_col: str, folder: str, start, batches: int = STREAM_BATCHES) -> None:
+    """Append ``df`` to ``folder/in`` as contiguous ranges of ``order_col`` (null
+    first), and after each let the stream that ``start`` makes consume what is new:
+    a micro-batch of as many files as Spark wrote."""
+    spark = df.sparkSession
     b = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = int(b["lo"]), int(b["hi"])
+    lo, hi = int(b["lo"] or 0), int(b["hi"] or 0)
     step = (hi - lo) // batches + 1
+    part = F.coalesce(((F.col(order_col) - lo) / step).cast("int"), F.lit(0))
     for i in range(batches):
-        (df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-         .coalesce(1).write.mode("append").parquet(f"{folder}/in"))
-    return df.schema
+        df.filter(part == i).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(df.schema).parquet(f"{folder}/in")).awaitTermination()
 
 
 def stream_routing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,22 +283,19 @@ def stream_routing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _stream_folder(spark)
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"),
                                                    as_double("embedding").alias("vec"))
-    schema = _write_ordered_batches(e, "seq", folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    q = streaming_semantic_cache(stream, f"{folder}/state", f"{folder}/out", f"{folder}/ckpt", TEST_THRESHOLD)
-    q.awaitTermination()
+    _stream_ordered_batches(e, "seq", folder, lambda stream: streaming_semantic_cache(
+        stream, f"{folder}/state", f"{folder}/out", f"{folder}/ckpt", TEST_THRESHOLD))
     out = spark.read.parquet(f"{folder}/out")
     return out.select(F.col("seq").alias("vec_id"), "source", "memory_id", _r("confidence").alias("confidence"),
                       "stored_id")
 
 
 def stream_log_counters_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.telemetry import stream_log_counters
+    from ..streaming.telemetry import read_log_counters, stream_log_counters
     folder = _stream_folder(spark)
-    schema = _write_ordered_batches(events_log(spark, sf_dir), "seq", folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    stream_log_counters(stream, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
+    _stream_ordered_batches(events_log(spark, sf_dir), "seq", folder,
+                            lambda stream: stream_log_counters(stream, f"{folder}/out", f"{folder}/ckpt"))
+    out = read_log_counters(spark, f"{folder}/out")
     return out.select("run_id", "source", "n", _r("sum_confidence").alias("sum_confidence"),
                       _r("sum_latency").alias("sum_latency"))
 

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.memory import TS_FORMAT
 from ..operators.ordering import ordered_cap
 from ..operators.telemetry import fmt_pct
 
@@ -30,7 +31,8 @@ CORPUS_INFO_CHUNKS = 10
 
 
 def _csv(df: DataFrame, path: str, mode: str = "overwrite"):
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("timestampFormat", TS_FORMAT)
+     .option("timestampNTZFormat", TS_FORMAT).csv(path))
 
 
 def manifest(questions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -120,6 +122,11 @@ def append_log(log: DataFrame, path: str, run_col: str = "run_id"):
     _write_run(log.filter(F.trim(F.coalesce(F.col("query"), F.lit(""))) != ""), path, run_col)
 
 
+def write_log_csv(log: DataFrame, path: str, columns: list[str]):
+    """Log rows as CSV with a header, in the given column layout."""
+    _csv(select_columns(log, columns), path)
+
+
 def append_memory(entries: DataFrame, path: str, run_id: str = "run"):
     """Memory store, partitioned by run: only the new entries are written."""
     _write_run(entries.withColumn("run_id", F.lit(run_id)), path, "run_id")
@@ -167,7 +174,7 @@ def run_report(summary: DataFrame) -> DataFrame:
 def report_lines(summaries: DataFrame) -> DataFrame:
     """The lines of every run as a tall table (run_id, line_no, label, value)."""
     def f4(c):
-        return F.format_string("%.4f", F.coalesce(F.col(c), F.lit(0.0)))
+        return F.format_string("%.4f", F.bround(F.coalesce(F.col(c), F.lit(0.0)), 4))
     values = [
         F.coalesce(F.col("dataset").cast("string"), F.lit("None")),
         F.coalesce(F.col("num_questions").cast("string"), F.lit("None")),
@@ -175,7 +182,7 @@ def report_lines(summaries: DataFrame) -> DataFrame:
         F.concat(f4("avg_em"), F.lit(" / "), f4("avg_f1")),
         F.concat(f4("avg_rouge_l"), F.lit(" / "), f4("avg_bleu")),
         F.concat(fmt_pct("memory_path_rate"), F.lit(" / "), fmt_pct("retrieval_path_rate")),
-        F.concat(F.format_string("%.3f", F.coalesce(F.col("avg_latency_s"), F.lit(0.0))), F.lit("s")),
+        F.concat(F.format_string("%.3f", F.bround(F.coalesce(F.col("avg_latency_s"), F.lit(0.0)), 3)), F.lit("s")),
     ]
     items = list(zip(REPORT_LABELS, values, strict=True))
     arr = F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(lbl).alias("label"), v.cast("string").alias("value"))

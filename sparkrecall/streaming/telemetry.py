@@ -3,7 +3,7 @@ per-source counters (bounded keys, so no watermark is needed)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,11 +30,25 @@ def log_counters(log: DataFrame, run_col: str = "run_id") -> DataFrame:
 
 def stream_log_counters(log: DataFrame, out_path: str, checkpoint: str, run_col: str = "run_id",
                         available_now: bool = True) -> StreamingQuery:
-    """Running counters in complete mode; each trigger rewrites the current
-    totals as parquet (the state itself is Spark's keyed aggregation state)."""
+    """Running counters in update mode: each micro-batch writes the totals of the runs
+    it touched as its own version (a retried batch replaces its version), so a
+    trigger's work follows its input and readers never meet a folder half written.
+    ``read_log_counters`` gives the newest totals."""
     agg = log_counters(log, run_col)
-    w = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(out_path)))
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        (df.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(out_path))
+
+    w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def read_log_counters(spark: SparkSession, path: str, run_col: str = "run_id") -> DataFrame:
+    """The newest totals per (run, source)."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (run_col, "source", "version")]
+    newest = rows.groupBy(run_col, "source").agg(F.max_by(F.struct(*others), "version").alias("x"))
+    return newest.select(run_col, "source", "x.*")
