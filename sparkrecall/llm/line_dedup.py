@@ -96,7 +96,7 @@ def candidate_lines(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) ->
     """Written table (at, d1, d2, line): the distinct lines that may have a neighbour;
     ``at`` numbers them by their earliest place."""
     keys = rows.select("rank", "text_hash", "line_no", "d1", F.explode("ends").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo != hi").select("key")
+    shared = cut_lineage(keys.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo != hi").select("key"))
     asked = (keys.join(shared, "key").groupBy("rank", "text_hash").agg(F.collect_set("line_no").alias("lines"))
              .toDF("r", "h", "lines"))
     keyed = _keyed(docs, text, doc_id)
@@ -170,7 +170,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     """(d1, d2) of the distinct lines with an earlier neighbour."""
     variants = neighbourhood(lines)
     least = [F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"least{k}") for k in range(3)]
-    groups = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1").drop("n")
+    groups = cut_lineage(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1").drop("n"))
     other = F.when(F.col("kind") == 0, F.col("least1")).when(F.col("kind") == 1, F.col("least0")).otherwise(F.col("least2"))
     pairs = (variants.join(groups, "key").select("at", other.alias("other")).where("other < at").distinct())
     named = (pairs.join(lines, "at").join(lines.select(F.col("at").alias("other"), F.col("line").alias("other_line")), "other")
