@@ -37,7 +37,7 @@ from sparkrecall.llm.common import fresh, mix64, text_of, text_slices
 from sparkrecall.session import cut_lineage
 
 #: Mean words of a chunk, and least words of a unit.
-CHUNK_WORDS, LEAST_WORDS = 5, 16
+CHUNK_WORDS, LEAST_WORDS = 4, 16
 _LAST = 2**63 - 1
 
 
