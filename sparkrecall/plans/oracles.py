@@ -87,7 +87,7 @@ dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist
 ORACLES["dense_top6"] = f"""WITH {CHUNKS_CTE}, {DENSE_CTE}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(dist, 6) AS dist FROM dense WHERE rank <= 6"""
 
-ORACLES["hybrid_top3"] = f"""WITH {CHUNKS_CTE}, {BM25_CTE}, {_bench_terms()}, {DENSE_CTE},
+HYBRID_CTE = f"""{CHUNKS_CTE}, {BM25_CTE}, {_bench_terms()}, {DENSE_CTE},
 bm AS (SELECT query_id, chunk_id, sum(qtf * w) AS s FROM qt JOIN post USING (term) GROUP BY ALL),
 bmn AS (SELECT query_id, chunk_id, CASE WHEN max(s) OVER (PARTITION BY query_id) > 0
                                          THEN s / max(s) OVER (PARTITION BY query_id) ELSE s END AS b FROM bm),
@@ -98,7 +98,9 @@ scored AS (SELECT q.query_id, c.chunk_id, 0.5 * coalesce(b.b, 0) + 0.5 * coalesc
            FROM allq q CROSS JOIN chunks c
            LEFT JOIN bmn b ON b.query_id = q.query_id AND b.chunk_id = c.chunk_id
            LEFT JOIN dnn d ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored)
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored)"""
+
+ORACLES["hybrid_top3"] = f"""WITH {HYBRID_CTE}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 3"""
 
 EMB_CTE = """
@@ -159,10 +161,8 @@ def _ngram_counts(name: str, tokcol: str) -> str:
     return f"{name} AS (SELECT conv_id, turn, n, gram, count(*) AS c FROM ({parts}) GROUP BY ALL)"
 
 
-ORACLES["answer_scores"] = f"""WITH
-pairs AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold
-          FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
-          WHERE a.role = 'assistant'),
+# Scores of pairs(conv_id, turn, pred, gold).
+SCORE_CTE = f"""
 nt AS (SELECT conv_id, turn, {_ntok('pred')} AS pt, {_ntok('gold')} AS gt FROM pairs),
 nn AS (SELECT conv_id, turn, pt, gt, array_to_string(pt, ' ') AS pn, array_to_string(gt, ' ') AS gn FROM nt),
 pc AS (SELECT conv_id, turn, tok, count(*) AS cp FROM (SELECT conv_id, turn, unnest(pt) AS tok FROM nt) GROUP BY ALL),
@@ -179,8 +179,8 @@ mm AS (SELECT conv_id, turn,
        FROM clip GROUP BY ALL),
 j AS (SELECT nn.*, coalesce(s.same, 0) AS same, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2,
              coalesce(m3, 0) AS m3, coalesce(m4, 0) AS m4, len(pt) AS c, len(gt) AS r
-      FROM nn LEFT JOIN same s USING (conv_id, turn) LEFT JOIN mm USING (conv_id, turn))
-SELECT conv_id, turn,
+      FROM nn LEFT JOIN same s USING (conv_id, turn) LEFT JOIN mm USING (conv_id, turn)),
+scores AS (SELECT conv_id, turn,
        CAST(CASE WHEN pn = gn THEN 1.0 ELSE 0.0 END AS DOUBLE) AS em,
        round(CASE WHEN c = 0 OR r = 0 OR same = 0 THEN 0.0
                   ELSE 2 * (same / c) * (same / r) / (same / c + same / r) END, 6) AS f1,
@@ -191,7 +191,14 @@ SELECT conv_id, turn,
                + ln(CASE WHEN m3 > 0 THEN m3 ELSE 0.1 END / greatest(1, c - 2))
                + ln(CASE WHEN m4 > 0 THEN m4 ELSE 0.1 END / greatest(1, c - 3))) / 4) END, 6) AS bleu,
        (gn <> '' AND contains(pn, gn)) AS answer_contains_gold
-FROM j"""
+FROM j)"""
+
+ORACLES["answer_scores"] = f"""WITH
+pairs AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold
+          FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+          WHERE a.role = 'assistant'),
+{SCORE_CTE}
+SELECT * FROM scores"""
 
 
 def _rtok(x: str) -> str:
@@ -200,19 +207,24 @@ def _rtok(x: str) -> str:
 
 # Longest common subsequence by its table, one row of it per step: the best so far up to
 # each gold token is the running maximum of "diagonal + 1 on a match, else the value above".
-ORACLES["rouge_l_scores"] = f"""WITH RECURSIVE
-pairs AS (SELECT a.conv_id, a.turn, {_rtok('a.text')} AS p, {_rtok('b.text')} AS g
-          FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
-          WHERE a.role = 'assistant'),
-walk(conv_id, turn, p, g, i, best) AS (
-  SELECT conv_id, turn, p, g, 0, list_transform(range(0, len(g) + 1), lambda j: CAST(0 AS BIGINT)) FROM pairs
+ROUGE_CTE = f"""
+rp AS (SELECT conv_id, turn, {_rtok('pred')} AS p, {_rtok('gold')} AS g FROM pairs),
+lcs_walk(conv_id, turn, p, g, i, best) AS (
+  SELECT conv_id, turn, p, g, 0, list_transform(range(0, len(g) + 1), lambda j: CAST(0 AS BIGINT)) FROM rp
   UNION ALL
   SELECT conv_id, turn, p, g, i + 1, list_transform(range(1, len(g) + 2), lambda j: list_max(
       list_transform(range(1, j + 1), lambda l: CASE WHEN l > 1 AND g[l - 1] = p[i + 1] THEN best[l - 1] + 1 ELSE best[l] END)))
-  FROM walk WHERE i < len(p)),
-lcs AS (SELECT conv_id, turn, len(p) AS np, len(g) AS ng, best[len(g) + 1] AS n FROM walk WHERE i = len(p))
-SELECT conv_id, turn, round(CASE WHEN np = 0 OR ng = 0 OR n = 0 THEN 0.0
-                                 ELSE 2 * (n / np) * (n / ng) / (n / np + n / ng) END, 6) AS rouge_l FROM lcs"""
+  FROM lcs_walk WHERE i < len(p)),
+lcs AS (SELECT conv_id, turn, len(p) AS np, len(g) AS ng, best[len(g) + 1] AS n FROM lcs_walk WHERE i = len(p)),
+rouge AS (SELECT conv_id, turn, round(CASE WHEN np = 0 OR ng = 0 OR n = 0 THEN 0.0
+                                           ELSE 2 * (n / np) * (n / ng) / (n / np + n / ng) END, 6) AS rouge_l FROM lcs)"""
+
+ORACLES["rouge_l_scores"] = f"""WITH RECURSIVE
+pairs AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold
+          FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+          WHERE a.role = 'assistant'),
+{ROUGE_CTE}
+SELECT * FROM rouge"""
 
 
 def _norm(x: str) -> str:
@@ -302,3 +314,79 @@ SELECT h.query_id, count(*) AS returned, count(DISTINCT h.chunk_id) AS "distinct
 FROM ({ORACLES["hybrid_top3"]}) h
 LEFT JOIN labels l ON l.doc_id = h.chunk_id // {STRIDE}
 GROUP BY h.query_id"""
+
+
+# The whole question-answering run: routing among the questions, the hybrid top three of
+# the misses, the context of the prompt, its first sentence as the answer, scores.
+def _cut(x: str) -> str:
+    return (f"CASE WHEN length({_strip(x)}) <= 800 THEN {_strip(x)} "
+            f"ELSE regexp_replace({_strip(x)}[1:797], '[{_WS}]+$', '') || '...' END")
+
+
+QA_CTE = f"""{HYBRID_CTE},
+asked AS (SELECT item_id AS seq, text, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark
+          WHERE regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]')),
+sims AS MATERIALIZED (
+  SELECT a.rn AS i, b.rn AS j, coalesce((SELECT sum(x.u * y.u) FROM qv_u x JOIN qv_u y USING (b) WHERE x.id = a.seq AND y.id = b.seq), 0) AS sim
+  FROM asked a JOIN asked b ON b.rn < a.rn),
+edges AS MATERIALIZED (SELECT i, list(j) AS js FROM sims WHERE sim >= 0.35 GROUP BY i),
+route_walk(rn, stored) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1, CASE WHEN len(list_intersect(coalesce(e.js, CAST([] AS BIGINT[])), w.stored)) > 0 THEN w.stored
+                        ELSE list_append(w.stored, w.rn + 1) END
+  FROM route_walk w LEFT JOIN edges e ON e.i = w.rn + 1 WHERE w.rn < (SELECT count(*) FROM asked)),
+fin AS (SELECT stored FROM route_walk ORDER BY rn DESC LIMIT 1),
+kept AS (SELECT unnest(stored) AS j, unnest(range(len(stored))) AS memory_id FROM fin),
+nearest AS (SELECT s.i, s.j, s.sim, row_number() OVER (PARTITION BY s.i ORDER BY round(s.sim, 9) DESC, s.j) AS r
+            FROM sims s JOIN kept ON kept.j = s.j),
+routed AS (SELECT a.seq, a.text, a.rn, CASE WHEN n.sim >= 0.35 THEN 'memory' ELSE 'retrieval' END AS source, m.memory_id,
+                  coalesce(n.sim, 0) AS confidence, own.memory_id AS stored_id
+           FROM asked a LEFT JOIN nearest n ON n.i = a.rn AND n.r = 1 LEFT JOIN kept m ON m.j = n.j LEFT JOIN kept own ON own.j = a.rn),
+snippets AS (SELECT r.query_id, max(CASE WHEN r.rank = 1 THEN {_cut('c.text')} END) AS s1,
+                    max(CASE WHEN r.rank = 2 THEN {_cut('c.text')} END) AS s2
+             FROM rk r JOIN chunks c USING (chunk_id) WHERE r.rank <= 2 GROUP BY r.query_id),
+contexts AS (SELECT query_id, {_strip("s1 || CASE WHEN length(s1) + length(s2) <= 1400 THEN chr(10) || chr(10) || s2 ELSE '' END")} AS ctx
+             FROM snippets),
+generated AS (SELECT query_id, CASE WHEN regexp_matches(ctx, '(?s)^.*?[.!?]{W}') THEN regexp_extract(ctx, '(?s)^(.*?[.!?]){W}', 1)
+                                    ELSE ctx END AS answer FROM contexts),
+answered AS (SELECT r.*, coalesce(g.answer, served.answer) AS answer
+             FROM routed r LEFT JOIN generated g ON g.query_id = r.seq AND r.source = 'retrieval'
+             LEFT JOIN (SELECT o.stored_id, x.answer FROM routed o JOIN generated x ON x.query_id = o.seq) served
+                    ON r.source = 'memory' AND served.stored_id = r.memory_id),
+pairs AS (SELECT seq AS conv_id, 0 AS turn, answer AS pred, text AS gold FROM answered),
+{SCORE_CTE}, {ROUGE_CTE},
+qa AS (SELECT a.*, s.em, s.f1, s.bleu, g.rouge_l, s.answer_contains_gold,
+              CAST(count(*) FILTER (WHERE source = 'retrieval') OVER w AS BIGINT) AS retrieval_count,
+              CAST(count(*) FILTER (WHERE source = 'memory') OVER w AS BIGINT) AS memory_count
+       FROM answered a JOIN scores s ON s.conv_id = a.seq JOIN rouge g ON g.conv_id = a.seq
+       WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+ORACLES["qa_predictions"] = f"""WITH RECURSIVE {QA_CTE}
+SELECT CAST(seq AS VARCHAR) AS query_id, source, memory_id, round(confidence, 6) AS confidence, answer AS generated_answer, em, f1, bleu,
+       rouge_l, answer_contains_gold, retrieval_count, memory_count, retrieval_count AS memory_size FROM qa"""
+
+
+def _means(path: str) -> str:
+    return ", ".join(f"round(coalesce(avg({m}) FILTER (WHERE source = '{path}'), 0), 4) AS {path}_path_avg_{m}" for m in ("em", "f1", "confidence"))
+
+
+ORACLES["qa_run_summary"] = f"""WITH RECURSIVE {QA_CTE},
+s AS (SELECT count(*) AS num_questions, avg(em) AS e, avg(f1) AS f, avg(rouge_l) AS r, avg(bleu) AS b, avg(confidence) AS c,
+             count(*) FILTER (WHERE source = 'memory') AS memory_path_count,
+             count(*) FILTER (WHERE source = 'retrieval') AS retrieval_path_count,
+             {_means('memory')}, {_means('retrieval')}, max(retrieval_count) AS final_memory_size,
+             count(*) FILTER (WHERE NOT answer_contains_gold) AS h FROM qa)
+SELECT 'run' AS run_id, num_questions, round(e, 4) AS avg_em, round(f, 4) AS avg_f1, round(r, 4) AS avg_rouge_l, round(b, 4) AS avg_bleu,
+       round(c, 4) AS avg_confidence, memory_path_count, retrieval_path_count,
+       memory_path_avg_em, memory_path_avg_f1, memory_path_avg_confidence, retrieval_path_avg_em, retrieval_path_avg_f1,
+       retrieval_path_avg_confidence, final_memory_size, round(memory_path_count / num_questions, 4) AS memory_path_rate,
+       round(retrieval_path_count / num_questions, 4) AS retrieval_path_rate,
+       round(retrieval_path_count / num_questions, 4) AS retrieval_call_rate, round(h / num_questions, 4) AS hallucination_rate,
+       array_to_string(list_filter([
+         CASE WHEN memory_path_count / num_questions < 0.1
+              THEN 'Memory path triggered rarely; corpus diversity or threshold may be limiting early memory reuse.' END,
+         CASE WHEN f < 0.1 THEN 'Answer quality is currently low; retrieval context quality and prompting need improvement.' END,
+         CASE WHEN memory_path_count / num_questions >= 0.1 AND f >= 0.1
+              THEN 'Run is stable with balanced routing and measurable answer quality.' END], lambda x: x IS NOT NULL), ' | ') AS notes
+FROM s"""

@@ -242,8 +242,11 @@ def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the latency, which differs from run to run."""
     s = _qa_run(spark, sf_dir).summary
-    return s.select(*[c for c in s.columns if c != "notes"], F.array_join("notes", " | ").alias("notes"))
+    kinds = dict(s.dtypes)
+    return s.select(*[F.round(c, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in s.columns if c not in ("notes", "avg_latency_s")],
+                    F.array_join("notes", " | ").alias("notes"))
 
 
 REGISTRY.update({"qa_predictions": qa_predictions, "qa_run_summary": qa_run_summary})
