@@ -16,6 +16,8 @@ Most lines have no neighbour, so variants are made only for lines that may: one
 leaves the first or the last words of a line (some power of two below half of them)
 alone, and lines go on only if that prefix or suffix also begins or ends another line.
 
+The tables of shared keys grow with the corpus, so their joins are shuffled at every size.
+
 Lines without a word are never dropped. A null or empty text has no such line. A null
 doc_id ranks last; rows that share a doc_id are not deduplicated against each other,
 repeated rows therefore neither. An empty table gives an empty result; other columns,
@@ -97,7 +99,7 @@ def candidate_lines(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) ->
     ``at`` numbers them by their earliest place."""
     keys = rows.select("rank", "text_hash", "line_no", "d1", F.explode("ends").alias("key"))
     shared = cut_lineage(keys.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo != hi").select("key"))
-    asked = (keys.join(shared, "key").groupBy("rank", "text_hash").agg(F.collect_set("line_no").alias("lines"))
+    asked = (keys.join(shared.hint("merge"), "key").groupBy("rank", "text_hash").agg(F.collect_set("line_no").alias("lines"))
              .toDF("r", "h", "lines"))
     keyed = _keyed(docs, text, doc_id)
     joined = keyed.join(asked, (keyed["rank"] == asked["r"]) & (keyed["text_hash"] == asked["h"])).select("rank", "text", "lines")
@@ -172,7 +174,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     least = [F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"least{k}") for k in range(3)]
     groups = cut_lineage(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1").drop("n"))
     other = F.when(F.col("kind") == 0, F.col("least1")).when(F.col("kind") == 1, F.col("least0")).otherwise(F.col("least2"))
-    pairs = (variants.join(groups, "key").select("at", other.alias("other")).where("other < at").distinct())
+    pairs = (variants.join(groups.hint("merge"), "key").select("at", other.alias("other")).where("other < at").distinct())
     named = (pairs.join(lines, "at").join(lines.select(F.col("at").alias("other"), F.col("line").alias("other_line")), "other")
              .select("d1", "d2", "line", "other_line"))
 
@@ -192,7 +194,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     # written, so that the join's sides are plain shuffles and Spark can split a hot line
     known = cut_lineage(many.select("d1", "d2", "least").unionByName(near.withColumn("least", F.lit(-(2**63))))
                         .groupBy("d1", "d2").agg(F.min("least").alias("least")))
-    later = rows.where("not again").join(known, ["d1", "d2"]).where("rank > least").select("rank", "text_hash", "line_no")
+    later = rows.where("not again").join(known.hint("merge"), ["d1", "d2"]).where("rank > least").select("rank", "text_hash", "line_no")
     return (later.unionByName(rows.where("again").select("rank", "text_hash", "line_no"))
             .groupBy("rank", "text_hash").agg(F.collect_set("line_no").alias("lines")))
 
