@@ -12,7 +12,8 @@ Every round decides at least the earliest undecided row, so it terminates; on
 the test tables it takes a handful of rounds. Each round is two top-1 similarity
 searches (``knn`` with metric ip, ``only_earlier``) restricted to the sets that
 matter -- no pair or edge table is materialised, so a hot cluster of copies
-costs one round, not a quadratic edge list. State is checkpointed each round.
+costs one round, not a quadratic edge list. Statuses are written each round,
+vectors once.
 
 A final pass computes the reported fields: confidence = best cosine over the
 stored earlier rows (reported for misses too), memory_id = that row's id, ids
@@ -21,24 +22,22 @@ numbered by storage order after the preloaded memory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.vectors import as_double, l2_normalize
-from ..session import cut_lineage
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.vectors import as_double, l2_normalize
+from ..session import bucketed_table, cut_lineage
 from .knn import CHUNK_ROWS, GRID_CORPUS_BLOCK, GRID_QUERY_BLOCK, QUERY_BROADCAST_ROWS, _stack, knn
 from .ordering import global_rank
+from .topk import RANK_DECIMALS
 
 # Fixed value: default similarity threshold for serving from memory.
 THRESHOLD = 0.55
-# Preloaded memory rows get seq = memory id + this offset (before any query).
-PRELOADED_SEQ_OFFSET = -(1 << 62)
 
 
 def _units(df: DataFrame, seq: str, vec: str) -> DataFrame:
@@ -113,34 +112,38 @@ def round_maxima(und: DataFrame, cands: DataFrame, broadcast_rows: int = QUERY_B
 
 
 def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
-               preloaded: DataFrame | None = None, mem_id: str = "id", mem_vec: str = "query_embedding",
-               broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """(seq, stored) for every query, and the number of rounds used."""
-    state = _units(queries, seq, vec).withColumn("status", F.lit("U"))
-    if preloaded is not None:
-        pre = preloaded.select((F.col(mem_id).cast("long") + F.lit(PRELOADED_SEQ_OFFSET)).alias("seq"),
-                               l2_normalize(as_double(mem_vec)).alias("u"), F.lit("P").alias("status"))
-        state = state.unionByName(pre)
-    state = cut_lineage(state)
+               known: DataFrame | None = None, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors: seq, u), (status: seq, status 'S' stored or 'M' served) of the
+    queries, and the number of rounds. ``known`` (seq, sim): best cosine to a
+    preloaded memory; at the threshold it decides a query at once.
+
+    The vectors are written once, bucketed by seq; a round rewrites statuses alone,
+    which meet the vectors without moving them."""
+    units = bucketed_table(_units(queries, seq, vec), "seq", prefix="route_units")
+    first = F.lit("U")
+    status = units.select("seq")
+    if known is not None:
+        status = status.join(known, "seq", "left")
+        first = F.when(F.col("sim") >= threshold, F.lit("M")).otherwise(F.lit("U"))
+    status = cut_lineage(status.select("seq", first.alias("status")))
     rounds = 0
     while True:
-        und = state.filter(F.col("status") == "U").select("seq", "u")
+        und = units.join(status.filter(F.col("status") == "U").select("seq"), "seq")
         # one bounded fetch is both the termination test and, when small, the
         # broadcast side of this round
         rows = und.limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
         if (len(rows) == 0) if rows is not None else und.isEmpty():
             break
         rounds += 1  # each round decides the earliest undecided row at least, so this ends
-        cands = state.filter(F.col("status") != "M").select("seq", "u", F.col("status").isin("S", "P").alias("is_s"))
+        cands = units.join(status.filter(F.col("status") != "M"), "seq").select("seq", "u", (F.col("status") == "S").alias("is_s")).toDF("seq", "u", "is_s")
         mx = round_maxima(und, cands, broadcast_rows, rows=rows)
-        state = cut_lineage(
-            state.join(mx, "seq", "left")
-            .withColumn("status", F.when(F.col("status") != "U", F.col("status"))
-                        .when(F.col("max_s") >= threshold, F.lit("M"))
-                        .when(~(F.coalesce(F.col("max_u"), F.lit(float("-inf"))) >= threshold), F.lit("S"))
-                        .otherwise(F.lit("U")))
-            .drop("max_s", "max_u"))
-    return state, rounds
+        status = cut_lineage(
+            status.join(mx, "seq", "left")
+            .select("seq", F.when(F.col("status") != "U", F.col("status"))
+                    .when(F.col("max_s") >= threshold, F.lit("M"))
+                    .when(~(F.coalesce(F.col("max_u"), F.lit(float("-inf"))) >= threshold), F.lit("S"))
+                    .otherwise(F.lit("U")).alias("status")))
+    return units, status, rounds
 
 
 def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
@@ -148,29 +151,33 @@ def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: st
                     mem_vec: str = "query_embedding", broadcast_rows: int = QUERY_BROADCAST_ROWS) -> DataFrame:
     """Per query: seq, source ('memory'|'retrieval'), memory_id (best stored
     earlier row, null if none), confidence (its cosine, 0.0 if none),
-    stored_id (id given to the query when it is stored, else null)."""
-    state, _ = stored_set(queries, threshold, seq=seq, vec=vec, preloaded=preloaded,
-                          mem_id=mem_id, mem_vec=mem_vec, broadcast_rows=broadcast_rows)
-    # new ids follow the largest preloaded id, which may be beyond the row count
-    n_pre = 0 if preloaded is None else preloaded.agg(F.coalesce(F.max(mem_id).cast("long") + 1, F.lit(0))).scalar()
-    new_ids = global_rank(state.filter(F.col("status") == "S").select("seq"), ["seq"], out="_r")
-    new_ids = new_ids.select("seq", (F.col("_r") + n_pre).alias("stored_id"))
-    ids = new_ids.withColumnRenamed("stored_id", "mid")
+    stored_id (id given to the query when it is stored, else null).
+
+    The preloaded memory is scored once, not per round; the best of it and the best
+    earlier query that is stored compete at the end (a tie goes to the memory)."""
+    known, n_pre = None, 0
     if preloaded is not None:
-        ids = ids.unionByName(state.filter(F.col("status") == "P")
-                              .select("seq", (F.col("seq") - F.lit(PRELOADED_SEQ_OFFSET)).alias("mid")))
-    stored_vecs = state.filter(F.col("status").isin("S", "P")).select("seq", "u")
-    asked = state.filter(F.col("status") != "P").select("seq", "u")
-    best = knn(asked, stored_vecs, 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
+        pre = preloaded.select(F.col(mem_id).cast("long").alias("id"), l2_normalize(as_double(mem_vec)).alias("u"))
+        best = knn(_units(queries, seq, vec), pre, 1, metric="ip", qid="seq", qvec="u", cid="id", cvec="u", broadcast_rows=broadcast_rows)
+        known = cut_lineage(best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("pre_id"), F.col("dist").alias("sim")))
+        # new ids follow the largest preloaded id, which may be beyond the row count
+        n_pre = (preloaded.agg(F.max(F.col(mem_id).cast("long"))).first()[0] or 0) + 1 if not preloaded.isEmpty() else 0
+    units, status, _ = stored_set(queries, threshold, seq=seq, vec=vec, known=known, broadcast_rows=broadcast_rows)
+    stored = status.filter(F.col("status") == "S").select("seq")
+    new_ids = cut_lineage(global_rank(stored, ["seq"], out="_r").select("seq", (F.col("_r") + n_pre).alias("stored_id")))
+    best = knn(units, units.join(stored, "seq"), 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
                broadcast_rows=broadcast_rows)
-    best = best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("best_seq"),
-                       F.col("dist").alias("sim"))
-    out = (asked.select("seq").join(best, "seq", "left")
-           .join(ids.withColumnRenamed("seq", "best_seq"), "best_seq", "left")
+    best = best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("best_seq"), F.col("dist").alias("new_sim"))
+    out = (units.select("seq").join(best, "seq", "left")
+           .join(new_ids.select(F.col("seq").alias("best_seq"), F.col("stored_id").alias("new_id")), "best_seq", "left")
            .join(new_ids, "seq", "left"))
+    out = out.join(known, "seq", "left") if known is not None else out.withColumns(
+        {"pre_id": F.lit(None).cast("long"), "sim": F.lit(None).cast("double")})
+    from_pre = F.col("pre_id").isNotNull() & (F.col("new_id").isNull() | (F.round("sim", RANK_DECIMALS) >= F.round("new_sim", RANK_DECIMALS)))
+    sim = F.when(from_pre, F.col("sim")).otherwise(F.col("new_sim"))
     return out.select(
         "seq",
-        F.when(F.col("sim") >= threshold, F.lit("memory")).otherwise(F.lit("retrieval")).alias("source"),
-        F.col("mid").alias("memory_id"),
-        F.coalesce(F.col("sim"), F.lit(0.0)).alias("confidence"),
+        F.when(sim >= threshold, F.lit("memory")).otherwise(F.lit("retrieval")).alias("source"),
+        F.when(from_pre, F.col("pre_id")).otherwise(F.col("new_id")).alias("memory_id"),
+        F.coalesce(sim, F.lit(0.0)).alias("confidence"),
         "stored_id")

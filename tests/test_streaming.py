@@ -22,3 +22,17 @@ def test_stream_counters_equal_batch(spark):
     want = {(r["run_id"], r["source"]): r["n"] for r in
             events_log(spark, SF).groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want
+
+
+def test_stream_serves_stored_answers(spark, tmp_path):
+    """A hit gets the answer stored by an earlier micro-batch, or by its own."""
+    from sparkrecall.streaming.cache import streaming_semantic_cache
+    schema = "seq long, vec array<double>, answer string"
+    batches = [[(1, [1.0, 0.0], "first"), (2, [1.0, 0.01], "unused")], [(3, [0.0, 1.0], "third"), (4, [1.0, 0.0], "unused"), (5, [0.0, 1.0], "no")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        streaming_semantic_cache(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/state", f"{tmp_path}/out",
+                                 f"{tmp_path}/ckpt", 0.9, answer="answer").awaitTermination()
+    got = {r["seq"]: (r["source"], r["memory_id"], r["served"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: ("retrieval", None, "first"), 2: ("memory", 0, "first"), 3: ("retrieval", 0, "third"), 4: ("memory", 0, "first"),
+                   5: ("memory", 1, "third")}
