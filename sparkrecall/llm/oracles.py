@@ -6,6 +6,27 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
         FROM d""",
+    "op5_line_dedup": r"""
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        w AS (SELECT doc_id, n, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws
+              FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS n FROM l)),
+        lines AS (SELECT doc_id, n, ws, array_to_string(ws, ' ') AS line FROM w WHERE len(ws) > 0),
+        firsts AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k FROM lines),
+        kinds AS (SELECT line, ws, doc_id AS first_doc, row_number() OVER (ORDER BY doc_id, n) AS pos FROM firsts WHERE k = 1),
+        deleted AS (SELECT pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
+                    FROM (SELECT pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM kinds WHERE len(ws) >= 9)),
+        links AS (
+          SELECT a.pos, b.pos AS other FROM deleted a JOIN deleted b ON a.v = b.v AND a.i = b.i AND b.pos < a.pos
+          UNION ALL SELECT a.pos, b.pos FROM deleted a JOIN kinds b ON a.v = b.line AND len(b.ws) >= 9
+          UNION ALL SELECT b.pos, a.pos FROM deleted a JOIN kinds b ON a.v = b.line AND len(b.ws) >= 9),
+        near AS (SELECT DISTINCT pos FROM links WHERE other < pos),
+        numbered AS (SELECT f.doc_id, f.n, k.first_doc, r.pos IS NOT NULL AS near,
+                            row_number() OVER (PARTITION BY f.doc_id, f.line ORDER BY f.n) AS nth
+                     FROM firsts f JOIN kinds k USING (line) LEFT JOIN near r USING (pos)),
+        gone AS (SELECT doc_id, list(CAST(n AS INTEGER) ORDER BY n) AS dropped FROM numbered
+                 WHERE near OR doc_id > first_doc OR nth > 1 GROUP BY doc_id)
+        SELECT doc_id, len(ls) AS n_lines, coalesce(len(dropped), 0) AS n_dropped, coalesce(array_to_string(dropped, ','), '') AS dropped
+        FROM l LEFT JOIN gone USING (doc_id)""",
     # single-sentence statements alone: the tables hold no licence text of several sentences
     "op8_license_scan": r"""
         WITH known(sentence, licence, rule) AS (VALUES

@@ -35,7 +35,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_verdicts(spread(table(spark, sf_dir, "documents")))
+    rows = line_dedup.line_verdicts(spread(table(spark, sf_dir, "documents")))
+    return rows.withColumn("dropped", F.array_join("dropped", ","))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,14 @@ def test_end_lengths(n):
 def test_empty(spark):
     docs = frame(spark, awkward()).limit(0)
     assert ld.line_verdicts(docs).count() == 0 and ld.dedup_lines(docs).count() == 0
+
+
+def test_oracle(spark):
+    import duckdb
+
+    from sparkrecall.llm import oracles, queries
+    sf = "/root/testdata/sf0.001"
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duckdb.sql(oracles.ORACLES["op5_line_dedup"]).select("doc_id, n_lines, n_dropped, dropped").fetchall()
+    got = queries.op5_line_dedup(spark, sf).select("doc_id", "n_lines", "n_dropped", "dropped").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
