@@ -100,8 +100,8 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def text_key(docs: DataFrame, text: str) -> Column:
-    """32 bits of hash of a text; tells apart the texts of rows that share a doc_id."""
-    return F.hash(text_of(docs, text))
+    """64 bits of hash of a text; tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(text_of(docs, text))
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -142,7 +142,7 @@ def _places(docs: DataFrame, text: str, doc_id: str, chunk_words: int, least_wor
                     "text_hash": pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)),
                     "place": pa.array(np.concatenate(place).astype(np.int32))})
 
-    return _keyed(docs, text, doc_id).mapInArrow(run, "digest long, rest int, rank long, text_hash int, place int")
+    return _keyed(docs, text, doc_id).mapInArrow(run, "digest long, rest int, rank long, text_hash long, place int")
 
 
 def repeated_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = CHUNK_WORDS,

@@ -82,5 +82,14 @@ def test_cut_words(text, ranges, left):
     assert sd.cut_words(text.encode(), ranges).decode() == left
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    shared = " ".join(f"p{k}" for k in range(60))
+    pairs = [(1, shared), (None, f"{shared} tail 6352"), (None, "short note number 173340 is all of it.")]
+    docs = frame(spark, pairs)
+    assert docs.where("doc_id is null").selectExpr("count(distinct hash(text))").first()[0] == 1  # equal in 32 bits
+    left = sorted((r.n_cut, r.text) for r in sd.dedup_substrings(docs, count="n_cut").collect())
+    assert left[:2] == [(0, shared), (0, pairs[2][1])] and left[2][0] > 40
+
+
 def test_empty(spark):
     assert sd.dedup_substrings(frame(spark, awkward()).limit(0)).count() == 0
