@@ -1,7 +1,11 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences twice: at line ends and sentence ends (for statements that
-stand on a line of their own), and at sentence ends alone (for wrapped licence texts).
+Texts are cut into sentences three times: at line ends and sentence ends (for statements
+that stand on a line of their own), at sentence ends alone (for wrapped licence texts),
+and at sentence ends, paragraph ends (lines without a letter or digit) and before lines
+that begin as a rule does (for wrapped texts under titles and copyright lines without a
+full stop). Rule sentences that go on over a paragraph end of the published text are
+known whole and by their paragraphs; either may stand in a text.
 A sentence is normalised (lower case, anything but letters and digits as one space) and
 looked up among the known licence sentences; a document becomes the sequence of the
 identifiers found. Rules are ordered identifier sequences: a rule matches where its
@@ -84,6 +88,12 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 ANCHORS = ("licen", "permission", "warrant", "copyright", "reserved", "redistribut", "mozilla")
 #: Sentence ends: a mark followed by white space.
 _END = r"([.!?])[\x20\x09-\x0D]+"
+#: Places inside the rules' sentences where the published texts end a paragraph.
+_GAP = r"(?<=the following conditions:) |(?<=a copy of the License at) |(?<=licenses/LICENSE-2\.0) "
+#: Words by which a line that begins a rule is known.
+OPENING_WORDS = 4
+#: Cut mark of paragraphs: the character for it.
+_PARAGRAPH = "\u2029"
 
 
 def plain(sentence: str) -> str:
@@ -112,14 +122,51 @@ def rule_table() -> tuple[list[str], list[tuple[str, str, list[int]]]]:
     return known, rules
 
 
+def joined(parts: list[str]) -> list[list[str]]:
+    """All ways to join neighbouring parts."""
+    if len(parts) < 2:
+        return [parts]
+    rest = joined(parts[1:])
+    return [[parts[0], *r] for r in rest] + [[f"{parts[0]} {r[0]}", *r[1:]] for r in rest]
+
+
+def sequences() -> tuple[list[str], list[tuple[str, str, int, str]]]:
+    """Known sentences, those cut at paragraph ends included, and (licence, rule, its
+    sentences, pattern of its identifier sequence)."""
+    import re
+    known, rules = rule_table()
+    known = list(known)
+    ways: dict[str, str] = {}
+    for s in [p for _, _, x in RULES for y in x for p in re.sub(_END, "\\1\n", y).split("\n")]:
+        found = []
+        for way in joined(re.split(_GAP, s)):
+            for p in map(plain, way):
+                if p not in known:
+                    known.append(p)
+            found.append(",".join(str(known.index(plain(p)) + 1) for p in way))
+        ways[plain(s)] = f"(?:{'|'.join(found)})" if len(found) > 1 else found[0]
+    return known, [(licence, rule, len(ids), f",{','.join(ways[known[i - 1]] for i in ids)},") for licence, rule, ids in rules]
+
+
+def openings() -> str:
+    """Pattern of the line ends before lines that begin as a rule does."""
+    import re
+    words = sorted({tuple(re.findall(r"\w+", x[0])[:OPENING_WORDS]) for _, _, x in RULES})
+    return rf"(?i)\n[^\p{{L}}\p{{N}}\n]*+(?=(?:{'|'.join('[^\\p{L}\\p{N}]+'.join(w) for w in words)})(?![\p{{L}}\p{{N}}]))"
+
+
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def identifiers(text: Column, known: list[str], lines: bool) -> Column:
-    """The identifiers of the known sentences of a text, in order, as ',3,7,'."""
-    whole = text if lines else F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    cut = F.split(F.regexp_replace(whole, _END, "$1\n"), "\n")
+def identifiers(text: Column, known: list[str], by: str) -> Column:
+    """The identifiers of the known sentences of a text, in order, as ',3,7,'; cut at
+    sentence ends and at each 'line', each 'paragraph' or no other place ('end')."""
+    mark = _PARAGRAPH if by == "paragraph" else "\n"
+    if by == "paragraph":
+        text = F.regexp_replace(F.regexp_replace(text, r"\n[^\p{L}\p{N}\n]*+(?=\n)", mark), openings(), mark)
+    whole = text if by == "line" else F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
+    cut = F.split(F.regexp_replace(whole, _END, f"$1{mark}"), mark)
     found = F.filter(F.transform(cut, normal), lambda s: s.isin(known))
     listed = F.array(*[F.lit(k) for k in known])
     return F.concat(F.lit(","), F.array_join(F.transform(found, lambda s: F.array_position(listed, s).cast("string")), ","), F.lit(","))
@@ -127,18 +174,19 @@ def identifiers(text: Column, known: list[str], lines: bool) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, licence, rule and n_sentences: one row for each licence of a document."""
-    known, rules = rule_table()
+    known, rules = sequences()
     raw = text_of(docs, text)
     low = F.lower(raw)
     any_anchor = F.lit(False)
     for a in ANCHORS:
         any_anchor = any_anchor | F.contains(low, F.lit(a))
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), raw.alias("text")).where(any_anchor)
-    seen = rows.select("doc_id", identifiers(F.col("text"), known, True).alias("by_line"), identifiers(F.col("text"), known, False).alias("by_end"))
+    # one string: no sequence goes on over the blank between two cuts
+    seen = rows.select("doc_id", F.concat_ws(" ", *[identifiers(F.col("text"), known, by) for by in ("line", "end", "paragraph")]).alias("ids"))
     matched = F.array(*[
-        F.when(F.contains("by_line", F.lit(s)) | F.contains("by_end", F.lit(s)),
-               F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), F.lit(len(ids)).cast("long").alias("n_sentences")))
-        for licence, rule, ids in rules for s in [f",{','.join(map(str, ids))},"]])
-    found = seen.where("by_line != ',,' or by_end != ',,'").select("doc_id", F.array_compact(matched).alias("m"))
+        F.when(F.rlike("ids", F.lit(p)) if "(" in p else F.contains("ids", F.lit(p)),
+               F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), F.lit(n).cast("long").alias("n_sentences")))
+        for licence, rule, n, p in rules])
+    found = seen.where("ids != ',, ,, ,,'").select("doc_id", F.array_compact(matched).alias("m"))
     first = F.filter("m", lambda x, i: ~F.exists(F.slice("m", F.lit(1), i), lambda y: y["licence"] == x["licence"]))
     return found.select("doc_id", F.explode(first).alias("m")).select("doc_id", "m.licence", "m.rule", "m.n_sentences")

@@ -27,6 +27,85 @@ def test_each_rule_is_found(spark):
     assert [r[:3] for r in found(spark, pairs)] == sorted(want, key=str)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """A program that does one thing
+Copyright (C) 2020  Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """Copyright 2020 Jane Doe
+/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_published_files(spark):
+    gpl2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    files = [(MIT, "MIT", 3), (APACHE, "Apache-2.0", 3), (GPL, "GPL-3.0-or-later", 3), (gpl2, "GPL-2.0-or-later", 3), (ISC, "ISC", 1), (MPL, "MPL-2.0", 3)]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"),
+             lambda t: re.sub("(?m)^", "# ", t), lambda t: "/*\n" + re.sub("(?m)^", " * ", t) + "/\nint main(void);\n",
+             lambda t: re.sub(r"(?<!\n)\n(?!\n)", " ", t) if t != MPL else t,  # paragraphs as one line each
+             lambda t: re.sub(r"\n\n+", "\n", t)]  # no blank line after the copyright line
+    pairs = [(i, form(t)) for i, (form, (t, _, _)) in enumerate((f, x) for f in forms for x in files)]
+    want = [(i, licence, n) for i, (licence, n) in enumerate((x[1], x[2]) for _ in forms for x in files)]
+    assert [(r[0], r[1], r[3]) for r in sorted(found(spark, pairs))] == want
+
+
 def test_order_and_gaps(spark):
     a, b, c = licenses.RULES[1][2]
     pairs = [(1, f"{a} {b} {c}"), (2, f"{b} {a} {c}"), (3, f"{a} something else. {b} {c}"), (4, f"{a} All rights reserved. {b} {c}"),
