@@ -3,7 +3,8 @@
 Each line is judged on its own by four rules: navigation (many separators for its
 words), symbols (many of ``#*$%&|<>`` for its words), shouting (capitals and runs
 of exclamation marks) and boilerplate (a short line without a sentence end, or a
-notice phrase). Failing lines are removed; then a document is rejected when it
+notice phrase in the form of a notice: a call to the reader that begins the line, or a
+site that speaks of itself; prose that only has the words stays). Failing lines are removed; then a document is rejected when it
 lost more than ``MOST_LOST_PERCENT`` of its words, or when the base test fails: too
 few words, or too many words inside repeated three-word windows.
 
@@ -41,11 +42,41 @@ _ENDS = tuple(e.encode() for e in ENDS)
 NOTICES = ("javascript", "cookie", "lorem ipsum", "privacy policy", "terms of use", "terms of service", "sign in", "log in",
            "subscribe", "click here", "read more", "share this")
 _NOTICE = re.compile(b"|".join(re.escape(n.encode()) for n in NOTICES))
+_SITE = r"(?:this|our|the) (?:web ?)?(?:site|page|app|application|shop|service)"
+_TERMS = r"(?:privacy policy|terms of (?:use|service)|cookie policy)"
+_SWITCH = r"(?:enable|activate|allow|accept|turn on|switch on) (?:all |the |our )?(?:javascript|cookies?)"
+_STOP = r"(?:\W*$|\s*[.!?…:;,»›>|(])"
+#: Notices, in lower case with single spaces. Calls begin the line; the others stand at a word boundary.
+_CALL = re.compile(r"\W*(?:(?:please|to continue,?|you (?:must|need to|have to)|(?:want|would you like) to) )?(?:" + "|".join((
+    rf"(?:sign|log) in(?:{_STOP}| (?:to|or|with|using|now|here|below|for|and|via)\b)",
+    r"click here\b",
+    rf"read more(?:{_STOP}| (?:about|at|on|here|from)\b)",
+    rf"share this(?:{_STOP}| (?:article|page|post|story|video|recipe|link|on|via|with (?:your )?(?:friends|followers|others))\b)",
+    rf"subscribe(?:{_STOP}| (?:to (?:our|the|this|my)|now|today|here|for|via)\b)",
+    rf"{_SWITCH}(?:{_STOP}| (?:to|in your|for|on)\b)",
+    rf"(?:see|read|view|review) (?:our|the) (?:full )?{_TERMS}\b",
+    rf"lorem ipsum(?:{_STOP}| dolor\b)")) + ")")
+_OWN = re.compile("|".join((
+    rf"\b(?:we|{_SITE}) (?:and our partners )?(?:also )?(?:uses?|sets?|stores?|requires?|needs?) (?:\w+ ){{0,3}}(?:javascript|cookies?)(?= (?:to (?:make|improve|give|offer|"
+    rf"provide|ensure|personali[sz]e|analy[sz]e|enhance|remember|help|work|run|function)|on|for|in order|and|or|so)\b|{_STOP})",
+    rf"\bby (?:using|visiting|browsing|continuing|clicking|signing|subscribing|accessing)\b.*\b(?:{_TERMS}|cookies)\b",
+    rf"\b(?:you|i) (?:agree|consent|accept)\b.*\b(?:{_TERMS}|cookies)\b",
+    rf"\b{_SWITCH} (?:to (?:run|use|view|see|access) (?:this|the|our)|in your browser)\b",
+    r"\bjavascript (?:is|seems to be|must be) (?:disabled|turned off|enabled) (?:in|on) your browser\b",
+    r"\byour browser (?:does not|doesn't|has no)\b.*\bjavascript\b",
+    r"\bsubscribe to (?:our|the|this|my) (?:\w+ )?(?:newsletter|channel|feed|mailing list|podcast)\b",
+    r"\bclick here (?:to|for|if)\b")))
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 VERDICT = "base_failed boolean, kept boolean, n_bad_lines long, n_lost_words long"
 
 
+def is_notice(line: bytes) -> bool:
+    """Whether a line that holds a notice phrase has the form of a notice."""
+    text = " ".join(line.decode("utf-8", "replace").lower().split())
+    return _CALL.match(text) is not None or _OWN.search(text) is not None
+
+
 def line_fails(line: bytes, n_words: int) -> bool:
     """The rules for one line with at least one word."""
     if 10 * len(_NAV.findall(line)) >= max(20, 3 * n_words):
@@ -60,7 +91,7 @@ def line_fails(line: bytes, n_words: int) -> bool:
             return True
     if n_words < SHORT_LINE_WORDS and not line.rstrip(b" \t\r\x0b\x0c").endswith(_ENDS):
         return True
-    return n_words < 30 and _NOTICE.search(line.lower()) is not None
+    return n_words < 30 and _NOTICE.search(line.lower()) is not None and is_notice(line)
 
 
 def repeat_words(words: list[bytes]) -> int:

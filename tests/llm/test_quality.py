@@ -38,6 +38,30 @@ def test_line_rules():
     assert not [x for x in bad if not quality.line_fails(x.encode(), len(x.split()))]
 
 
+CLEAN = ["The new design in Berlin won a prize.", "She keeps a blog in French and another one in her own language.",
+         "The dialog in the second act is the best part of the whole play.", "JavaScript is a language that most browsers can run.",
+         "Cream the butter, then press each cookie flat with a fork.", "We use a cookie cutter to shape the dough before it goes in.",
+         "In 1998 the company changed its privacy policy and lost many readers.", "JavaScript is fun.", "He did not read more that day.",
+         "Sign in hand, the old man walked through the rain to the square.", "They put a log in the fire and went to sleep.",
+         "Read more books this year, she told herself every January.", "Designers set lorem ipsum where the text is still missing.",
+         "Many readers subscribe for the crossword and stay for the essays.", "Share this bread with the people at your table.",
+         "The function sets a cookie and returns the page to the browser", "Users who log in from two places are asked for a code."]
+NOTICES = ["Please sign in.", "Log in to leave a comment on this article!", "Click here to download the file.", "Read more about our products.",
+           "Please enable JavaScript to view the comments on this page.", "You need to enable JavaScript to run this app.",
+           "This website uses cookies to ensure you get the best experience.", "Subscribe to our newsletter for the latest news and offers.",
+           "By continuing to browse you agree to our use of cookies.", "I have read and I accept the privacy policy of the shop.",
+           "Share this article with your friends.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.",
+           "We and our partners use cookies to personalise content and ads.", "JavaScript is disabled in your browser, so the map is not shown."]
+
+
+def test_words_of_notices_in_prose(spark):
+    assert not [x for x in CLEAN if quality.line_fails(x.encode(), len(x.split()))]
+    assert not [x for x in NOTICES if not quality.line_fails(x.encode(), len(x.split()))]
+    text = "\n".join(CLEAN)
+    docs = frame(spark, [(1, text), (2, text + "\n" + "\n".join(NOTICES[:3]))])
+    assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {1: text, 2: text}
+
+
 def test_clean(spark):
     rnd = random.Random(7)
     fine = prose(rnd, 120)
