@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm import (exact_dedup, html_text, licenses, line_dedup, packing, quality, sampled_pieces, simhash,
-                             substring_dedup, token_files)
+from sparkrecall.llm import (exact_dedup, html_text, licenses, line_dedup, packing, quality, resampling, sampled_pieces, simhash,
+                             substring_dedup, token_files, toxicity, whitening)
 from sparkrecall.session import spread, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -60,6 +60,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(WORD_BPE), end_id=1)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -67,4 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (
     op1_sampled_pieces, op2_token_files, op3_exact_dedup, op4_simhash_near_dedup, op5_line_dedup, op6_html_text,
-    op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_packing, pipeline)}
+    op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_packing,
+    op11_embedding_whitening, op12_toxicity, op13_importance_resampling, pipeline)}
