@@ -6,14 +6,16 @@ most similar *stored earlier* query has cosine >= threshold; otherwise it is a
 depends on all earlier decisions (greedy leader clustering).
 
 Exact round-based fixpoint, no driver loop over rows:
-  * undecided rows with a stored earlier neighbour >= t      -> hit (final)
-  * undecided rows with no undecided earlier neighbour >= t  -> stored (final)
-Every round decides at least the earliest undecided row, so it terminates; on
-the test tables it takes a handful of rounds. Each round is two top-1 similarity
-searches (``knn`` with metric ip, ``only_earlier``) restricted to the sets that
-matter -- no pair or edge table is materialised, so a hot cluster of copies
-costs one round, not a quadratic edge list. Statuses are written each round,
-vectors once.
+  * Copies of a vector collapse to the first of them: whatever decides that one
+    serves the later copies, so they are hits.
+  * One similarity join (``pivots.earlier_neighbours``) gives every row its first
+    few earlier neighbours at the threshold. A row with a stored neighbour is a hit
+    (final); one whose neighbours are all hits, and that has no further ones, is
+    stored (final). A round reads those short lists and the statuses, not vectors.
+  * A row whose whole list turned out to be hits asks for the next few, of the
+    rows that are not hits. So a dense cluster costs a few links a row (nearly all
+    of its rows see its stored leader first), never a quadratic edge list.
+Every round decides at least the earliest undecided row, so it terminates.
 
 A final pass computes the reported fields: confidence = best cosine over the
 stored earlier rows (reported for misses too), memory_id = that row's id, ids
@@ -22,18 +24,14 @@ numbered by storage order after the preloaded memory.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize
 from ..session import bucketed_table, cut_lineage
-from .knn import CHUNK_ROWS, GRID_CORPUS_BLOCK, GRID_QUERY_BLOCK, QUERY_BROADCAST_ROWS, _stack, knn
+from .knn import QUERY_BROADCAST_ROWS, knn
 from .ordering import global_rank
+from .pivots import CELL_ROWS, earlier_neighbours, into_cells, lowest_copies
 from .topk import RANK_DECIMALS
 
 # Fixed value: default similarity threshold for serving from memory.
@@ -44,111 +42,77 @@ def _units(df: DataFrame, seq: str, vec: str) -> DataFrame:
     return df.select(F.col(seq).cast("long").alias("seq"), l2_normalize(as_double(vec)).alias("u"))
 
 
-_FLAGS_SCHEMA = "seq long, max_s double, max_u double"
-
-
-def _max_earlier(qi, qm, ci, cm, cs, acc_s, acc_u):
-    """Fold one candidate block into the per-query maxima over earlier rows,
-    separately for stored (cs) and undecided (~cs) candidates."""
-    sims = qm @ cm.T
-    sims[ci[None, :] >= qi[:, None]] = -np.inf
-    if cs.any():
-        np.maximum(acc_s, sims[:, cs].max(axis=1), out=acc_s)
-    if (~cs).any():
-        np.maximum(acc_u, sims[:, ~cs].max(axis=1), out=acc_u)
-
-
-def round_maxima(und: DataFrame, cands: DataFrame, broadcast_rows: int = QUERY_BROADCAST_ROWS,
-                 rows: list | None = None) -> DataFrame:
-    """(seq, max_s, max_u): best cosine of each undecided row to an earlier
-    stored row and to an earlier undecided row, in one pass over the
-    candidates (unit vectors ``u``, flag ``is_s``). Only per-row maxima leave a
-    task -- never pairs."""
-    spark = und.sparkSession
-    if rows is None and broadcast_rows > 0:
-        rows = und.select("seq", "u").limit(broadcast_rows + 1).collect()
-    if rows is not None and len(rows) <= broadcast_rows:   # proven small: at most the bound is fetched
-        qi = np.array([r["seq"] for r in rows], dtype=np.int64)
-        qm = np.vstack([np.asarray(r["u"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-        bq = spark.sparkContext.broadcast((qi, qm))
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qi_, qm_ = bq.value
-            acc_s = np.full(len(qi_), -np.inf)
-            acc_u = np.full(len(qi_), -np.inf)
-            for pdf in batches:
-                for st in range(0, len(pdf), CHUNK_ROWS):
-                    blk = pdf.iloc[st:st + CHUNK_ROWS]
-                    if len(qi_) == 0 or len(blk) == 0:
-                        continue
-                    _max_earlier(qi_, qm_, blk["seq"].to_numpy(np.int64), _stack(blk["u"]),
-                                 blk["is_s"].to_numpy(bool), acc_s, acc_u)
-            yield pd.DataFrame({"seq": qi_, "max_s": acc_s, "max_u": acc_u})
-
-        flags = cands.select("seq", "u", "is_s").mapInPandas(part, _FLAGS_SCHEMA)
-    else:
-        n_q, n_c = und.count(), cands.count()
-        qb = max(1, math.ceil(n_q / GRID_QUERY_BLOCK))
-        cb = max(1, math.ceil(n_c / GRID_CORPUS_BLOCK))
-        qrep = und.select("seq", "u", (F.abs(F.xxhash64("seq")) % qb).alias("qb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-        crep = cands.select("seq", "u", "is_s", (F.abs(F.xxhash64("seq")) % cb).alias("cb"),
-                            F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-
-        def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-            qi_ = qpdf["seq"].to_numpy(np.int64)
-            acc_s = np.full(len(qi_), -np.inf)
-            acc_u = np.full(len(qi_), -np.inf)
-            if len(qi_) and len(cpdf):
-                qm_ = _stack(qpdf["u"])
-                for st in range(0, len(cpdf), CHUNK_ROWS):
-                    blk = cpdf.iloc[st:st + CHUNK_ROWS]
-                    _max_earlier(qi_, qm_, blk["seq"].to_numpy(np.int64), _stack(blk["u"]),
-                                 blk["is_s"].to_numpy(bool), acc_s, acc_u)
-            return pd.DataFrame({"seq": qi_, "max_s": acc_s, "max_u": acc_u})
-
-        flags = qrep.groupBy("qb", "cb").cogroup(crep.groupBy("qb", "cb")).applyInPandas(cell, _FLAGS_SCHEMA)
-    return flags.groupBy("seq").agg(F.max("max_s").alias("max_s"), F.max("max_u").alias("max_u"))
+#: Earlier neighbours that a row asks for at once.
+MOST_LINKS = 8
+#: Above this threshold rounding may part copies of one vector, so they are not collapsed.
+COPIES_AGREE = 1 - 1e-9
+
+
+def _nodes(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows to be decided by their neighbours: id, vec; rows that are stored at once: seq)."""
+    rows = units
+    alone = units.select("seq").limit(0)
+    if threshold > 0:   # a zero vector has cosine 0 with everything
+        zero = F.forall("u", lambda x: x == 0)
+        rows, alone = units.where(~zero), units.where(zero).select("seq")
+    rows = rows.select(F.col("seq").alias("id"), F.col("u").alias("vec"))
+    return (lowest_copies(rows, 1) if threshold <= COPIES_AGREE else rows), alone
 
 
 def stored_set(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
-               known: DataFrame | None = None, broadcast_rows: int = QUERY_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, int]:
+               known: DataFrame | None = None, cell_rows: int = CELL_ROWS, most: int = MOST_LINKS,
+               counter=None) -> tuple[DataFrame, DataFrame, int]:
     """(vectors: seq, u), (status: seq, status 'S' stored or 'M' served) of the
     queries, and the number of rounds. ``known`` (seq, sim): best cosine to a
     preloaded memory; at the threshold it decides a query at once.
 
-    The vectors are written once, bucketed by seq; a round rewrites statuses alone,
-    which meet the vectors without moving them."""
+    The vectors are written once, bucketed by seq; rounds write statuses and links alone."""
     units = bucketed_table(_units(queries, seq, vec), "seq", prefix="route_units")
-    first = F.lit("U")
-    status = units.select("seq")
+    open_units = units
     if known is not None:
-        status = status.join(known, "seq", "left")
-        first = F.when(F.col("sim") >= threshold, F.lit("M")).otherwise(F.lit("U"))
-    status = cut_lineage(status.select("seq", first.alias("status")))
+        open_units = units.join(known.where(F.col("sim") >= threshold).select("seq"), "seq", "left_anti")
+    nodes, alone = _nodes(open_units, threshold)
+    nodes = cut_lineage(nodes)
+    placed, cells = into_cells(nodes, cell_rows)
+    if not len(cells.pivots):
+        return units, cut_lineage(units.select("seq").join(alone.withColumn("status", F.lit("S")), "seq", "left")
+                                  .select("seq", F.coalesce("status", F.lit("M")).alias("status"))), 0
+
+    links = cut_lineage(earlier_neighbours(nodes.withColumn("after", F.lit(-2**63)), placed, cells, threshold, most, counter))
+    # asked: seq, last neighbour of its list and whether the list is full
+    asked = cut_lineage(links.groupBy(F.col("query_id").alias("seq")).agg(F.max("doc_id").alias("last"), (F.count(F.lit(1)) >= most).alias("full")))
+    status = nodes.select(F.col("id").alias("seq"), F.lit("U").alias("status"))
     rounds = 0
     while True:
-        und = units.join(status.filter(F.col("status") == "U").select("seq"), "seq")
-        # one bounded fetch is both the termination test and, when small, the
-        # broadcast side of this round
-        rows = und.limit(broadcast_rows + 1).collect() if broadcast_rows > 0 else None
-        if (len(rows) == 0) if rows is not None else und.isEmpty():
+        rounds += 1
+        seen = (links.join(status.where(F.col("status") != "M").select(F.col("seq").alias("doc_id"), "status"), "doc_id")
+                .groupBy(F.col("query_id").alias("seq")).agg(F.bool_or(F.col("status") == "S").alias("hit")))
+        after = (status.join(seen, "seq", "left").join(asked.where("full").select("seq", "full"), "seq", "left")
+                 .select("seq", F.when(F.col("status") != "U", F.col("status")).when(F.col("hit"), F.lit("M"))
+                         .when(F.col("hit").isNotNull(), F.lit("U")).when(F.col("full"), F.lit("R")).otherwise(F.lit("S")).alias("status")))
+        status = cut_lineage(after)
+        left = {r.status: r.n for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if left.get("R"):   # their lists held hits alone: the next ones, of the rows that are no hits
+            more = status.where(F.col("status") == "R").select("seq").join(asked.select("seq", "last"), "seq")
+            asking = nodes.join(more, F.col("id") == F.col("seq")).select("id", "vec", F.col("last").alias("after"))
+            rest = placed.join(status.where(F.col("status") != "M").select(F.col("seq").alias("id")), "id", "left_semi")
+            found = cut_lineage(earlier_neighbours(asking, rest, cells, threshold, most, counter))
+            now = found.groupBy(F.col("query_id").alias("seq")).agg(F.max("doc_id").alias("last"), (F.count(F.lit(1)) >= most).alias("full"))
+            asked = cut_lineage(asked.join(more.select("seq"), "seq", "left_anti").unionByName(now))
+            links = cut_lineage(links.join(more.select(F.col("seq").alias("query_id")), "query_id", "left_anti").unionByName(found))
+            status = status.withColumn("status", F.when(F.col("status") == "R", F.lit("U")).otherwise(F.col("status")))
+        elif not left.get("U"):
             break
-        rounds += 1  # each round decides the earliest undecided row at least, so this ends
-        cands = units.join(status.filter(F.col("status") != "M"), "seq").select("seq", "u", (F.col("status") == "S").alias("is_s")).toDF("seq", "u", "is_s")
-        mx = round_maxima(und, cands, broadcast_rows, rows=rows)
-        status = cut_lineage(
-            status.join(mx, "seq", "left")
-            .select("seq", F.when(F.col("status") != "U", F.col("status"))
-                    .when(F.col("max_s") >= threshold, F.lit("M"))
-                    .when(~(F.coalesce(F.col("max_u"), F.lit(float("-inf"))) >= threshold), F.lit("S"))
-                    .otherwise(F.lit("U")).alias("status")))
-    return units, status, rounds
+    decided = status.unionByName(alone.withColumn("status", F.lit("S")))
+    # what is no node is a later copy, or served by the preloaded memory
+    return units, cut_lineage(units.select("seq").join(decided, "seq", "left")
+                              .select("seq", F.coalesce("status", F.lit("M")).alias("status"))), rounds
 
 
 def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: str = "seq", vec: str = "vec",
                     preloaded: DataFrame | None = None, mem_id: str = "id",
-                    mem_vec: str = "query_embedding", broadcast_rows: int = QUERY_BROADCAST_ROWS) -> DataFrame:
+                    mem_vec: str = "query_embedding", broadcast_rows: int = QUERY_BROADCAST_ROWS,
+                    cell_rows: int = CELL_ROWS) -> DataFrame:
     """Per query: seq, source ('memory'|'retrieval'), memory_id (best stored
     earlier row, null if none), confidence (its cosine, 0.0 if none),
     stored_id (id given to the query when it is stored, else null).
@@ -162,7 +126,7 @@ def route_decisions(queries: DataFrame, threshold: float = THRESHOLD, *, seq: st
         known = cut_lineage(best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("pre_id"), F.col("dist").alias("sim")))
         # new ids follow the largest preloaded id, which may be beyond the row count
         n_pre = (preloaded.agg(F.max(F.col(mem_id).cast("long"))).first()[0] or 0) + 1 if not preloaded.isEmpty() else 0
-    units, status, _ = stored_set(queries, threshold, seq=seq, vec=vec, known=known, broadcast_rows=broadcast_rows)
+    units, status, _ = stored_set(queries, threshold, seq=seq, vec=vec, known=known, cell_rows=cell_rows)
     stored = status.filter(F.col("status") == "S").select("seq")
     new_ids = cut_lineage(global_rank(stored, ["seq"], out="_r").select("seq", (F.col("_r") + n_pre).alias("stored_id")))
     best = knn(units, units.join(stored, "seq"), 1, metric="ip", qid="seq", qvec="u", cid="seq", cvec="u", only_earlier=True,
