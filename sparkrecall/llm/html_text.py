@@ -28,6 +28,7 @@ other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -71,7 +72,9 @@ COMPANIONS = frozenset(
     "message policy info text title label toggle dropdown trigger posts articles stories news thread count post entry".split())
 DROPPED_COMPOUNDS = frozenset("article-footer skip-to-content back-to-top".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its whole name, and its value in double, single or no quotes.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMING = frozenset("class id role itemprop hidden aria-hidden".split())
 #: Elements whose end is implied by the start of another block.
 IMPLIED_END = frozenset("p li dt dd tr td th option".split())
 
@@ -80,8 +83,10 @@ def names_of(attributes: str, ids: bool = True) -> tuple[set[str], set[str], boo
     """Class and id names, roles, and whether the element is hidden."""
     names, roles, hidden = set(), set(), False
     for kind, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
         kind = kind.lower()
+        if kind not in NAMING:
+            continue
+        value = "".join(values).lower()
         if kind == "role":
             roles.update(value.split())
         elif kind == "hidden" or kind == "aria-hidden" and value == "true":
@@ -120,10 +125,39 @@ def element_kind(tag: str, attributes: str, top: bool = False) -> str:
     return "weak" if "weak" in named or tag == "form" and not top else ""
 
 
+class _Open:
+    """The open block elements, each with the state around it, and how many of each
+    name there are, so no question walks the whole stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []
+        self.named: Counter[str] = Counter()
+        self.outer = 0            # open html and body elements
+        self.kept_headers = 0     # headers in kept text
+
+    def push(self, tag: str, state: str) -> None:
+        self.stack.append((tag, state))
+        self._count(tag, state, 1)
+
+    def pop(self) -> tuple[str, str]:
+        tag, state = self.stack.pop()
+        self._count(tag, state, -1)
+        return tag, state
+
+    def _count(self, tag: str, state: str, by: int) -> None:
+        self.named[tag] += by
+        self.outer += by * (tag in ("html", "body"))
+        self.kept_headers += by * (tag == "header" and state == "keep")
+
+    def top(self) -> bool:
+        return self.outer == len(self.stack)
+
+
 def blocks(html: str) -> list[tuple[str, str]]:
-    """(kind, text) of the page's text blocks in order: 'keep', 'drop' or ''."""
+    """(kind, text) of the page's text blocks in order: 'keep', 'drop' or ''. Time grows
+    with the page's length, however deep its elements."""
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open block elements and the state inside each
+    opened = _Open()
     state, parts, at, n = "", [], 0, len(html)
 
     def flush() -> None:
@@ -144,12 +178,10 @@ def blocks(html: str) -> list[tuple[str, str]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag in INLINE and not any(t == tag for t, _ in stack):
-                continue
-            if any(t == tag for t, _ in stack):
+            if opened.named[tag]:
                 flush()
-                while stack:
-                    t, state = stack.pop()
+                while opened.stack:
+                    t, state = opened.pop()
                     if t == tag:
                         break
             elif tag not in INLINE:
@@ -159,19 +191,18 @@ def blocks(html: str) -> list[tuple[str, str]]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        top = all(t in ("html", "body") for t, _ in stack)
-        kind = "drop" if state == "drop" else element_kind(tag, m.group(3), top)
-        if state == "drop" and tag in HEADINGS and any(t == "header" and s == "keep" for t, s in stack):
+        kind = "drop" if state == "drop" else element_kind(tag, m.group(3), opened.top())
+        if state == "drop" and tag in HEADINGS and opened.kept_headers:
             kind = "keep"  # the article's own heading
         if tag in INLINE and kind not in ("drop", "weak"):
             continue
         flush()
         if tag in VOID:
             continue
-        if tag not in INLINE and stack and stack[-1][0] in IMPLIED_END and stack[-1][0] == tag:
-            state = stack.pop()[1]
+        if tag not in INLINE and opened.stack and opened.stack[-1][0] in IMPLIED_END and opened.stack[-1][0] == tag:
+            state = opened.pop()[1]
             kind = "drop" if state == "drop" else element_kind(tag, m.group(3))
-        stack.append((tag, state))
+        opened.push(tag, state)
         state = kind or state
     flush()
     return out

@@ -16,7 +16,8 @@ WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
-    return sampled_pieces.sample_pieces(docs, public_tokenizers.path(PIECE_BPE), seed=7, with_ids=False)
+    rows = sampled_pieces.sample_pieces(docs, public_tokenizers.path(PIECE_BPE), seed=7)
+    return rows.withColumn("ids", F.array_join("ids", " "))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

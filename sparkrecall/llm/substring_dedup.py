@@ -9,10 +9,12 @@ with the smallest doc_id that has it (there, at its first place) and is cut from
 others, together with what overlapping repeated units cover. A repeated passage so
 goes from its first chunk end to its last one; documents keep all else as it was.
 
-Digests are joined in two steps so that little moves: first 64-bit digests are counted,
-which names those found twice; only units with such a digest go on, and they are
-matched by 96 bits. Both steps count with partial aggregation, and a digest held by a
-third of all rows meets only in joins, which Spark can split.
+Few bytes move: one shuffle of (64-bit digest, 32 more bits, rank), partly aggregated,
+gives each digest's count and first document; digests found twice are written, and the
+units' (digest, rank, place) join them. Both sides of that join are plain shuffles, so
+Spark can split a digest that a third of all rows hold. Digests under which different
+further bits were seen (two units by chance) are matched by all 96 bits in a join of
+their own. Texts are told apart by a hash beside their doc_id only where ids repeat.
 
 A null text stays null and an empty one empty; texts of fewer than ``LEAST_WORDS``
 words are never cut. A null doc_id ranks last. Rows that share a doc_id are not
@@ -99,31 +101,27 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def text_key(docs: DataFrame, text: str) -> Column:
-    """64 bits of hash of a text; tells apart the texts of rows that share a doc_id."""
-    return F.xxhash64(text_of(docs, text))
+def text_key(docs: DataFrame, text: str, repeated: bool) -> Column:
+    """64 bits of hash of a text, which tells apart the texts of rows that share a
+    doc_id; 0 where no id is repeated."""
+    return F.xxhash64(text_of(docs, text)) if repeated else F.lit(0).cast("long")
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_key(docs, text).alias("text_hash"),
-                       docs[text].alias("text"))
+def rank_of(docs: DataFrame, doc_id: str) -> Column:
+    return F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST))
 
 
-def _digests(docs: DataFrame, text: str, chunk_words: int, least_words: int) -> DataFrame:
-    """(digest): 64 bits of each unit's digest."""
+def ids_repeat(docs: DataFrame, doc_id: str) -> bool:
+    return not docs.groupBy(rank_of(docs, doc_id).alias("rank")).count().where("count > 1").isEmpty()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in text_slices(batch, "text"):
-                found = b"".join([b"".join(units(t, chunk_words, least_words)[2]) for t in texts])
-                yield pa.RecordBatch.from_pydict({"digest": pa.array(np.frombuffer(found, "<i8")[::2])})
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "digest long")
+_FIELDS = {"digest": "long", "rest": "int", "rank": "long", "text_hash": "long", "place": "int"}
 
 
-def _places(docs: DataFrame, text: str, doc_id: str, chunk_words: int, least_words: int) -> DataFrame:
-    """(digest, rest, rank, text_hash, place): each unit with its document's rank;
-    place is its number in the document, negative (-1 - number) if it stands earlier there."""
+def _units(rows: DataFrame, fields: list[str], chunk_words: int, least_words: int) -> DataFrame:
+    """The asked ``_FIELDS`` of each unit of (rank, text_hash, text) rows: 64 and 32 bits
+    of its digest, its document's rank and hash, and its number in the document,
+    negative (-1 - number) if it stands earlier there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,28 +131,39 @@ def _places(docs: DataFrame, text: str, doc_id: str, chunk_words: int, least_wor
                     starts, stops, digests = units(t, chunk_words, least_words)
                     n.append(len(digests))
                     found.extend(digests)
-                    number = np.arange(len(digests), dtype=np.int32)
-                    place.append(np.where(again(starts, stops, digests), -1 - number, number))
+                    if "place" in fields:
+                        number = np.arange(len(digests), dtype=np.int32)
+                        place.append(np.where(again(starts, stops, digests), -1 - number, number))
                 both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                rank = part.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({
-                    "digest": pa.array(both[:, 0]), "rest": pa.array(both[:, 1].astype(np.int32)), "rank": pa.array(np.repeat(rank, n)),
-                    "text_hash": pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)),
-                    "place": pa.array(np.concatenate(place).astype(np.int32))})
+                out = {"digest": lambda: both[:, 0], "rest": lambda: both[:, 1].astype(np.int32),
+                       "rank": lambda: np.repeat(part.column(0).to_numpy(zero_copy_only=False), n),
+                       "text_hash": lambda: np.repeat(part.column(1).to_numpy(zero_copy_only=False), n),
+                       "place": lambda: np.concatenate(place).astype(np.int32)}
+                yield pa.RecordBatch.from_pydict({f: pa.array(out[f]()) for f in fields})
 
-    return _keyed(docs, text, doc_id).mapInArrow(run, "digest long, rest int, rank long, text_hash long, place int")
+    return rows.mapInArrow(run, ", ".join(f"{f} {_FIELDS[f]}" for f in fields))
 
 
 def repeated_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = CHUNK_WORDS,
-                   least_words: int = LEAST_WORDS) -> DataFrame:
+                   least_words: int = LEAST_WORDS, repeated_ids: bool = True) -> DataFrame:
     """(rank, text_hash, places): for each document with units to cut, their numbers."""
-    twice = _digests(docs, text, chunk_words, least_words).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    found = cut_lineage(_places(docs, text, doc_id, chunk_words, least_words).join(twice, "digest"))
-    # written, so that the join's sides are plain shuffles and Spark can split a hot digest
-    first = cut_lineage(found.groupBy("digest", "rest").agg(F.min("rank").alias("least")))
-    cut = found.join(first, ["digest", "rest"]).where("rank > least or place < 0")
+    rows = docs.select(rank_of(docs, doc_id).alias("rank"), text_key(docs, text, repeated_ids).alias("text_hash"), docs[text].alias("text"))
+    twice = cut_lineage(
+        _units(rows, ["digest", "rest", "rank"], chunk_words, least_words).groupBy("digest")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        .where("n > 1").select("digest", "least", (F.col("low") == F.col("high")).alias("one_unit")))
+    # written, so that both sides of the join are plain shuffles and Spark can split a hot digest
+    where = ["digest", "rank", *(["text_hash"] if repeated_ids else []), "place"]
+    cut = (_units(rows, where, chunk_words, least_words).join(twice.where("one_unit").drop("one_unit"), "digest")
+           .where("rank > least or place < 0").select(*where[1:]))
+    if not twice.where("not one_unit").isEmpty():   # digests that two different units share
+        shared = cut_lineage(_units(rows, ["rest", *where], chunk_words, least_words)
+                             .join(twice.where("not one_unit").select("digest"), "digest"))
+        firsts = cut_lineage(shared.groupBy("digest", "rest").agg(F.min("rank").alias("least")))
+        cut = cut.unionByName(shared.join(firsts, ["digest", "rest"]).where("rank > least or place < 0").select(*where[1:]))
     number = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
-    return cut.groupBy("rank", "text_hash").agg(F.collect_set(number).alias("places"))
+    out = cut if repeated_ids else cut.withColumn("text_hash", F.lit(0).cast("long"))
+    return out.groupBy("rank", "text_hash").agg(F.collect_set(number).alias("places"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars",
@@ -162,9 +171,12 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """``docs`` without the repeated passages; with ``count``, a column of that name
     tells how many words were cut."""
     rank, hashed, places, r_rank, r_hash = fresh(docs, "rank", "text_hash", "places", "r_rank", "r_hash")
-    cuts = repeated_units(docs, text, doc_id, chunk_words, least_words).toDF(r_rank, r_hash, places)
-    keyed = docs.withColumns({rank: F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST)), hashed: text_key(docs, text)})
-    joined = keyed.join(cuts, (keyed[rank] == cuts[r_rank]) & (keyed[hashed] == cuts[r_hash]), "left").select(*docs.columns, places)
+    repeated = ids_repeat(docs, doc_id)
+    # written, so that a hot id's rows can be split in the join
+    cuts = cut_lineage(repeated_units(docs, text, doc_id, chunk_words, least_words, repeated)).toDF(r_rank, r_hash, places)
+    keyed = docs.withColumns({rank: rank_of(docs, doc_id), hashed: text_key(docs, text, repeated)})
+    same = (keyed[rank] == cuts[r_rank]) & (keyed[hashed] == cuts[r_hash]) if repeated else keyed[rank] == cuts[r_rank]
+    joined = keyed.join(cuts, same, "left").select(*docs.columns, places)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

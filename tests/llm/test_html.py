@@ -56,6 +56,27 @@ def test_names_that_only_look_like_boilerplate(spark):
     assert one(spark, "<article><ul><li class=ad>x<li>y</ul></article>") == "y"
 
 
+def test_attributes_count_by_their_whole_names(spark):
+    words = "one two three"
+    for html in ('<article style="overflow:hidden">{}</article>', '<article><p style="overflow: hidden">{}</p></article>',
+                 '<article><p title="a hidden truth">{}</p></article>', '<article><p data-id="comments">{}</p></article>',
+                 "<article><p data-role='navigation' aria-hidden=false>{}</p></article>", '<article><p title=hidden>{}</p></article>',
+                 '<article><p title="id=comments">{}</p></article>', "<article><div x-class='ad' data-hidden>{}</div></article>"):
+        assert one(spark, html.format(words)) == words, html
+    assert one(spark, '<article><p>see <a href="/places/hidden-gems">the places</a> now</p></article>') == "see the places now"
+    for html in ('<article>x<p hidden>{}</p></article>', '<article>x<p HIDDEN="">{}</p></article>', "<article>x<div CLASS = 'ad'>{}</div></article>",
+                 '<article>x<div id=comments>{}</div></article>', '<article>x<p aria-hidden="true">{}</p></article>'):
+        assert one(spark, html.format(words)) == "x", html
+
+
+def test_time_grows_with_the_length_of_nested_pages():
+    import time
+    page = "<article>" + "<div>" * 16_000 + "text" + "</p></section>" * 16_000 + "</div>" * 16_000
+    begin = time.process_time()
+    assert html_text.blocks(page) == [("keep", "text")]
+    assert time.process_time() - begin < 2
+
+
 def brute(pages, least_tokens, least_pages):
     """Covered tokens of open blocks by a table of all windows of all pages of a host."""
     on = {}

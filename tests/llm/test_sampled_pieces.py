@@ -80,4 +80,5 @@ def test_op1_whole_table(spark):
     want = {d.doc_id: ids for d, ids in zip(docs, own.encode([(d.text or "").encode() for d in docs], [d.doc_id for d in docs], 7), strict=True)}
     import zlib
     for r in queries.op1_sampled_pieces(spark, "/root/testdata/sf0.001").collect():
+        assert r.ids == " ".join(map(str, want[r.doc_id].tolist()))
         assert r.lossless and r.n_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(want[r.doc_id].astype("<u4").tobytes())

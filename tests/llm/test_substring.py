@@ -51,6 +51,60 @@ def test_against_brute_force(spark):
             assert r.text in texts[r.doc_id]
 
 
+def test_units_that_share_a_digest(spark, monkeypatch):
+    """Digests cut to a few bits: different units meet under one, and are told apart by the rest."""
+    from xxhash import xxh3_128_digest
+    words = [f"w{i}" for i in range(3000)]
+    rnd = random.Random(8)
+    shared = " ".join(rnd.choice(words) for _ in range(60))
+    pairs = [(i, " ".join(rnd.choice(words) for _ in range(50)) + (" " + shared if i % 4 == 0 else "")) for i in range(40)]
+    # the workers import the module anew, so the narrow digest is set through the mapped function
+    def narrow(text, chunk_words, least_words, own=sd.units):
+        starts, stops, digests = own(text, chunk_words, least_words)
+        return starts, stops, [bytes([d[0] % 4]) + bytes(7) + d[8:] for d in digests]
+    real = sd._units
+    def units_of(rows, fields, chunk_words, least_words):
+        def run(batches):
+            import pyarrow as pa
+            for b in batches:
+                out = {f: [] for f in fields}
+                for rank, h, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    starts, stops, digests = narrow(t.encode(), chunk_words, least_words)
+                    for k, (d, old) in enumerate(zip(digests, sd.again(starts, stops, digests))):
+                        row = {"digest": int.from_bytes(d[:8], "little", signed=True), "rest": int.from_bytes(d[8:12], "little", signed=True),
+                               "rank": rank, "text_hash": h, "place": -1 - k if old else k}
+                        for f in fields:
+                            out[f].append(row[f])
+                kinds = {"digest": pa.int64(), "rest": pa.int32(), "rank": pa.int64(), "text_hash": pa.int64(), "place": pa.int32()}
+                yield pa.RecordBatch.from_pydict({f: pa.array(v, kinds[f]) for f, v in out.items()})
+        return rows.mapInArrow(run, ", ".join(f"{f} {sd._FIELDS[f]}" for f in fields))
+    assert real is not units_of and xxh3_128_digest(b"x") != xxh3_128_digest(b"y")
+    want = sorted(((r.doc_id, r.text) for r in sd.dedup_substrings(frame(spark, pairs)).collect()))
+    monkeypatch.setattr(sd, "_units", units_of)
+    assert sorted(((r.doc_id, r.text) for r in sd.dedup_substrings(frame(spark, pairs)).collect())) == want
+    assert want != sorted(pairs)
+
+
+def test_a_hot_digest_can_be_split(spark):
+    """The join of the units with the repeated digests has a plain shuffle on either side."""
+    import io
+    from contextlib import redirect_stdout
+    rnd = random.Random(9)
+    passage = " ".join(f"h{i}" for i in range(80))
+    docs = frame(spark, [(i, passage if i % 3 == 0 else prose(rnd, 60)) for i in range(60)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = io.StringIO()
+        with redirect_stdout(out):
+            sd.repeated_units(docs, repeated_ids=False).explain("simple")
+        plan = out.getvalue().split("SortMergeJoin")[1].splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [re.sub(r"^[\s:+\-*()0-9]+", "", x).split()[0] for x in plan[1:] if x.strip()]
+    sides = " ".join(below).split("Sort")[1:3]
+    assert len(sides) == 2 and all(x.split()[0] == "Exchange" for x in sides) and "HashAggregate" not in " ".join(sides)
+
+
 def test_passages_over_fifty_words_stay_once(spark):
     rnd = random.Random(4)
     passages = [" ".join(f"p{k}w{rnd.randrange(400)}" for _ in range(55)) for k in range(30)]
