@@ -86,11 +86,9 @@ def draw_pivots(corpus: DataFrame, rows: int, cell_rows: int = CELL_ROWS) -> np.
     return np.unique(_stack(pd.Series([r.vec for r in drawn])), axis=0) if drawn else np.zeros((0, 0))
 
 
-def into_cells(corpus: DataFrame, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Cells]:
-    """Written table (id, vec, cell, ring) of the rows (id long, vec array<double>), and its cells."""
-    spark = corpus.sparkSession
-    pivots = draw_pivots(corpus, corpus.count(), cell_rows)
-    held = spark.sparkContext.broadcast(pivots)
+def place(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, vec, cell, ring) of (id long, vec array<double>) rows: the nearest pivot and the distance to it."""
+    held = corpus.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
         for pdf in batches:
@@ -100,13 +98,23 @@ def into_cells(corpus: DataFrame, cell_rows: int = CELL_ROWS) -> tuple[DataFrame
                 home = d.argmin(1)
                 yield part.assign(cell=home.astype(np.int32), ring=np.take_along_axis(d, home[:, None], 1)[:, 0])
 
-    placed = cut_lineage(corpus.select("id", "vec").mapInPandas(assign, "id long, vec array<double>, cell int, ring double"))
+    return corpus.select("id", "vec").mapInPandas(assign, "id long, vec array<double>, cell int, ring double")
+
+
+def describe(placed: DataFrame, pivots: np.ndarray) -> Cells:
+    """The cells of placed rows: one row per cell reaches the driver."""
     n = len(pivots)
     size, inner, outer = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n)
     for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("ring").alias("a"), F.max("ring").alias("b")).collect():
-        size[r.cell], inner[r.cell], outer[r.cell] = r.n, r.a, r.b   # one row per cell
-    between = _to_pivots(pivots, pivots) if n else np.zeros((0, 0))
-    return placed, Cells(pivots, between, size, inner, outer)
+        size[r.cell], inner[r.cell], outer[r.cell] = r.n, r.a, r.b
+    return Cells(pivots, _to_pivots(pivots, pivots) if n else np.zeros((0, 0)), size, inner, outer)
+
+
+def into_cells(corpus: DataFrame, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Cells]:
+    """Written table (id, vec, cell, ring) of the rows (id long, vec array<double>), and its cells."""
+    pivots = draw_pivots(corpus, corpus.count(), cell_rows)
+    placed = cut_lineage(place(corpus, pivots))
+    return placed, describe(placed, pivots)
 
 
 def _blocks(rows: DataFrame, per_cell: dict[int, int], block: int, name: str, key: str) -> DataFrame:
@@ -193,26 +201,11 @@ def lowest_copies(rows: DataFrame, k: int) -> DataFrame:
     return keyed.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("id", "vec")
 
 
-def pivot_knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id", qvec: str = "vec", cid: str = "doc_id",
-              cvec: str = "vec", only_earlier: bool = False, exclude_self: bool = False, cell_rows: int = CELL_ROWS,
-              counter: Accumulator | None = None) -> DataFrame:
-    """(query_id, doc_id, dist, rank) of the k nearest corpus rows of every query by
-    squared L2 distance; equal distances (9 decimals) go to the lower id. Rows without
-    a vector have no neighbours and are nobody's. ``counter`` adds up compared pairs."""
-    spark = queries.sparkSession
-    wanted = k + 1 if exclude_self else k
-    c = corpus.where(F.col(cvec).isNotNull()).select(F.col(cid).cast("long").alias("id"), F.col(cvec).cast("array<double>").alias("vec"))
-    q = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).cast("long").alias("asker"), F.col(qvec).cast("array<double>").alias("qv"))
-    if only_earlier:   # what is earlier depends on the asking row
-        who, q = None, q.withColumnRenamed("asker", "query_id")
-    else:
-        keyed = q.select("asker", "qv", *_digest("qv"))
-        once = cut_lineage(keyed.groupBy("h1", "h2").agg(F.min("asker").alias("query_id"), F.first("qv").alias("qv")))
-        who, q = (keyed, once), once.select("query_id", "qv")
-    placed, cells = into_cells(cut_lineage(lowest_copies(c, wanted)), cell_rows)
-    empty = spark.createDataFrame([], OUT_SCHEMA + ", rank int")
-    if not len(cells.pivots):
-        return empty
+def search_cells(q: DataFrame, placed: DataFrame, cells: Cells, wanted: int, only_earlier: bool = False,
+                 counter: Accumulator | None = None) -> DataFrame:
+    """(query_id, doc_id, dist) rows among which are the ``wanted`` nearest placed rows of
+    each query (query_id, qv): its home cell first, then the cells in reach."""
+    spark = q.sparkSession
     held, pivots = spark.sparkContext.broadcast(cells), spark.sparkContext.broadcast(cells.pivots)
 
     def homes(batches):
@@ -245,7 +238,29 @@ def pivot_knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "quer
         .select("query_id", "qv", F.coalesce("found", F.lit(float("inf"))).alias("reach"), "cell")
         .mapInPandas(others, "query_id long, qv array<double>, reach double, cells array<int>"))
     asked = abroad.select("query_id", "qv", "reach", F.explode("cells").alias("cell"))
-    found = first.unionByName(_ask(asked, placed, cells, compare, OUT_SCHEMA))
+    return first.unionByName(_ask(asked, placed, cells, compare, OUT_SCHEMA))
+
+
+def pivot_knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id", qvec: str = "vec", cid: str = "doc_id",
+              cvec: str = "vec", only_earlier: bool = False, exclude_self: bool = False, cell_rows: int = CELL_ROWS,
+              counter: Accumulator | None = None) -> DataFrame:
+    """(query_id, doc_id, dist, rank) of the k nearest corpus rows of every query by
+    squared L2 distance; equal distances (9 decimals) go to the lower id. Rows without
+    a vector have no neighbours and are nobody's. ``counter`` adds up compared pairs."""
+    spark = queries.sparkSession
+    wanted = k + 1 if exclude_self else k
+    c = corpus.where(F.col(cvec).isNotNull()).select(F.col(cid).cast("long").alias("id"), F.col(cvec).cast("array<double>").alias("vec"))
+    q = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).cast("long").alias("asker"), F.col(qvec).cast("array<double>").alias("qv"))
+    if only_earlier:   # what is earlier depends on the asking row
+        who, q = None, q.withColumnRenamed("asker", "query_id")
+    else:
+        keyed = q.select("asker", "qv", *_digest("qv"))
+        once = cut_lineage(keyed.groupBy("h1", "h2").agg(F.min("asker").alias("query_id"), F.first("qv").alias("qv")))
+        who, q = (keyed, once), once.select("query_id", "qv")
+    placed, cells = into_cells(cut_lineage(lowest_copies(c, wanted)), cell_rows)
+    if not len(cells.pivots):
+        return spark.createDataFrame([], OUT_SCHEMA + ", rank int")
+    found = search_cells(q, placed, cells, wanted, only_earlier, counter)
     if who is None:
         return top_k(found, k, score="dist", ascending=True)
     best = cut_lineage(top_k(found, wanted, score="dist", ascending=True).drop("rank"))

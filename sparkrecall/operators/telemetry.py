@@ -115,6 +115,16 @@ def run_summary(preds: DataFrame, run_col: str = "run_id", order_col: str = "seq
     return s
 
 
+def phase_summary(preds: DataFrame, phase: str, smoke_size: int | None = None, run_col: str = "run_id", **kw) -> DataFrame:
+    """``run_summary`` over the valid rows of predictions whose errors were captured,
+    with total_queries and error_count over all rows, and the run's phase and smoke_size.
+    A run without a valid row has zeros."""
+    totals = preds.groupBy(run_col).agg(F.count(F.lit(1)).alias("total_queries"), F.count("error").alias("error_count"))
+    valid = run_summary(preds, run_col=run_col, valid_only=True, **kw)
+    return (totals.join(valid, run_col, "left").fillna(0)
+            .withColumns({"phase": F.lit(phase), "smoke_size": F.lit(smoke_size).cast("long")}))
+
+
 def interpretation_notes(summary: DataFrame) -> DataFrame:
     """Adds ``notes`` (array<string>) by the fixed rules; 'stable' when none fire."""
     f1 = F.coalesce(F.col("avg_f1"), F.lit(0.0)) if "avg_f1" in summary.columns else F.lit(0.0)

@@ -87,7 +87,8 @@ def flatten_summary(nested: DataFrame) -> DataFrame:
             cols.append(F.col(c))
         elif c.startswith(("memory_path_avg_", "retrieval_path_avg_")):
             p, m = c.split("_path_avg_")
-            cols.append(F.col(f"{p}_path.avg_{m}").alias(c))
+            known = f"{p}_path" in nested.columns and f"avg_{m}" in nested.schema[f"{p}_path"].dataType.fieldNames()
+            cols.append((F.col(f"{p}_path.avg_{m}") if known else F.lit(None).cast("double")).alias(c))
         else:
             cols.append(F.lit(None).cast("string").alias(c))
     return nested.select(*cols)
