@@ -97,7 +97,8 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, start: str) -> Data
 def drop_losers(docs: DataFrame, keyed: DataFrame, losers: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
     """``docs``' columns of those rows of ``keyed`` (docs with the ``keys``
     columns added) whose keys are not in ``losers``; with ``repeated``, rows that
-    agree in all keys are reduced to the least of them."""
+    agree in all keys are reduced to one of them (the first of a written table of
+    these rows; columns of any type, maps too, are carried along)."""
     right = losers.select(*[F.col(k).alias(f"{k}_r") for k in keys])
     same = F.lit(True)
     for k in keys:
@@ -107,8 +108,10 @@ def drop_losers(docs: DataFrame, keyed: DataFrame, losers: DataFrame, keys: list
         return left.select(*docs.columns)
     counts = left.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"{k}_r") for k in keys])
     once = left.join(counts, _null_safe(left, counts, keys), "left_anti").select(*docs.columns)
-    many = (left.join(counts, _null_safe(left, counts, keys), "left_semi").groupBy(*keys)
-            .agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*"))
+    [uid] = fresh(keyed, "uid")
+    many = cut_lineage(left.join(counts, _null_safe(left, counts, keys), "left_semi").withColumn(uid, F.monotonically_increasing_id()))
+    firsts = cut_lineage(many.groupBy(*keys).agg(F.min(uid).alias(uid)).select(uid))
+    many = many.join(firsts, uid, "left_semi").select(*docs.columns)
     return once.unionByName(many)
 
 

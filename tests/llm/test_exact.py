@@ -41,6 +41,17 @@ def test_deduplicate_keeps_columns(spark):
     assert {(r.doc_id, r.text) for r in rows} <= set(pairs)
 
 
+def test_repeated_rows_with_a_map_column(spark):
+    from sparkrecall.llm import simhash
+    rows = [(1, "one text that is here twice", {"a": 1}), (1, "one text that is here twice", {"b": 2}), (None, "x", None), (None, "x", {}),
+            (2, "one text  that is here twice", {"c": 3}), (3, "something else again", {"d": 4})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").repartition(2)
+    for out in (exact_dedup.deduplicate(docs), simhash.near_dedup(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in got if r.doc_id != 2) == [
+            ("1", rows[0][1]), ("3", rows[5][1]), ("None", "x")]
+
+
 def test_misra_gries_names_every_frequent_value(spark):
     values = [b"a"] * 400 + [b"b"] * 250 + [str(i).encode() for i in range(350)]
     df = spark.createDataFrame([(v,) for v in values], "digest binary").repartition(5)
