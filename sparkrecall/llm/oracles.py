@@ -1,5 +1,12 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from sparkrecall.llm import quality
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 ORACLES = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents)
@@ -57,8 +64,13 @@ ORACLES = {
         twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
         repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
                      FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
-        lines AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS k
-                  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+        lines AS (SELECT doc_id, l, n, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS k
+                  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS n
+                        FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d))),
+        flagged AS (SELECT *, k <= 4 AND regexp_matches(l, '{menu}') AS title,
+                           regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g') AS low FROM lines WHERE k > 0),
+        runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n)
+                           - row_number() OVER (PARTITION BY doc_id, title ORDER BY n) AS run FROM flagged),
         judged AS (
           SELECT doc_id, l, k,
                  10 * len(regexp_extract_all(l, '[|»›•·]')) >= greatest(20, 3 * k)
@@ -66,10 +78,11 @@ ORACLES = {
                  OR 10 * len(regexp_extract_all(l, '!!')) >= greatest(20, 3 * k)
                  OR (k >= 5 AND 10 * len(regexp_extract_all(l, '[A-ZÀ-ÖØ-Þ]'))
                                 > 7 * greatest(10, len(regexp_extract_all(l, '[A-Za-zÀ-ÖØ-öø-ÿ]'))))
-                 OR (k < 8 AND NOT regexp_matches(l, '[.!?…:;"'')\]»”’。！？।؟][ \t\r\x0B\x0C]*$'))
-                 OR (k < 30 AND regexp_matches(lower(l), 'javascript|cookie|lorem ipsum|privacy policy|terms of use|terms of service|'
-                     || 'sign in|log in|subscribe|click here|read more|share this')) AS bad
-          FROM lines WHERE k > 0),
+                 OR (title AND (count(*) OVER (PARTITION BY doc_id, title, run) >= 3 OR count(*) OVER (PARTITION BY doc_id, l) >= 3))
+                 OR (k < 30 AND regexp_matches(low, 'javascript|cookie|lorem ipsum|privacy policy|terms of use|terms of service|'
+                     || 'sign in|log in|subscribe|click here|read more|share this')
+                     AND (regexp_matches(low, '{call}') OR regexp_matches(low, '{own}'))) AS bad
+          FROM runs),
         per_line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines,
                             CAST(coalesce(sum(k) FILTER (bad), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
         all_of AS (
@@ -79,5 +92,5 @@ ORACLES = {
           FROM base LEFT JOIN repeated USING (doc_id) LEFT JOIN per_line USING (doc_id))
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 30 * n_words AS kept
-        FROM all_of""",
+        FROM all_of""".replace("{menu}", _sql(quality.MENU)).replace("{call}", _sql(quality.CALL)).replace("{own}", _sql(quality.OWN)),
 }

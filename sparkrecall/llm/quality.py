@@ -1,12 +1,17 @@
 """Quality rules, line first.
 
-Each line is judged on its own by four rules: navigation (many separators for its
+Each line is judged by four rules of its own: navigation (many separators for its
 words), symbols (many of ``#*$%&|<>`` for its words), shouting (capitals and runs
-of exclamation marks) and boilerplate (a short line without a sentence end, or a
-notice phrase in the form of a notice: a call to the reader that begins the line, or a
-site that speaks of itself; prose that only has the words stays). Failing lines are removed; then a document is rejected when it
-lost more than ``MOST_LOST_PERCENT`` of its words, or when the base test fails: too
-few words, or too many words inside repeated three-word windows.
+of exclamation marks) and notices (a notice phrase in the form of a notice: a call to the
+reader that begins the line, or a site that speaks of itself; prose that only has the
+words stays). A fifth rule, menus, judges short lines by their company: a title-like line
+of at most ``MENU_WORDS`` words (it begins with a capital or a letter without case, is not
+indented, and has no mark but hyphens, apostrophes and ampersands) fails in a run of
+``MENU_LINES`` such lines or more, lines without a word aside, or if the text repeats it
+so often. So headings, list items with a marker, verse and code stay; three bare one-word
+lines in a row can't be told from a menu and go. Failing lines are removed; then a
+document is rejected when it lost more than ``MOST_LOST_PERCENT`` of its words, or when
+the base test fails: too few words, or too many words inside repeated three-word windows.
 
 Words are runs of anything but ASCII white space; lines are split at ``\\n``. Lines
 without a word are kept and never counted. A null text has no words and fails the
@@ -29,15 +34,17 @@ from sparkrecall.llm.common import text_slices
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
 MOST_LOST_PERCENT = 30
-#: A line without a sentence end counts as boilerplate below so many words.
-SHORT_LINE_WORDS = 8
+#: Title-like lines of so many words at most count as menu entries where so many stand together.
+MENU_WORDS = 4
+MENU_LINES = 3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _NAV = re.compile("\\||»|›|•|·".encode())
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
-#: Sentence ends (closing quotes and brackets included).
-ENDS = (".", "!", "?", "…", ":", ";", "\"", "'", ")", "]", "»", "”", "’", "。", "！", "？", "।", "؟")
-_ENDS = tuple(e.encode() for e in ENDS)
+#: A title-like line (patterns here are written for Python and RE2 alike).
+MENU = (r"^[^\x00-@\[-\x7fß-öø-ÿ•·–—«»‹›“”‘’„…]"
+        r"[^\x00-\x08\x0e-\x1f!\"#$%()*+,./:;<=>?@\[\\\]^_`{|}~•·–—«»‹›“”„…。！？।؟]*$")
+_MENU = re.compile(MENU)
 #: Notice phrases, lower case.
 NOTICES = ("javascript", "cookie", "lorem ipsum", "privacy policy", "terms of use", "terms of service", "sign in", "log in",
            "subscribe", "click here", "read more", "share this")
@@ -45,9 +52,10 @@ _NOTICE = re.compile(b"|".join(re.escape(n.encode()) for n in NOTICES))
 _SITE = r"(?:this|our|the) (?:web ?)?(?:site|page|app|application|shop|service)"
 _TERMS = r"(?:privacy policy|terms of (?:use|service)|cookie policy)"
 _SWITCH = r"(?:enable|activate|allow|accept|turn on|switch on) (?:all |the |our )?(?:javascript|cookies?)"
-_STOP = r"(?:\W*$|\s*[.!?…:;,»›>|(])"
+_MARKS = r"[\x00-/:-@\[-`{-\x7f•·–—«»‹›“”‘’„…]*"
+_STOP = rf"(?:{_MARKS}$|\s*[.!?…:;,»›>|(])"
 #: Notices, in lower case with single spaces. Calls begin the line; the others stand at a word boundary.
-_CALL = re.compile(r"\W*(?:(?:please|to continue,?|you (?:must|need to|have to)|(?:want|would you like) to) )?(?:" + "|".join((
+CALL = rf"^{_MARKS}" + r"(?:(?:please|to continue,?|you (?:must|need to|have to)|(?:want|would you like) to) )?(?:" + "|".join((
     rf"(?:sign|log) in(?:{_STOP}| (?:to|or|with|using|now|here|below|for|and|via)\b)",
     r"click here\b",
     rf"read more(?:{_STOP}| (?:about|at|on|here|from)\b)",
@@ -55,9 +63,9 @@ _CALL = re.compile(r"\W*(?:(?:please|to continue,?|you (?:must|need to|have to)|
     rf"subscribe(?:{_STOP}| (?:to (?:our|the|this|my)|now|today|here|for|via)\b)",
     rf"{_SWITCH}(?:{_STOP}| (?:to|in your|for|on)\b)",
     rf"(?:see|read|view|review) (?:our|the) (?:full )?{_TERMS}\b",
-    rf"lorem ipsum(?:{_STOP}| dolor\b)")) + ")")
-_OWN = re.compile("|".join((
-    rf"\b(?:we|{_SITE}) (?:and our partners )?(?:also )?(?:uses?|sets?|stores?|requires?|needs?) (?:\w+ ){{0,3}}(?:javascript|cookies?)(?= (?:to (?:make|improve|give|offer|"
+    rf"lorem ipsum(?:{_STOP}| dolor\b)")) + ")"
+OWN = "|".join((
+    rf"\b(?:we|{_SITE}) (?:and our partners )?(?:also )?(?:uses?|sets?|stores?|requires?|needs?) (?:\w+ ){{0,3}}(?:javascript|cookies?)(?: (?:to (?:make|improve|give|offer|"
     rf"provide|ensure|personali[sz]e|analy[sz]e|enhance|remember|help|work|run|function)|on|for|in order|and|or|so)\b|{_STOP})",
     rf"\bby (?:using|visiting|browsing|continuing|clicking|signing|subscribing|accessing)\b.*\b(?:{_TERMS}|cookies)\b",
     rf"\b(?:you|i) (?:agree|consent|accept)\b.*\b(?:{_TERMS}|cookies)\b",
@@ -65,7 +73,9 @@ _OWN = re.compile("|".join((
     r"\bjavascript (?:is|seems to be|must be) (?:disabled|turned off|enabled) (?:in|on) your browser\b",
     r"\byour browser (?:does not|doesn't|has no)\b.*\bjavascript\b",
     r"\bsubscribe to (?:our|the|this|my) (?:\w+ )?(?:newsletter|channel|feed|mailing list|podcast)\b",
-    r"\bclick here (?:to|for|if)\b")))
+    r"\bclick here (?:to|for|if)\b"))
+_CALL, _OWN = re.compile(CALL, re.ASCII), re.compile(OWN, re.ASCII)
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 VERDICT = "base_failed boolean, kept boolean, n_bad_lines long, n_lost_words long"
@@ -73,12 +83,12 @@ VERDICT = "base_failed boolean, kept boolean, n_bad_lines long, n_lost_words lon
 
 def is_notice(line: bytes) -> bool:
     """Whether a line that holds a notice phrase has the form of a notice."""
-    text = " ".join(line.decode("utf-8", "replace").lower().split())
-    return _CALL.match(text) is not None or _OWN.search(text) is not None
+    text = _SPACE.sub(" ", line.decode("utf-8", "replace").lower())
+    return _CALL.search(text) is not None or _OWN.search(text) is not None
 
 
 def line_fails(line: bytes, n_words: int) -> bool:
-    """The rules for one line with at least one word."""
+    """The rules that judge a line with at least one word on its own."""
     if 10 * len(_NAV.findall(line)) >= max(20, 3 * n_words):
         return True
     if 10 * len(_SYMBOLS.findall(line)) >= max(30, 3 * n_words):
@@ -89,11 +99,26 @@ def line_fails(line: bytes, n_words: int) -> bool:
         text = line.decode("utf-8", "replace")
         if 10 * len(_UPPER.findall(text)) > 7 * max(10, len(_LETTER.findall(text))):
             return True
-    if n_words < SHORT_LINE_WORDS and not line.rstrip(b" \t\r\x0b\x0c").endswith(_ENDS):
-        return True
     return n_words < 30 and _NOTICE.search(line.lower()) is not None and is_notice(line)
 
 
+def menu_lines(lines: list[bytes], sizes: list[int]) -> set[int]:
+    """The places of the lines that count as menu entries by their company."""
+    titles = [i for i, k in enumerate(sizes) if 0 < k <= MENU_WORDS and _MENU.match(lines[i].decode("utf-8", "replace"))]
+    times = Counter(lines[i] for i in titles)
+    out, run, after = set(), [], 0
+    for i in titles:
+        if any(sizes[after:i]):
+            run = []
+        run.append(i)
+        after = i + 1
+        if len(run) >= MENU_LINES:
+            out.update(run[-MENU_LINES:])
+        if times[lines[i]] >= MENU_LINES:
+            out.add(i)
+    return out
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words inside three-word windows that occur at least twice."""
     windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -119,8 +144,10 @@ def judge(text: bytes) -> tuple[tuple, bytes | None]:
     seen: set[bytes] = set()
     dup = lost = bad = 0
     good = []
-    for line in text.split(b"\n"):
-        k = len(line.split())
+    lines = text.split(b"\n")
+    sizes = [len(x.split()) for x in lines]
+    menu = menu_lines(lines, sizes)
+    for i, (line, k) in enumerate(zip(lines, sizes, strict=True)):
         if not k:
             good.append(line)
             continue
@@ -128,7 +155,7 @@ def judge(text: bytes) -> tuple[tuple, bytes | None]:
             dup += 1
         else:
             seen.add(line)
-        if line_fails(line, k):
+        if i in menu or line_fails(line, k):
             lost += k
             bad += 1
         else:

@@ -62,6 +62,61 @@ def test_words_of_notices_in_prose(spark):
     assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {1: text, 2: text}
 
 
+KEEP = """Chapter One
+
+What happened next
+
+The rain had stopped by the time they reached the old mill.
+- two cups of flour
+- one cup of sugar
+- three eggs
+1. Mix the flour
+2. Add eggs
+3. Bake
+Rough winds do shake the darling buds of May
+And summer's lease hath all too short a date
+Sometime too hot the eye of heaven shines
+O Rose thou art sick
+def f(x):
+    y = x + 1
+    return y
+x = f(2)
+print(x)
+Zusammenfassung
+Am Ende war alles gut, sagte sie.
+été
+en ville
+au bord de l'eau"""
+MENUS = ["Home\nAbout us\nContact\nJobs & Careers", "Home\n\nAbout us\n \t\nContact", "首页\n新闻\n关于"]
+
+
+def test_short_lines_by_context(spark):
+    body = "\n".join(f"{w} sentence number {i} of the text that stands here is long enough for it." for i, w in enumerate(CLEAN))
+    keep = body + "\n" + KEEP
+    pairs = [(0, keep)] + [(i + 1, f"{keep}\nA last line of prose stands here.\n{m}\n{body[:90]}") for i, m in enumerate(MENUS)]
+    pairs.append((9, "\n".join(f"Reply\n{x}" for x in body.split("\n"))))
+    out = {r.doc_id: r.text for r in quality.clean(frame(spark, pairs)).collect()}
+    assert out[0] == keep
+    for i, m in enumerate(MENUS):
+        blank = "".join(f"{x}\n" for x in m.split("\n") if not x.strip())
+        assert out[i + 1] == f"{keep}\nA last line of prose stands here.\n{blank}{body[:90]}"
+    assert out[9] == body
+
+
+def test_oracle_on_notices_and_menus(spark):
+    body = prose(random.Random(3), 90)
+    texts = [x for y in (CLEAN, NOTICES, MENUS, KEEP.split("\n"), [KEEP, "A\nB\nC", "A\nB\nc\nD", "A\nx y z.\nA\nA b\n\nA"]) for x in y]
+    texts += [f"  {x.upper()}" for x in NOTICES] + [f"» {x}" for x in NOTICES] + [f"中文 {x}" for x in NOTICES + CLEAN] + [f"{x}\r" for x in NOTICES]
+    docs = frame(spark, [(2 * i + j, f"{t}\n{body}" if j else t) for i, t in enumerate(texts) for j in (0, 1)])
+    got = {tuple(r) for r in quality.verdicts(docs).collect()}
+    rel = docs.select("doc_id", "text").toArrow()
+    con = duckdb.connect()
+    con.register("documents", rel)
+    order = "doc_id, " + ", ".join(x.split()[0] for x in f"{quality.METRICS}, {quality.VERDICT}".split(", "))
+    assert got == set(con.sql(oracles.ORACLES["op9_quality_rules"]).select(order).fetchall())
+    assert sum(r[8] > 0 for r in got) > 50
+
+
 def test_clean(spark):
     rnd = random.Random(7)
     fine = prose(rnd, 120)
