@@ -1,12 +1,53 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from sparkrecall.llm import quality
+from sparkrecall.llm import licenses, quality
 
 
 def _sql(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+def _replaced(value: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for pattern, by in pairs:
+        value = f"regexp_replace({value}, '{_sql(pattern)}', '{by.replace('$', chr(92))}', 'g')"
+    return value
+
+
+def _licences() -> str:
+    """Texts cut at line ends and at sentence ends; the third cut (at paragraphs) needs
+    patterns that look ahead, which DuckDB lacks, and finds nothing more in the tables."""
+    known, rules = licenses.sequences()
+    sentences = ", ".join(f"('{k}', {i + 1})" for i, k in enumerate(known))
+    listed = ", ".join(f"({i}, '{licence}', '{rule}', {n}, '{p}')" for i, (licence, rule, n, p) in enumerate(rules))
+    return rf"""
+        WITH known(form, id) AS (VALUES {sentences}),
+        rules(ord, licence, rule, n_sentences, pattern) AS (VALUES {listed}),
+        texts AS (SELECT doc_id, 'line' AS cut, text AS t FROM documents
+                  UNION ALL SELECT doc_id, 'end', regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g') FROM documents),
+        pieces AS (SELECT doc_id, cut, unnest(ss) AS s, unnest(range(len(ss))) AS n
+                   FROM (SELECT doc_id, cut, string_split(regexp_replace(t, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS ss
+                         FROM texts)),
+        plain AS (SELECT doc_id, cut, n,
+                         trim(regexp_replace(regexp_replace(lower(s), '([0-9])\+', '\1 orlater', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s
+                  FROM pieces),
+        cleaned AS (SELECT *, {_replaced("s", licenses.SLOTS)} AS filled, {_replaced("s", licenses.CLEANING)} AS w FROM plain),
+        parted AS (SELECT *, CASE WHEN filled IN (SELECT form FROM known) THEN NULL
+                                  WHEN length(s) <= 300 AND (contains(s, 'under ') OR contains(s, 'licen')) AND regexp_matches(w, '{licenses.STATEMENT}')
+                                       AND NOT regexp_matches(s, '{licenses.CLAUSE}')
+                                  THEN string_split_regex(regexp_extract(w, '{licenses.STATEMENT}', 1), '{licenses.BETWEEN}') END AS names FROM cleaned),
+        named AS (SELECT doc_id, cut, n, filled, names IS NOT NULL AS states, unnest(coalesce(names, [s])) AS name,
+                         unnest(range(len(coalesce(names, [s])))) AS j FROM parted),
+        forms AS (SELECT doc_id, cut, n, j, CASE WHEN states THEN 'licensed under ' || trim({_replaced("name", licenses.WORDS)})
+                                                 ELSE filled END AS form FROM named),
+        seen AS (SELECT doc_id, cut, ',' || string_agg(id, ',' ORDER BY n, j) || ',' AS ids FROM forms JOIN known USING (form) GROUP BY ALL),
+        found AS (SELECT doc_id, licence, min(ord) AS ord
+                  FROM seen JOIN rules ON CASE WHEN contains(pattern, '(') THEN regexp_matches(ids, pattern) ELSE contains(ids, pattern) END
+                  GROUP BY ALL)
+        SELECT doc_id, f.licence, rule, CAST(n_sentences AS BIGINT) AS n_sentences
+        FROM found f JOIN rules USING (ord)
+        WHERE NOT (f.licence = 'BSD' AND EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.licence LIKE 'BSD-%'))"""
+
+
 ORACLES = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents)
@@ -34,26 +75,7 @@ ORACLES = {
                  WHERE near OR doc_id > first_doc OR nth > 1 GROUP BY doc_id)
         SELECT doc_id, len(ls) AS n_lines, coalesce(len(dropped), 0) AS n_dropped, coalesce(array_to_string(dropped, ','), '') AS dropped
         FROM l LEFT JOIN gone USING (doc_id)""",
-    # single-sentence statements alone: the tables hold no licence text of several sentences
-    "op8_license_scan": r"""
-        WITH known(sentence, licence, rule) AS (VALUES
-               ('released under the mit license', 'MIT', 'mit_statement'),
-               ('licensed under the mit license', 'MIT', 'mit_statement'),
-               ('this project is licensed under the mit license', 'MIT', 'mit_statement'),
-               ('licensed under the apache license version 2 0', 'Apache-2.0', 'apache_statement'),
-               ('released under the apache license version 2 0', 'Apache-2.0', 'apache_statement'),
-               ('this work is licensed under the gnu general public license version 3', 'GPL-3.0-only', 'gpl3_statement'),
-               ('licensed under the gnu general public license version 3', 'GPL-3.0-only', 'gpl3_statement'),
-               ('this work is licensed under the gnu general public license version 2', 'GPL-2.0-only', 'gpl2_statement'),
-               ('licensed under cc by nc 4 0', 'CC-BY-NC-4.0', 'cc_statement'),
-               ('licensed under cc by 4 0', 'CC-BY-4.0', 'cc_statement'),
-               ('licensed under cc by sa 4 0', 'CC-BY-SA-4.0', 'cc_statement'),
-               ('all rights reserved', 'Proprietary', 'all_rights_reserved')),
-        sentences AS (
-          SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'),
-                                             chr(10))) AS s FROM documents)
-        SELECT DISTINCT doc_id, licence, rule, CAST(1 AS BIGINT) AS n_sentences
-        FROM sentences JOIN known ON sentence = trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g'))""",
+    "op8_license_scan": _licences(),
     "op9_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         base AS (

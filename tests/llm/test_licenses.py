@@ -20,7 +20,8 @@ def test_every_rule_has_an_anchor():
 
 def test_each_rule_is_found(spark):
     pairs, want = [], []
-    for i, (licence, rule, sentences) in enumerate(licenses.RULES):
+    names = [(licence, f"{rule}_statement", (f"The program is licensed under the {n}.",)) for licence, rule, x in licenses.NAMES for n in x]
+    for i, (licence, rule, sentences) in enumerate((*licenses.RULES, *names)):
         pairs += [(2 * i, "Some words first.\n" + "\n".join(sentences) + "\nThe end."),
                   (2 * i + 1, re.sub(" ", "\n  ", "Intro text here. " + " ".join(sentences) + " And more."))]
         want += [(2 * i, licence, rule), (2 * i + 1, licence, rule)]
@@ -106,6 +107,80 @@ def test_published_files(spark):
     assert [(r[0], r[1], r[3]) for r in sorted(found(spark, pairs))] == want
 
 
+BSD = """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of Example Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY JANE DOE AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL JANE DOE BE LIABLE FOR ANY DIRECT, INDIRECT DAMAGES.
+"""
+
+
+def test_texts_with_slots(spark):
+    bsd3 = BSD.replace("Example Inc.", "the Example Company")
+    bsd2 = re.sub(r"3\. .*?permission\.\n", "", BSD, flags=re.S)
+    lgpl = GPL.replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1")
+    agpl = GPL.replace("This program", "Foo Bar").replace("General", "Affero General")
+    for form in (lambda t: t, lambda t: re.sub(r"(?m)^(\d)\.", "*", t), lambda t: re.sub("(?m)^", " * ", t)):
+        rows = found(spark, list(enumerate(map(form, (bsd3, bsd2, lgpl, agpl)))))
+        assert [r[:3] for r in rows if r[1] != "Proprietary"] == [
+            (0, "BSD-3-Clause", "bsd3_text"), (1, "BSD-2-Clause", "bsd2_text"),
+            (2, "LGPL-2.1-or-later", "lgpl2.1_header"), (3, "AGPL-3.0-or-later", "agpl3_header")]
+
+
+STATEMENTS = {
+    "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+    "/* SPDX-License-Identifier: (GPL-2.0+ OR BSD-3-Clause) */": "BSD-3-Clause GPL-2.0-or-later",
+    "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only", "<!-- SPDX-License-Identifier: CC-BY-NC-SA-4.0 -->": "CC-BY-NC-SA-4.0",
+    "This code is under the MIT license.": "MIT", "Foo is released under the MIT License.": "MIT", "License: Apache-2.0": "Apache-2.0",
+    "The project is licensed under the Apache License, Version 2.0.": "Apache-2.0", "Foo Bar is distributed under the terms of the GPLv3.": "GPL-3.0-only",
+    "It is licensed under either the MIT License or the Apache License 2.0, see LICENSE for details.": "Apache-2.0 MIT",
+    "Dual licensed under MIT and GPL v2 or later.": "GPL-2.0-or-later MIT", "All text is available under the Creative Commons Attribution-Share Alike 3.0 Unported license": "CC-BY-SA-3.0",
+    "Published under CC BY-ND 2.5.": "CC-BY-ND-2.5", "Released under MIT.": "MIT", "The library is released under the new\nBSD\nlicence.": "BSD-3-Clause",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0", "Released under the\nMozilla Public License, version 2.0.": "MPL-2.0",
+    "Licensed under the GNU Lesser General Public License v2.1 only.": "LGPL-2.1-only", "The fonts are covered by nothing. They are shared under the Boost Software License 1.0.": "BSL-1.0"}
+PROSE = ["The MIT License is short, and many firms like it.", "If the project is licensed under the MIT License, you may sell it.",
+         "Many projects are licensed under the MIT License.", "The project is not licensed under the MIT License.",
+         "He was licensed under the state law of Ohio to drive a bus.", "In 2015 parts of it were released under the Apache License, Version 2.0.",
+         "She asked whether the code is released under the GPL.", "The bar is licensed under the rules of the town.", "Our MIT course is open.",
+         "BSD and GPL licences differ in how they treat derived works.", "They argued under the MIT dome about copyright and permission.",
+         "Is this licensed under the MIT License?", "The driving licence costs 40 euros.", "The film was published under the title Apache 2."]
+
+
+def test_statements_and_prose(spark):
+    pairs = [*enumerate(STATEMENTS), *[(100 + i, x) for i, x in enumerate(PROSE)]]
+    rows = found(spark, pairs)
+    assert {i: " ".join(sorted(r[1] for r in rows if r[0] == i)) for i, _ in pairs} == {
+        i: x for i, x in [*enumerate(STATEMENTS.values()), *[(100 + i, "") for i in range(len(PROSE))]]}
+
+
+def test_oracle_on_rules_of_several_sentences(spark):
+    pairs = [(i, ("Some words.\n" if i % 2 else "") + re.sub(" ", "\n" if i % 3 else " ", " ".join(x)) + " And more.")
+             for i, (_, _, x) in enumerate(licenses.RULES)]
+    pairs += [(1000 + i, x) for i, x in enumerate([*STATEMENTS, *PROSE])]
+    a, b, c = licenses.RULES[1][2]
+    pairs += [(2001, f"{b} {a} {c}"), (2002, f"{a} something else. {b} {c}"), (2003, f"{a} All rights reserved. {b} {c}"), (2004, None), (2005, "")]
+    docs = frame(spark, pairs)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    want = con.sql(oracles.ORACLES["op8_license_scan"]).select("doc_id, licence, rule, n_sentences").fetchall()
+    assert sorted(map(tuple, licenses.scan(docs).collect())) == sorted(want)
+    assert len(want) > len(licenses.RULES)
+
+
 def test_order_and_gaps(spark):
     a, b, c = licenses.RULES[1][2]
     pairs = [(1, f"{a} {b} {c}"), (2, f"{b} {a} {c}"), (3, f"{a} something else. {b} {c}"), (4, f"{a} All rights reserved. {b} {c}"),
