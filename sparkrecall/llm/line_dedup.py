@@ -13,8 +13,8 @@ aggregated, with partial aggregation, and no pairs within a key are made; each l
 least neighbours are then verified by their words.
 
 Most lines have no neighbour, so variants are made only for lines that may: one edit
-leaves the first or the last words of a line (some power of two below half of them)
-alone, and lines go on only if that prefix or suffix also begins or ends another line.
+leaves the first or the last words of a line (some number below half of them) alone,
+and lines go on only if that prefix or suffix also begins or ends another line.
 
 The tables of shared keys grow with the corpus, so their joins are shuffled at every size.
 
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from sparkrecall.llm.common import fresh, mix64, prefix_sums, text_of, text_slices
 from sparkrecall.session import cut_lineage
 
-#: Lines of fewer words are the same only if equal.
-NEAR_WORDS = 9
+#: Lines of fewer words are the same only if equal: one edit would leave under four fifths of the words.
+NEAR_WORDS = 5
 _LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -47,7 +47,7 @@ def end_lengths(n: int) -> list[int]:
     """How many first and last words a line of n words is looked up by: for a partner
     of n or n + 1 words, and for one of n - 1."""
     half = [k for k in ((n - 1) // 2, (n - 2) // 2 if n > NEAR_WORDS else 0) if k]
-    return sorted({1 << (k.bit_length() - 1) for k in half})
+    return sorted({k if k < 4 else 1 << (k.bit_length() - 1) for k in half})
 
 
 def line_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

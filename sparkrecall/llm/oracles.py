@@ -62,11 +62,11 @@ ORACLES = {
         firsts AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k FROM lines),
         kinds AS (SELECT line, ws, doc_id AS first_doc, row_number() OVER (ORDER BY doc_id, n) AS pos FROM firsts WHERE k = 1),
         deleted AS (SELECT pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
-                    FROM (SELECT pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM kinds WHERE len(ws) >= 9)),
+                    FROM (SELECT pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM kinds WHERE len(ws) >= 5)),
         links AS (
           SELECT a.pos, b.pos AS other FROM deleted a JOIN deleted b ON a.v = b.v AND a.i = b.i AND b.pos < a.pos
-          UNION ALL SELECT a.pos, b.pos FROM deleted a JOIN kinds b ON a.v = b.line AND len(b.ws) >= 9
-          UNION ALL SELECT b.pos, a.pos FROM deleted a JOIN kinds b ON a.v = b.line AND len(b.ws) >= 9),
+          UNION ALL SELECT a.pos, b.pos FROM deleted a JOIN kinds b ON a.v = b.line AND len(b.ws) >= 5
+          UNION ALL SELECT b.pos, a.pos FROM deleted a JOIN kinds b ON a.v = b.line AND len(b.ws) >= 5),
         near AS (SELECT DISTINCT pos FROM links WHERE other < pos),
         numbered AS (SELECT f.doc_id, f.n, k.first_doc, r.pos IS NOT NULL AS near,
                             row_number() OVER (PARTITION BY f.doc_id, f.line ORDER BY f.n) AS nth

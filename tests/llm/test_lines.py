@@ -47,7 +47,7 @@ def edited(rnd, words):
 
 def test_against_all_pairs(spark):
     rnd = random.Random(8)
-    base = [[f"w{rnd.randrange(300)}" for _ in range(rnd.randint(7, 40))] for _ in range(12)]
+    base = [[f"w{rnd.randrange(300)}" for _ in range(rnd.randint(4, 40))] for _ in range(16)]
     pairs = awkward()[:70] + [(None, "a b\na b\nc"), (None, "c")]
     for i in range(60):
         lines = []
@@ -68,6 +68,13 @@ def test_against_all_pairs(spark):
                            for k, (i, t) in enumerate(pairs)), key=str)
 
 
+def test_short_lines(spark):
+    """From five words on one edit makes a neighbour; four words must be equal."""
+    pairs = [(1, "a b c d e\nh i j k"), (2, "a b x d e\nh i x k"), (3, "a b d e"), (4, "a b c d e f"), (5, "h i j k")]
+    got = {r.doc_id: list(r.dropped) for r in ld.line_verdicts(frame(spark, pairs)).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0], 5: [0]}
+
+
 def test_templated_lines(spark):
     """Very many lines that all differ in the same one word: only the first stays."""
     line = "page number {} of the long report that all of these documents hold in their foot"
@@ -83,7 +90,7 @@ def test_one_edit(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), min_size=9, max_size=14), st.integers(0, 10**9))
+@given(st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), min_size=ld.NEAR_WORDS, max_size=14), st.integers(0, 10**9))
 def test_neighbours_share_a_key(words, seed):
     rnd = random.Random(seed)
     other = [x if isinstance(x, bytes) else x.encode() for x in edited(rnd, words)]
@@ -98,7 +105,7 @@ def test_neighbours_share_a_key(words, seed):
         assert ends & ends2
 
 
-@pytest.mark.parametrize("n", [ld.NEAR_WORDS, 16, 17, 18, 33, 100])
+@pytest.mark.parametrize("n", [ld.NEAR_WORDS, 6, 7, 8, 9, 16, 17, 18, 33, 100])
 def test_end_lengths(n):
     assert all(2 * k < n for k in ld.end_lengths(n)) and ld.end_lengths(n)
 
