@@ -5,7 +5,8 @@ another, little-endian uint16 where the vocabulary fits, else uint32),
 ``<shard>.off`` (int64: where each document begins in the shard, and the shard's
 end) and ``<shard>.doc`` (int64 document ids); ``manifest.json`` names the shards
 in order with their counts and bases. Shards follow ascending doc_id, and so do the
-documents in each, so the files are one stream; a shard's base is the prefix sum of
+documents in each, so the files are one stream (rows that share an id, or have none,
+may span shards, in the order of their text's hash); a shard's base is the prefix sum of
 the shards before it. Each shard is written by one task under a temporary name and
 renamed, so that a task run again leaves the same file.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkrecall.llm.common import text_slices
 from sparkrecall.llm.token_ids import encoder, id_type
@@ -83,10 +85,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 _replace(disk, f"{temp}.{x}", f"{base}.{x}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([me], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    ranged = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
-    # the text breaks ties between equal ids, so that a task run again writes the same file
-    counts = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, _COUNTS).collect()  # one row per shard
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
+    # the text's hash deals the rows of one id (or of none) over many shards; it and the text
+    # break ties, so that a task run again writes the same file
+    ranged = rows.repartitionByRange(*([shards] if shards else []), "doc_id", "text_hash")
+    counts = ranged.sortWithinPartitions("doc_id", "text_hash", "text").mapInArrow(run, _COUNTS).collect()  # one row per shard
     listed, docs_before, tokens_before = [], 0, 0
     for c in sorted(counts):
         listed.append({"shard": f"{c.shard:06d}", "n_docs": c.n_docs, "n_tokens": c.n_tokens, "first_doc": docs_before,

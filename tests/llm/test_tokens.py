@@ -68,6 +68,15 @@ def test_token_files(spark, tmp_path):
     assert isinstance(one.ids, np.memmap) and one[0].tolist() == list(rows[0].ids)
 
 
+def test_rows_without_an_id_span_shards(spark, tmp_path):
+    pairs = [(None, f"text {i}") for i in range(400)] + [(7, f"other {i}") for i in range(400)] + [(i, "x") for i in range(50)]
+    manifest = token_files.write_token_files(frame(spark, pairs), str(tmp_path), PATH, 2, shards=8)
+    assert max(s["n_docs"] for s in manifest["shards"]) < 300
+    rows = sorted(token_files.read_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert ids == sorted(ids) and len(ids) == len(pairs)
+
+
 def test_token_files_empty(spark, tmp_path):
     assert token_files.token_table(frame(spark, awkward()).limit(0), PATH, 2, folder=str(tmp_path)).count() == 0
 
