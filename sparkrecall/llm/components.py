@@ -1,7 +1,9 @@
 """Connected components of an edge table by star contraction: large-star and
 small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond")
 until the edges are stars around each component's least node. A round is joins and
-partial minima, so a node with very many neighbours needs no group in one task."""
+partial minima, so a node with very many neighbours needs no group in one task: the
+minima are written before they are joined, which makes both sides of the join plain
+shuffles, and Spark splits a hub's side."""
 
 from __future__ import annotations
 
@@ -13,13 +15,13 @@ from sparkrecall.session import cut_lineage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut_lineage(down.groupBy("a").agg(F.min("b").alias("m")))
     linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
@@ -35,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     state = _state(edges)
     while True:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges))))
         now = _state(edges)
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
