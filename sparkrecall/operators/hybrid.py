@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ordering import global_rank
 from .topk import RANK_DECIMALS, top_k
 
 # Fixed default weights of the two retrievers.
@@ -39,23 +40,31 @@ def dense_scores(neighbours: DataFrame) -> DataFrame:
 def _pads(weak: DataFrame, taken: DataFrame, doc_ids: DataFrame, k: int,
           rescore: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """(query_id, doc_id, score 0): for each weak query its k lowest ids (or all
-    there are) that are neither in ``taken`` nor scored by BM25. The lowest ids
-    are tried in growing batches, for the queries that still lack some."""
-    n = doc_ids.count()
-    tried, out = 4 * k, None
-    while True:
-        ids = doc_ids.select("doc_id").orderBy("doc_id").limit(tried).agg(F.collect_list("doc_id")).scalar()
-        asked = cut_lineage(weak.select("query_id", F.explode(ids).alias("doc_id")))
+    there are) that are neither in ``taken`` nor scored by BM25.
+
+    The ids are ranked once in a written table; each round joins the queries that
+    still lack ids to the next window of ranks, four times as wide as the ranks
+    before it. A query reads on only while its windows are taken or scored, so it
+    reads a few times as many ids as it has scored rows, and no id twice."""
+    ids = cut_lineage(global_rank(doc_ids.select("doc_id"), ["doc_id"], out="at"))
+    n, lo, hi = ids.count(), 0, 4 * k
+    lacking = weak.select("query_id", F.lit(k).cast("long").alias("lack"))
+    out = taken.select("query_id", "doc_id", F.lit(0.0).alias("score")).limit(0)
+    while lo < n and not lacking.isEmpty():
+        window = ids.where((F.col("at") >= lo) & (F.col("at") < hi))
+        asked = cut_lineage(lacking.withColumn("at", F.explode(F.sequence(F.lit(lo), F.lit(min(hi, n) - 1)).cast("array<long>")))
+                            .join(window, "at").select("query_id", "doc_id", "lack"))
         free = asked.join(taken.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
         if rescore is not None:
-            free = free.join(rescore(asked).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        found = cut_lineage(top_k(free.withColumn("score", F.lit(0.0)), k).drop("rank"))
-        short = weak.join(found.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
-        done = found if tried >= n else found.join(short, "query_id", "left_anti")
-        out = done if out is None else out.unionByName(done)
-        if tried >= n or short.isEmpty():
-            return out
-        weak, tried = cut_lineage(short), 4 * tried
+            free = free.join(rescore(asked.drop("lack")).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        ranked = top_k(free.withColumn("score", F.lit(0.0)), k)
+        found = cut_lineage(ranked.where("rank <= lack").select("query_id", "doc_id", "score"))
+        out = out.unionByName(found)
+        got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
+        lacking = cut_lineage(lacking.join(got, "query_id", "left").select("query_id", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("lack"))
+                              .where("lack > 0"))
+        lo, hi = hi, 4 * hi
+    return out
 
 
 def hybrid_top_k(bm25: DataFrame | None, dense: DataFrame | None, queries: DataFrame,

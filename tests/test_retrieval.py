@@ -137,3 +137,14 @@ def test_padding_with_a_negative_floor(spark):
         want = sorted(range(9), key=lambda d: (-round(scores.get((query, d), 0.0) / max(1e-12, max(
             [v for (k, _), v in scores.items() if k == query] + [0]) or 1), 9), d))[:3]
         assert [d for d, _ in got[query]] == want
+
+
+def test_padding_beyond_the_first_window(spark):
+    """Ids that are taken or scored fill the first windows of ranks: the next ones are read."""
+    from sparkrecall.operators.hybrid import hybrid_top_k
+    ids = [10 * i for i in range(60)]
+    scores = spark.createDataFrame([(0, d, -1.0) for d in ids[:50]] + [(1, ids[0], 2.0), (2, ids[1], -1.0)], "query_id long, doc_id long, bm25 double")
+    queries = spark.createDataFrame([(q,) for q in range(4)], "query_id long")
+    rows = hybrid_top_k(scores, None, queries, spark.createDataFrame([(d,) for d in ids], "doc_id long"), k=3).collect()
+    got = {q: [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(4)}
+    assert got == {0: [500, 510, 520], 1: [0, 10, 20], 2: [0, 20, 30], 3: [0, 10, 20]}
