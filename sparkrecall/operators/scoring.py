@@ -268,33 +268,40 @@ def _anchors(text: Column, kinds: set[str]) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def _gold_anchor(gold: Column) -> Column:
-    """One anchor that every text containing the gold offers: the longest token
-    strictly inside it, else the characters around its space, else its first characters."""
+def _gold_anchors(gold: Column) -> Column:
+    """The anchors that every text containing the gold offers: the tokens strictly
+    inside it, else the characters around its space, else its runs of three characters
+    (of all its characters, where it has fewer)."""
     toks = F.split(gold, " ")
-    inner = F.slice(toks, 2, F.greatest(F.lit(0), F.size(toks) - 2))
-    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t"))))["t"]
+    inner = F.transform(F.slice(toks, 2, F.greatest(F.lit(0), F.size(toks) - 2)), lambda t: F.concat(F.lit("t"), t))
     around = F.concat(F.lit("b"), F.right(F.get(toks, F.lit(0)), F.lit(1)), F.substring(F.get(toks, F.lit(1)), F.lit(1), F.lit(1)))
     n = F.least(F.lit(3), F.char_length(gold))
-    return (F.when(F.size(toks) > 2, F.concat(F.lit("t"), longest)).when(F.size(toks) == 2, around)
-            .otherwise(F.concat(n.cast("string"), F.substring(gold, F.lit(1), n))))
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(gold) - n + 1), lambda i: F.concat(n.cast("string"), F.substring(gold, i, n)))
+    return F.array_distinct(F.when(F.size(toks) > 2, inner).when(F.size(toks) == 2, F.array(around)).otherwise(runs))
 
 
 def contains_any(df: DataFrame, rid: str, text: str, golds: DataFrame, gold_text: str) -> DataFrame:
     """(rid, answer_contains_gold) against one shared gold table: true when any
     non-empty normalised gold is a substring of the normalised text.
 
-    Filter and verify: each gold has one anchor that any containing text must
-    offer; an equi-join on anchors gives candidates (row, gold), whose texts are
-    then compared. Anchor rows are ids and short strings; texts meet their
-    candidates only. Spark broadcasts or shuffles by the sizes it sees."""
+    Filter and verify: a containing text must offer every anchor of a gold. Only
+    anchors that some gold has are kept of the texts, and each gold is looked up by
+    its rarest one, by the number of texts that offer it; a gold with an anchor that
+    no text offers is in none. An equi-join on anchors gives candidates (row, gold),
+    whose texts are then compared. Anchor rows are ids and short strings; texts meet
+    their candidates only. Spark broadcasts or shuffles by the sizes it sees."""
     t = cut_lineage(df.select(F.col(rid), normalize_answer(text).alias("_t")).withColumn("_row", F.monotonically_increasing_id()))
     g = golds.select(normalize_answer(gold_text).alias("_g")).filter(F.col("_g") != "").distinct()
-    g = cut_lineage(g.select("_g", _gold_anchor(F.col("_g")).alias("_a")))
+    g = cut_lineage(g.select(F.xxhash64("_g").alias("_h"), "_g", F.explode(_gold_anchors(F.col("_g"))).alias("_a")))
     kinds = {r[0] for r in g.select(F.substring("_a", 1, 1)).distinct().collect()}  # at most five
     if not kinds:
         return t.select(rid, F.lit(False).alias("answer_contains_gold"))
-    cand = t.select("_row", F.explode(_anchors(F.col("_t"), kinds)).alias("_a")).join(g, "_a").select("_row", "_g")
+    keys = cut_lineage(g.select("_a").distinct())
+    offered = cut_lineage(t.select("_row", F.explode(_anchors(F.col("_t"), kinds)).alias("_a")).join(keys, "_a", "left_semi"))
+    df_a = offered.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (g.join(df_a, "_a", "left").groupBy("_h", "_g").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_a")).alias("_m"))
+              .where("_m.n > 0").select("_g", F.col("_m._a").alias("_a")))
+    cand = offered.join(cut_lineage(rarest), "_a").select("_row", "_g")
     hits = t.join(cand, "_row").where(F.col("_t").contains(F.col("_g"))).select("_row").distinct()
     return (t.select(rid, "_row").join(hits.withColumn("_hit", F.lit(True)), "_row", "left")
             .select(rid, F.coalesce("_hit", F.lit(False)).alias("answer_contains_gold")))
