@@ -19,6 +19,7 @@ from ..operators.routing import THRESHOLD
 from ..operators.samples import select_questions
 from ..operators.telemetry import interpretation_notes, run_summary, summary_stamp
 from ..sources import writers as W
+from ..sources.one_file import write_json_file
 from .corpus import build_corpus_from_samples
 from .pipeline import RunResult, build_index, process_queries
 from .reports import write_roll_up
@@ -74,10 +75,10 @@ def run_evaluation(spark: SparkSession, samples, profile: Profile, out_dir: str,
     W.write_run_config(spark, {"run_id": rid, "num_questions": profile.num_questions,
                                "corpus_pool_size": profile.corpus_pool_size, "max_chunks": profile.max_chunks,
                                "threshold": threshold, **labels, **files}, f"{base}/run_config.json")
-    W.corpus_info(corpus.chunks, corpus.stats).write.mode("overwrite").json(f"{base}/corpus_info.json")
+    write_json_file(W.corpus_info(corpus.chunks, corpus.stats), f"{base}/corpus_info.json")
     W.append_log(res.log, f"{base}/log")
     W.append_memory(res.new_memory, f"{base}/memory", rid)
-    W.run_report(summary).write.mode("overwrite").json(f"{base}/report.json")
+    write_json_file(W.run_report(summary), f"{base}/report.json")
     return replace(res, summary=summary)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.memory import TS_FORMAT
 from ..operators.ordering import ordered_cap
 from ..operators.telemetry import fmt_pct
+from .one_file import write_csv_file, write_json_file, write_lines
 
 # Fixed column orders of the reference's files.
 PREDICTION_COLUMNS = ["query_id", "question", "generated_answer", "correct_answer", "confidence", "source", "em",
@@ -66,8 +67,9 @@ def select_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols])
 
 
-def write_predictions(preds: DataFrame, path_jsonl: str, path_csv: str):
-    preds.write.mode("overwrite").json(path_jsonl)
+def write_predictions(preds: DataFrame, path_jsonl: str, path_csv: str, escaped: bool = False):
+    """JSON lines and CSV. ``escaped``: characters beyond ASCII as ``\\u`` escapes in the JSON."""
+    preds.write.mode("overwrite").option("writeNonAsciiCharacterAsCodePoint", escaped).json(path_jsonl)
     _csv(select_columns(preds, PREDICTION_COLUMNS), path_csv)
 
 
@@ -95,14 +97,15 @@ def flatten_summary(nested: DataFrame) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path_json: str, path_csv: str):
+    """A run's summary as one JSON file (nested) and one CSV file (flat)."""
     nested = nest_summary(summary) if "memory_path" not in summary.columns else summary
-    nested.write.mode("overwrite").json(path_json)
-    _csv(flatten_summary(nested), path_csv)
+    write_json_file(nested, path_json)
+    write_csv_file(flatten_summary(nested), path_csv, {"escape": '"', "timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT})
 
 
 def write_run_config(spark, config: dict, path: str):
     """One JSON object with the run's parameters."""
-    spark.createDataFrame([(json.dumps(config),)], "value string").write.mode("overwrite").text(path)
+    write_lines(spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1), path)
 
 
 def corpus_info(chunks: DataFrame, stats: DataFrame, chars: int = CORPUS_INFO_CHARS,

@@ -136,3 +136,38 @@ def test_file_positions_jvm_side(spark, tmp):
     open(f"{tmp}/lg/log.csv", "w").write(log)
     seqs = [(r["seq"], r["query"]) for r in R.read_log_with_order(spark, f"{tmp}/lg/log.csv").orderBy("seq").collect()]
     assert seqs == [(i, f"q{i}") for i in range(5)]
+
+
+def test_one_file_artifacts(spark, tmp):
+    from sparkrecall.sources import one_file as O
+    df = spark.createDataFrame([(i, 'say "a", é\nb' if i % 2 else None) for i in range(40)], "id long, text string").repartitionByRange(5, "id")
+    os.makedirs(f"{tmp}/t.json")  # an older folder of that name gives way
+    O.write_json_file(df, f"{tmp}/t.json")
+    O.write_csv_file(df, f"{tmp}/t.csv", {"escape": '"'})
+    assert sorted(os.listdir(tmp)) == ["t.csv", "t.json"] and os.path.isfile(f"{tmp}/t.json")
+    rows = [json.loads(x) for x in open(f"{tmp}/t.json")]
+    assert [r["id"] for r in rows] == list(range(40)) and rows[1]["text"] == 'say "a", é\nb' and "text" not in rows[0]
+    import csv
+    with open(f"{tmp}/t.csv", newline="") as f:
+        back = list(csv.DictReader(f))
+    assert [int(r["id"]) for r in back] == list(range(40)) and back[1]["text"] == 'say "a", é\nb'
+    O.write_json_file(df.limit(0), f"{tmp}/none.json")
+    assert open(f"{tmp}/none.json").read() == ""
+
+
+def test_failed_task_leaves_the_old_file(spark, tmp, monkeypatch):
+    from sparkrecall.sources import one_file as O
+    O.write_json_file(spark.range(3), f"{tmp}/x.json")
+    before = open(f"{tmp}/x.json").read()
+    bad = spark.range(40).repartition(4).selectExpr("if(id = 17, raise_error('no'), id) as id")
+    with pytest.raises(Exception, match="no"):
+        O.write_json_file(bad, f"{tmp}/x.json")
+    assert open(f"{tmp}/x.json").read() == before and os.listdir(tmp) == ["x.json"]
+
+
+def test_escaped_predictions(spark, tmp):
+    preds = spark.createDataFrame([("q", "né 中")], "query_id string, generated_answer string").coalesce(1)
+    for escaped in (True, False):
+        W.write_predictions(preds, f"{tmp}/{escaped}.jsonl", f"{tmp}/{escaped}.csv", escaped=escaped)
+        text = "".join(open(f"{tmp}/{escaped}.jsonl/{f}").read() for f in os.listdir(f"{tmp}/{escaped}.jsonl") if f.startswith("part-"))
+        assert text.isascii() == escaped and json.loads(text)["generated_answer"] == "né 中"
