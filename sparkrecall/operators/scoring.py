@@ -244,7 +244,8 @@ def exact_match_in_group(df: DataFrame, rid: str, group: str, text: str) -> Data
     norm = df.select(F.col(rid), F.col(group).alias("_g"), normalize_answer(text).alias("_n"))
     h1, h2 = text_digest("_n")
     n = norm.select(rid, "_g", h1.alias("_h1"), h2.alias("_h2"))
-    cnt = n.groupBy("_g", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).toDF("_cg", "_c1", "_c2", "_k")
+    # written, so that the join's sides are plain shuffles and Spark can split a hot text
+    cnt = cut_lineage(n.groupBy("_g", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).toDF("_cg", "_c1", "_c2", "_k"))
     same = n["_g"].eqNullSafe(cnt["_cg"]) & (n["_h1"] == cnt["_c1"]) & (n["_h2"] == cnt["_c2"])
     return n.join(cnt, same).select(rid, F.when(F.col("_k") > 1, 1.0).otherwise(0.0).alias("em"))
 

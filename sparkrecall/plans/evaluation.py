@@ -54,17 +54,18 @@ def run_evaluation(spark: SparkSession, samples, profile: Profile, out_dir: str,
     generation error, 'capture' keeps the row with its error and without metrics.
     ``labels``: dataset, split, mode, memory_mode, model, embedding_model of the run."""
     pool = samples.filter(F.col("pos") < profile.corpus_pool_size)
-    corpus = build_corpus_from_samples(pool, max_docs=profile.corpus_pool_size, max_chunks=profile.max_chunks)
+    corpus = build_corpus_from_samples(pool, max_docs=profile.corpus_pool_size, max_chunks=profile.max_chunks, write=True)
     questions = select_questions(pool, profile.num_questions).withColumnRenamed("pos", "seq")
     rid = run_id or unique_run_id(profile.name)
     labels = {k: (labels or {}).get(k) for k in RUN_LABELS}
     index = build_index(corpus.chunks, provider)
     res = process_queries(questions, index, threshold=threshold, generate=generate, provider=provider,
                           run_id=rid, memory=memory, on_error=on_error)
+    counts = corpus.stats.first()
     summary = interpretation_notes(run_summary(res.predictions, valid_only=on_error == "capture")).withColumn("timestamp", summary_stamp()) \
         .withColumn("threshold", F.lit(threshold)) \
-        .withColumn("corpus_size", F.lit(corpus.stats.select("chunk_count").scalar())) \
-        .withColumn("documents_before_chunking", F.lit(corpus.stats.select("documents_before_chunking").scalar())) \
+        .withColumn("corpus_size", F.lit(counts["chunk_count"])) \
+        .withColumn("documents_before_chunking", F.lit(counts["documents_before_chunking"])) \
         .withColumns({k: F.lit(v).cast("string") for k, v in labels.items()})
     base = out_dir.rstrip("/") + "/" + rid
     W.write_manifest(questions, f"{base}/planned_queries")

@@ -6,7 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -65,6 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, taken while they are written."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get.get("n", 0)
+
+
 def bucketed_table(df: DataFrame, key: str, buckets: int | None = None, prefix: str = "sr") -> DataFrame:
     """Materialise ``df`` as a parquet table bucketed (and sorted) by ``key``
     under the shared checkpoint folder. Later joins/aggregations on ``key``
