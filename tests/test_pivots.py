@@ -96,3 +96,27 @@ def test_a_dense_cluster_costs_a_few_links_a_row(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, int(j)) for i in range(600) for j in np.flatnonzero(u[:i] @ u[i] >= 0.95)[:3]}
     assert {(r.query_id, r.doc_id) for r in links.collect()} == want
+
+
+def test_vectors_are_not_shuffled_once_per_cell(spark):
+    x = np.random.default_rng(3).normal(size=(400, 16))   # nothing can be pruned: every query asks every cell
+    corpus = frame(spark, x, "id")
+    placed, cells = P.into_cells(corpus, 20)
+    found = P.search_cells(corpus.select(P.F.col("id").alias("query_id"), P.F.col("vec").alias("qv")), placed, cells, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CoGroups" not in plan and "Exchange hashpartitioning" not in plan
+    assert got(P.top_k(found, 3, score="dist", ascending=True)) == brute(x, x, 3, range(400), range(400))
+
+
+def test_nearest_rows_beyond_one_merge(spark, monkeypatch):
+    x = np.repeat(np.random.default_rng(4).normal(size=(60, 4)), 3, axis=0)   # ties throughout
+    monkeypatch.setattr(P, "_PENDING", 5)
+    block = {"q_ids": np.arange(180), "q_vecs": x, "q_reach": np.full(180, np.inf), "q_asks": np.full((180, 1), 128, np.uint8), "q_after": np.zeros(0, np.int64)}
+    asking = P._NearestRows({k: v.tobytes() for k, v in block.items()}, x[:1].copy(), 4, False, None)
+    ring = np.sqrt(((x - x[0])**2).sum(1))
+    by = np.argsort(ring, kind="stable")
+    for part in np.array_split(by, 3):
+        asking.meet(P._CorpusBlock([0], np.array([0, len(part)]).tobytes(), part.astype(np.int64).tobytes(), x[part].tobytes(), ring[part].tobytes()))
+    who, ids, d = asking.rest()
+    found = {(int(q), int(i)) for q, i in zip(who, ids)}
+    assert found == {(q, i) for q, i, _ in brute(x, x, 4, range(180), range(180))}
