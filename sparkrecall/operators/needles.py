@@ -10,21 +10,35 @@ needle. So work follows the rarest grams' texts, never needles times rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..session import cut_lineage
 from .telemetry import MEMORY, RETRIEVAL, safe_double
 
-#: Characters of a gram.
-GRAM = 3
+#: Characters of a gram, and grams that a task holds before it hands them on (and those of one text).
+GRAM, GRAMS_HELD = 3, 1 << 17
 
 
-def _grams(text: Column, k: Column | int) -> Column:
-    k = k if isinstance(k, Column) else F.lit(k)
-    runs = F.transform(F.sequence(F.lit(1), F.char_length(text) - k + 1), lambda i: F.substring(text, i, k))
-    return F.when(F.char_length(text) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def _grams(rows: DataFrame, key: str, text: str, sizes: list[int], shorter: bool = False) -> DataFrame:
+    """(key, gram): the distinct runs of each size of a text (``shorter``: of the text's
+    own length where that is less). One pass over a text, however long it is."""
+    def run(batches):
+        for batch in batches:
+            keys, grams = [], []
+            for of, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k in sizes:
+                    own = {t[i:i + k] for i in range(len(t) - k + 1)} or ({t} if shorter else ())
+                    keys += [of] * len(own)
+                    grams += own
+                if len(grams) > GRAMS_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(grams, pa.string())], names=[key, "gram"])
+                    keys, grams = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(grams, pa.string())], names=[key, "gram"])
+
+    return rows.select(F.col(key), F.col(text).alias("_of")).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, gram string")
 
 
 def _partial_metrics(log: DataFrame, order_col: str) -> DataFrame:
@@ -46,13 +60,12 @@ def query_metrics_table(log: DataFrame, needles: DataFrame, needle: str = "needl
     asked = cut_lineage(asked.withColumn("_needle", F.lower(py_strip("query"))).where("_needle != ''"))
     texts = cut_lineage(_partial_metrics(log, order_col).withColumn("_id", F.monotonically_increasing_id()))
     sizes = [r[0] for r in asked.select(F.least(F.char_length("_needle"), F.lit(GRAM))).distinct().collect()]   # three at most
-    held = F.concat(*[_grams(F.col("_text"), k) for k in sorted(sizes)]) if sizes else F.array().cast("array<string>")
-    postings = texts.select("_id", F.explode(held).alias("gram"))
+    postings = _grams(texts, "_id", "_text", sorted(sizes))
     known = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
-    own = asked.select("_needle").distinct().select(
-        "_needle", _grams(F.col("_needle"), F.least(F.char_length("_needle"), F.lit(GRAM))).alias("grams"))
-    rarest = (own.select("_needle", F.size("grams").alias("all"), F.explode("grams").alias("gram")).join(known, "gram")
+    own = cut_lineage(_grams(asked.select("_needle").distinct(), "_needle", "_needle", [GRAM], shorter=True))
+    own = own.join(own.groupBy("_needle").agg(F.count(F.lit(1)).alias("all")), "_needle")
+    rarest = (own.join(known, "gram")
               .groupBy("_needle", "all").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "gram")).alias("best"))
               .where("found = all").select("_needle", F.col("best.gram").alias("gram")))   # a gram that no text has: no match
     candidates = cut_lineage(rarest).join(postings, "gram").select("_needle", "_id")

@@ -99,3 +99,16 @@ def test_query_equals_its_sql(spark, name):
     want = con.sql(search_oracles.ORACLES[name]).select(", ".join(columns)).fetchall()
     plain = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
     assert plain(map(tuple, df.select(*columns).collect())) == plain(want)
+
+
+def test_grams_of_a_long_text_are_not_cut_out_one_by_one(spark):
+    from pyspark.sql import functions as F
+    from sparkrecall.operators.needles import query_metrics_table
+    text = "".join(chr(97 + i * i % 26) for i in range(3000)) + " \U0001f600néedle"
+    log = spark.createDataFrame([(1, text, "memory", 0.5, 2.0), (2, "other", "memory", 0.1, 1.0)],
+                                "seq long, query string, source string, confidence double, latency double").withColumns(
+        {c: F.lit(1) for c in ("memory_size", "retrieval_count", "memory_count")}).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    needles = spark.createDataFrame([("\U0001f600né",), ("éE",), ("O",), ("zzzz",), (" ",)], "needle string")
+    out = query_metrics_table(log, needles)
+    assert "substring" not in out._jdf.queryExecution().analyzed().toString()
+    assert {(r.query, r.matches) for r in out.collect()} == {("\U0001f600né", 1), ("éE", 1), ("O", 2 if "o" in text else 1)}
