@@ -66,3 +66,15 @@ def test_ordered_dedup_plan_has_no_sort_aggregate(spark):
     out = ordered_dedup(df, "t", ["p", "c"])
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1, "b"), (1, 0, "a"), (1, 2, None)], key=str)
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_global_rank_shuffles_rows_once(spark):
+    from pyspark.sql import functions as F
+    from sparkrecall.operators.ordering import global_rank
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.repeat(F.lit("x"), 50).alias("text"))
+    out = global_rank(df, ["k"], out="at")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    text_shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "text" in line]
+    assert not text_shuffles and "row_number" not in plan   # numbered while they were written
+    rows = sorted(out.collect(), key=lambda r: r.k)
+    assert [r["at"] for r in rows] == list(range(1000)) and out.columns == ["k", "text", "at"]
